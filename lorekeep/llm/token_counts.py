@@ -156,10 +156,6 @@ class Transducer:
 
     def compile(self, chunks: list[str]) -> None:
         """Adds the counts of chunks to the kept ones."""
-        if len(self.counts) > KEPT_CHUNKS:
-            self.counts.clear()
-        if len(self.moves) > KEPT_MOVES:
-            self.reset()
         for at in range(0, len(chunks), 20_000):
             some = chunks[at : at + 20_000]
             for chunk, n in zip(some, self.tallied(some), strict=True):
@@ -191,6 +187,10 @@ class Transducer:
                 chunks += normalised(part)
             ends.append(len(chunks))
             fixed.append(extra)
+        if len(self.counts) > KEPT_CHUNKS:
+            self.counts.clear()
+        if len(self.moves) > KEPT_MOVES:
+            self.reset()
         missing = [c for c in set(chunks).difference(self.counts) if len(c) <= KEPT_CHARS]
         self.compile(missing)
         counts = np.fromiter(map(self.counts.__getitem__, chunks), np.int64, len(chunks))
