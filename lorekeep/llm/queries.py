@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, token_counts
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, token_counts
 from .common import project, table
 
 
@@ -27,6 +27,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = project(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_chat": op10_chat,
 }
 
