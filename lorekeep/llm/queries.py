@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, token_counts
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, token_counts, toxicity
 from .common import project, table
 
 
@@ -31,6 +31,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = project(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
 
