@@ -62,3 +62,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
 def project(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of any name can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Tables that meet in one task of the first level, as a share of all: bounds what a task gathers.
+SALTS = 128
+
+
+def summed_tables(parts: DataFrame, dtype: str = "<i8") -> DataFrame:
+    """parts: part, salt, counts (binary). Sums the tables of each part in two levels, so that no task gathers all of them."""
+    import numpy as np
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype) for x in group["counts"])
+        return pa.table([group["part"][:1], group["salt"][:1], pa.array([total.astype(dtype).tobytes()], pa.binary())], names=["part", "salt", "counts"])
+
+    schema = f"part {dict(parts.dtypes)['part']}, salt int, counts binary"
+    first = parts.select("part", (F.abs("salt") % SALTS).cast("int").alias("salt"), "counts").groupBy("part", "salt").applyInArrow(summed, schema)
+    return first.withColumn("salt", F.lit(0)).groupBy("part").applyInArrow(summed, schema).select("part", "counts")

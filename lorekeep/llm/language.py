@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,12 +174,11 @@ def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
                     for k in range(ORDERS):
                         total[k] += np.bincount(places[k], minlength=size)
         if tables:
-            yield pa.RecordBatch.from_arrays([pa.array(list(tables)), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["lang", "counts"])
+            salts = pa.array([TaskContext.get().partitionId()] * len(tables), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables)), salts, pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["part", "salt", "counts"])
 
-    def summed(group: pa.Table) -> pa.Table:
-        return pa.table({"lang": group["lang"][:1], "counts": pa.array([sum(np.frombuffer(x.as_py()) for x in group["counts"]).tobytes()], pa.binary())})
-
-    found = sorted((r[0], np.frombuffer(r[1]).reshape(ORDERS, size)) for r in chosen.mapInArrow(counted, "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary").collect())
+    parts = chosen.mapInArrow(counted, "part string, salt int, counts binary")
+    found = sorted(((r[0], np.frombuffer(r[1], "<f8").reshape(ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()), key=lambda x: x[0])
     if not found:
         return Model([], np.zeros((ORDERS, size, 0), np.float32))
     counts = np.stack([x for _, x in found], axis=2)

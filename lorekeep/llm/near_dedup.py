@@ -29,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +63,11 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             n += len(own)
         if n:
             parts = [x.tobytes() for x in total.reshape(-1, DF_PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts)), pa.int32()), pa.array([np.int64(n).tobytes(), *parts], pa.binary())], ["part", "counts"])
+            salt = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts)), pa.int32()), pa.array([salt] * (len(parts) + 1), pa.int32()), pa.array([np.int64(n).tobytes(), *parts], pa.binary())], ["part", "salt", "counts"])
 
-    def summed(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group["counts"])
-        return pa.table({"part": group["part"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = texts.select("text").mapInArrow(counted, "part int, counts binary")
-    found = {r[0]: np.frombuffer(r[1], np.int64) for r in parts.groupBy("part").applyInArrow(summed, "part int, counts binary").collect()}
+    parts = texts.select("text").mapInArrow(counted, "part int, salt int, counts binary")
+    found = {r[0]: np.frombuffer(r[1], np.int64) for r in common.summed_tables(parts).collect()}
     if not found:
         return np.zeros(1 << DF_BITS, np.int64), 0
     return np.concatenate([found[k] for k in range((1 << DF_BITS) // DF_PART)]), int(found[-1][0])

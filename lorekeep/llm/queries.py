@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, token_counts, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, language, lm, near_dedup, token_counts, toxicity
 from .common import project, table
 
 
@@ -31,6 +31,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
