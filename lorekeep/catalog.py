@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lorekeep.plans import log_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return QUERIES["fold_balance"](spark, sf_dir)
+QUERIES = dict(log_queries.QUERIES)
+ORACLE_SQL = dict(log_queries.SQL)
+FLAGSHIP = log_queries.fold_balance
