@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -79,3 +80,13 @@ def summed_tables(parts: DataFrame, dtype: str = "<i8") -> DataFrame:
     schema = f"part {dict(parts.dtypes)['part']}, salt int, counts binary"
     first = parts.select("part", (F.abs("salt") % SALTS).cast("int").alias("salt"), "counts").groupBy("part", "salt").applyInArrow(summed, schema)
     return first.withColumn("salt", F.lit(0)).groupBy("part").applyInArrow(summed, schema).select("part", "counts")
+
+
+#: Plan nodes that may deal rows anew, in another order, each time the plan runs.
+UNSTABLE = re.compile(r"\b(Repartition\w*|RebalancePartitions|Join|Aggregate|Window|Sort|GlobalLimit|LocalLimit|Sample|Distinct|\w*InArrow|\w*InPandas|rand\w*|uuid)\b")
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs, if its rows are numbered alike whenever it is read, as those of files are; otherwise its rows settled in the shared folder."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return settled(docs, "rows") if UNSTABLE.search(plan) else docs

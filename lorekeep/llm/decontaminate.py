@@ -205,7 +205,7 @@ def _results(partial: DataFrame) -> DataFrame:
 
 def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: row, doc_id, n_words, n_hit, n_items, items_sha256, longest, longest_at, items, contaminated."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, common.stable(docs)
     texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = [_partial(texts, spark.sparkContext.broadcast(x)) for x in blocks(benchmark, block_chars)]
     if not parts:
@@ -227,5 +227,6 @@ def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents."""
+    docs = common.stable(docs)
     bad = search(docs, benchmark).where("contaminated").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").drop("__row")

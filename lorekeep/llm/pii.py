@@ -175,6 +175,7 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
+    docs = common.stable(docs)
     texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = common.settled(based(texts), "base")
     near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
@@ -195,6 +196,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with each base span replaced by its kind in brackets, generalised terms by [term], removed terms by nothing; overlapping spans are replaced once, by the first that begins."""
+    docs = common.stable(docs)
     found = find(docs).where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.transform(F.filter(F.coalesce("terms", F.array()), lambda t: t["remove"]), lambda t: t["start"]).alias("__removed"))
     marked = docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
 
