@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import metadata, shred, upcast
@@ -356,20 +356,22 @@ def view_replay_idempotent(spark, d):
     return stored.unionByName(delta).groupBy("view_id").agg(F.max("version").alias("version"), F.sum("value").alias("value"))
 
 
-KEYS = {"by_user": F.col("stream_id"), "by_k": F.col("k"), "buyers": F.when(F.col("event_type") == "purchase", F.col("stream_id"))}
+def view_keys() -> dict[str, Column]:
+    return {"by_user": F.col("stream_id"), "by_k": F.col("k"), "buyers": F.when(F.col("event_type") == "purchase", F.col("stream_id"))}
 
 
 @query(""", c AS (SELECT * FROM user_log WHERE sequence BETWEEN 200 AND 300)
 SELECT DISTINCT 'by_user' AS view_name, stream_id AS view_id FROM c UNION SELECT 'by_k', CAST(k AS VARCHAR) FROM c WHERE k IS NOT NULL UNION SELECT 'buyers', stream_id FROM c WHERE event_type = 'purchase'""")
 def inline_touched_rows(spark, d):
-    return views.touched(logs.flat_log(spark, d).where("sequence between 200 and 300"), KEYS)
+    return views.touched(logs.flat_log(spark, d).where("sequence between 200 and 300"), view_keys())
 
 
 @query("""SELECT 'by_user' AS view_name, stream_id AS view_id, max(sequence) AS version, CAST(sum(amount) AS BIGINT) AS value FROM user_log GROUP BY 2
 UNION ALL SELECT 'by_k', CAST(k AS VARCHAR), max(sequence), CAST(count(*) AS BIGINT) FROM user_log WHERE k IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'buyers', stream_id, max(sequence), CAST(sum(amount) AS BIGINT) FROM user_log WHERE event_type = 'purchase' GROUP BY 2""")
 def fanout_views(spark, d):
-    return views.fanned_out(logs.flat_log(spark, d), {"by_user": (KEYS["by_user"], F.col("amount")), "by_k": (KEYS["by_k"], F.lit(1)), "buyers": (KEYS["buyers"], F.col("amount"))})
+    keys = view_keys()
+    return views.fanned_out(logs.flat_log(spark, d), {"by_user": (keys["by_user"], F.col("amount")), "by_k": (keys["by_k"], F.lit(1)), "buyers": (keys["buyers"], F.col("amount"))})
 
 
 @query(""", l AS (SELECT stream_id, event_type, amount, sequence, max(CASE WHEN event_type = 'error' THEN sequence END) OVER (PARTITION BY stream_id) AS closed FROM user_log)
