@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +91,39 @@ def stable(docs: DataFrame) -> DataFrame:
     """docs, if its rows are numbered alike whenever it is read, as those of files are; otherwise its rows settled in the shared folder."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     return settled(docs, "rows") if UNSTABLE.search(plan) else docs
+
+
+def bitmap(slots: DataFrame, bits: int) -> bytes:
+    """slots: one column of numbers below 2 ** bits. A bitmap of fixed size in which those are set, merged in two levels."""
+    import numpy as np
+
+    name = slots.columns[0]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        some = False
+        for b in batches:
+            seen[b.column(0).to_numpy()] = True
+            some |= b.num_rows > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["salt", "bits"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // 8, np.uint8)
+        for x in group["bits"]:
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table([group["salt"][:1], pa.array([total.tobytes()], pa.binary())], names=["salt", "bits"])
+
+    first = slots.select(F.col(name).cast("long")).mapInArrow(marked, "salt int, bits binary").groupBy("salt").applyInArrow(merged, "salt int, bits binary")
+    found = first.withColumn("salt", F.lit(0)).groupBy("salt").applyInArrow(merged, "salt int, bits binary").collect()
+    return found[0][1] if found else bytes((1 << bits) // 8)
+
+
+def narrowed(docs: DataFrame, keep: Callable[[list[str]], list[bool]], chars: int = SLICE_CHARS) -> DataFrame:
+    """The rows of docs for which keep(texts) says so, with all their columns: a narrow map, without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, chars=chars):
+            yield rows.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -85,5 +85,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = common.stable(docs)
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = resolve(docs).where("kept").select(F.col("row").alias("__row"))
+    kept = resolve(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
     return marked.join(kept, "__row", "left_semi").drop("__row")

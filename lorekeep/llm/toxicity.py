@@ -190,6 +190,5 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without rejected documents."""
-    docs = common.stable(docs)
-    bad = grade(docs, labels).where("rejected").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").drop("__row")
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return common.narrowed(docs, lambda texts: [True] * len(texts) if model.value is None else (model.value.probabilities(texts)[:, 0] <= THRESHOLD).tolist(), BATCH_CHARS)
