@@ -84,3 +84,24 @@ def heads(log: DataFrame, lifecycle: DataFrame | None = None) -> DataFrame:
     if lifecycle is None:
         return own.select("stream_id", F.col("last").alias("head"))
     return own.join(lifecycle.select("stream_id", F.col("head").alias("recorded")), "stream_id", "full").select("stream_id", F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("recorded", F.lit(0))).alias("head"))
+
+
+def scanned(log: DataFrame, key: str, order: str, fields: list[str], init: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], schema: str) -> DataFrame:
+    """As streamed, with a row for each event: step returns the new state and the row's columns after key and order."""
+    rows = log.select(key, order, *fields).repartition(F.col(key)).sortWithinPartitions(key, order)
+    kinds = dict(log.dtypes)
+    names = [key, order, *[f.name for f in log.sparkSession.createDataFrame([], schema).schema]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, started = None, None, False
+        for batch in batches:
+            made = []
+            for k, *values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not started or k != current:
+                    current, state, started = k, init(), True
+                state, row = step(state, tuple(values))
+                made.append((k, values[0], *row))
+            if made:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in made])
+
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {schema}")

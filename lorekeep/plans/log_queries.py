@@ -396,9 +396,12 @@ def skip_redelivered(spark, d):
 # Commands
 
 
-@query(fold_sql(STEP, more="""
+OUTCOMES = fold_sql(STEP, more="""
 SELECT l.stream_id, l.version, CASE WHEN event_type = 'click' THEN 'committed' WHEN event_type = 'purchase' THEN CASE WHEN coalesce(p.state, 0) >= amount THEN 'committed' ELSE 'rejected' END ELSE 'noop' END AS outcome, r.state
-FROM l JOIN r ON r.stream_id = l.stream_id AND r.n = l.n LEFT JOIN r p ON p.stream_id = l.stream_id AND p.n = l.n - 1"""))
+FROM l JOIN r ON r.stream_id = l.stream_id AND r.n = l.n LEFT JOIN r p ON p.stream_id = l.stream_id AND p.n = l.n - 1""")
+
+
+@query(OUTCOMES)
 def decide_commands(spark, d):
     def decide(balance, c):
         fits = (c["event_type"] == "purchase") & (balance >= c["amount"])
@@ -408,6 +411,22 @@ def decide_commands(spark, d):
     return commands.decided(logs.user_log(spark, d), "stream_id", "version", ACCOUNT, F.lit(0).cast("long"), decide)
 
 
+@query(OUTCOMES)
+def decide_commands_streamed(spark, d):
+    """The same for streams of any length: one state in memory, an outcome a command."""
+
+    def step(balance, c):
+        _, kind, amount = c
+        if kind == "click":
+            return balance + amount, (commands.COMMITTED, balance + amount)
+        if kind == "purchase":
+            after = balance - amount if balance >= amount else balance
+            return after, (commands.COMMITTED if balance >= amount else commands.REJECTED, after)
+        return balance, (commands.NOOP, balance)
+
+    return folds.scanned(logs.user_log(spark, d), "stream_id", "version", ACCOUNT, lambda: 0, step, "outcome string, state long")
+
+
 @query(""", c AS (SELECT sequence AS ord, stream_id, CASE WHEN sequence % 3 <> 0 THEN 'key-' || (sequence // 200) END AS idempotency_key FROM user_log)
 SELECT ord, stream_id, idempotency_key, CASE WHEN idempotency_key IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY stream_id, idempotency_key) END AS committed_at,
   CASE WHEN idempotency_key IS NULL OR ord = min(ord) OVER (PARTITION BY stream_id, idempotency_key) THEN 'committed' ELSE 'already_committed' END AS outcome FROM c""")
