@@ -10,10 +10,12 @@ its size is fixed, and only it is broadcast.
 Documents with the same words form one node. A node's ``SAMPLES`` consistent
 weighted samples make ``BANDS`` bands; nodes with an equal band meet in a
 bucket. Buckets of up to ``SMALL`` nodes compare all pairs. In larger ones
-every node meets the bucket's leader, and, once components are known, nodes
-that are not in the bucket's largest component meet all nodes of the others:
-whatever is left uncompared is in one component already, so no link between
-components is lost, and no bucket emits all its pairs. Verified pairs (weighted
+every node meets the bucket's leader, the node whose bands are the most
+frequent (an original among its copies). Once components are known, the nodes
+that are not in the bucket's largest component are a query set: in blocks they
+meet the bucket's nodes, in blocks, and only links are emitted. Whatever is
+left uncompared is in one component already, so no link between components is
+lost, and no bucket emits all its pairs. Verified pairs (weighted
 Jaccard of the whole shingle sets >= ``SIMILARITY``) join components.
 
 Defined results: a null or wordless text is alike no other and is its own
@@ -39,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 SMALL = 16
+#: Nodes of a query block and of a block that it meets.
+QUERY_BLOCK, BLOCK = 256, 512
 DF_BITS, DF_PART = 18, 1 << 14
 IDF_SCALE = 0.25
 POOL_BITS = 14
@@ -172,13 +176,62 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
+def links(queries: pa.Table, others: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
+    """Links between two blocks (node, label, ids, counts) across labels: shared weights are added up posting by posting."""
+
+    def postings(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids = [np.frombuffer(x, "<u4") for x in block["ids"].to_pylist()]
+        counts = [np.frombuffer(c, "<u4") if c else np.ones(len(x), np.uint32) for x, c in zip(ids, block["counts"].to_pylist(), strict=True)]
+        flat = np.concatenate(ids)
+        weight = weights(flat, np.concatenate(counts), idf, 32).astype(np.float64)
+        owner = np.repeat(np.arange(len(ids)), list(map(len, ids)))
+        return flat, owner, weight, np.bincount(owner, weight, minlength=len(ids))
+
+    ids, owner, weight, total = postings(queries)
+    order = np.argsort(ids, kind="stable")
+    ids, owner, weight = ids[order], owner[order], weight[order]
+    node, label = queries["node"].to_numpy(), queries["label"].to_numpy()
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, others.num_rows, 64):
+        part = others.slice(at, 64)
+        ids2, owner2, weight2, total2 = postings(part)
+        low, high = np.searchsorted(ids, ids2, "left"), np.searchsorted(ids, ids2, "right")
+        n = high - low
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        shared = np.bincount(owner[place] * part.num_rows + np.repeat(owner2, n), np.minimum(weight[place], np.repeat(weight2, n)), minlength=len(node) * part.num_rows).reshape(len(node), -1)
+        alike = (shared >= least * (total[:, None] + total2[None, :] - shared)) & (label[:, None] != part["label"].to_numpy()[None, :])
+        i, j = np.nonzero(alike)
+        a, b = node[i], part["node"].to_numpy()[j]
+        found_a.append(np.minimum(a, b))
+        found_b.append(np.maximum(a, b))
+    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+
+def crossed(split: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
+    """split: bucket, node, label, main, n, n_rest. Links between the nodes outside a bucket's main component and all its nodes, blocks against blocks."""
+    queries, blocks = F.ceil(F.col("n_rest") / QUERY_BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.xxhash64("node", "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = split.where("label <> main").select("bucket", "node", "label", F.pmod(own, queries).cast("int").alias("q"), every(blocks).alias("m"))
+    right = split.select("bucket", "node", "label", F.pmod(own, blocks).cast("int").alias("m"), every(queries).alias("q"))
+    names = ["bucket", "q", "m", "node", "label", "ids", "counts"]
+    by = lambda x, side: x.join(sets, "node").select(*[F.col(c).alias(c + side) for c in names]).groupBy(*[c + side for c in names[:3]])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return links(a.rename_columns(names), b.rename_columns(names), idf.value, least)
+
+    return by(left, "").cogroup(by(right, "_other")).applyInArrow(run, "a long, b long").distinct()
+
+
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per row: row, doc_id, class_id, class_size, kept."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, common.stable(docs)
     texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     df, n = frequencies(texts)
     idf = spark.sparkContext.broadcast(idf_table(df, n))
@@ -188,26 +241,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     own = worded.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     dealt = own.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    met = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("leader"))).alias("best"))
-    met = met.where("n > 1").select("bucket", "n", "best.leader")
+    met = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = common.settled(dealt.join(met, "bucket"), "members")
+    crowds = members.where(F.col("n") > SMALL)
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = crowds.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
 
     few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("ns"))
     few = few.select(F.explode(F.flatten(F.transform("ns", lambda x, i: F.transform(F.slice("ns", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    led = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select(*ordered("node", "leader"))
+    led = crowds.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(*ordered("node", "leader"))
     pairs = common.settled(few.unionAll(led).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
-    crowds = members.where(F.col("n") > SMALL).select(F.col("node").alias("row"))
-    sets = common.settled(shingle_sets(texts.join(wanted.unionAll(crowds).distinct(), "row", "left_semi")), "sets")
+    sets = common.settled(shingle_sets(texts.join(wanted, "row", "left_semi")), "sets")
     edges = common.settled(verified(pairs, sets, idf, least), "edges")
     labels = components.components(edges)
 
-    placed = members.where(F.col("n") > SMALL).select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    largest = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    split = common.settled(placed.join(largest.where("parts > 1").select("bucket", F.col("most.label").alias("main")), "bucket"), "split")
-    rest = split.where("label <> main").select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    again = split.join(rest, "bucket").where("label <> other_label").select(*ordered("node", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.settled(verified(again, sets, idf, least), "edges")
+    placed = crowds.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
+    largest = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    split = placed.join(largest.where("parts > 1").select("bucket", F.col("most.label").alias("main"), F.col("most.size").alias("size")), "bucket").withColumn("n_rest", F.col("n") - F.col("size"))
+    more = common.settled(crossed(common.settled(split, "split"), sets, idf, least), "edges")
     if more.limit(1).count():
         labels = components.components(edges.unionAll(more))
 
@@ -221,5 +273,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, with all its columns."""
+    docs = common.stable(docs)
     kept = classes(docs).where("kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
