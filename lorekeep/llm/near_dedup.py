@@ -46,6 +46,7 @@ QUERY_BLOCK, BLOCK = 256, 512
 DF_BITS, DF_PART = 18, 1 << 14
 IDF_SCALE = 0.25
 POOL_BITS = 14
+WANTED_BITS = 22
 #: Characters of the texts that are shingled at once.
 BATCH_CHARS = 1 << 20
 
@@ -132,18 +133,20 @@ def signed(texts: DataFrame, idf: Broadcast) -> DataFrame:
     return texts.mapInArrow(run, SIGNED)
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """Per row: node, its distinct shingles (sorted, 4 bytes each) and their counts."""
+def shingle_sets(texts: DataFrame, admitted: Broadcast) -> DataFrame:
+    """Per row whose slot is admitted: node, its distinct shingles (sorted, 4 bytes each) and their counts. The texts aren't shuffled; some rows too many pass, as slots are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, own in runs(batches):
+        bits = np.unpackbits(np.frombuffer(admitted.value, np.uint8)).view(bool)
+        passing = (b.filter(pa.array(bits[b.column(2).to_numpy()])) for b in batches)
+        for rows, own in runs(passing):
             ids, counts, begins, _, _ = shingles.shingled(own)
             short = (ids >> np.uint64(shingles.ID_BITS - 32)).astype("<u4")
             counts = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
             plain = [b"" if c.max(initial=0) <= 1 else c.tobytes() for c in np.split(counts, begins[1:-1])]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in np.split(short, begins[1:-1])], pa.binary()), pa.array(plain, pa.binary())], ["node", "ids", "counts"])
 
-    return texts.select("row", "text").mapInArrow(run, "node long, ids binary, counts binary")
+    return texts.select("row", "text", "slot").mapInArrow(run, "node long, ids binary, counts binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -252,7 +255,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     led = crowds.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(*ordered("node", "leader"))
     pairs = common.settled(few.unionAll(led).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = common.settled(shingle_sets(texts.join(wanted, "row", "left_semi")), "sets")
+    slot = F.pmod(F.xxhash64("row"), F.lit(1 << WANTED_BITS))
+    admitted = spark.sparkContext.broadcast(common.bitmap(wanted.select(slot.alias("slot")), WANTED_BITS))
+    sets = common.settled(shingle_sets(texts.withColumn("slot", slot), admitted), "sets")
     edges = common.settled(verified(pairs, sets, idf, least), "edges")
     labels = components.components(edges)
 
@@ -274,5 +279,5 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, with all its columns."""
     docs = common.stable(docs)
-    kept = classes(docs).where("kept").select(F.col("row").alias("__row"))
+    kept = classes(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
