@@ -93,6 +93,15 @@ def stable(docs: DataFrame) -> DataFrame:
     return settled(docs, "rows") if UNSTABLE.search(plan) else docs
 
 
+#: The column of row numbers that ``numbered`` adds.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and a number for each row, settled in the shared folder: the numbers are the same in every job, however its scan deals the files to tasks."""
+    return settled(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def bitmap(slots: DataFrame, bits: int) -> bytes:
     """slots: one column of numbers below 2 ** bits. A bitmap of fixed size in which those are set, merged in two levels."""
     import numpy as np

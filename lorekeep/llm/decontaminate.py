@@ -205,13 +205,18 @@ def _results(partial: DataFrame) -> DataFrame:
 
 def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: row, doc_id, n_words, n_hit, n_items, items_sha256, longest, longest_at, items, contaminated."""
-    spark, docs = docs.sparkSession, common.stable(docs)
-    texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = [_partial(texts, spark.sparkContext.broadcast(x)) for x in blocks(benchmark, block_chars)]
-    if not parts:
-        parts = [_partial(texts, spark.sparkContext.broadcast(Queries([])))]
-    if len(parts) == 1:
-        return _results(parts[0])
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark, block_chars)]
+    docs = common.project(docs, "doc_id", "text")
+    if len(shared) < 2:  # one scan numbers the rows
+        texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        return _results(_partial(texts, shared[0] if shared else docs.sparkSession.sparkContext.broadcast(Queries([]))))
+    return _searched(common.numbered(docs), shared)
+
+
+def _searched(docs: DataFrame, shared: list[Broadcast]) -> DataFrame:
+    """search() of numbered rows, each block in a scan of its own."""
+    texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")
+    parts = [_partial(texts, x) for x in shared]
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.unionAll(x)
@@ -237,6 +242,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return [not (h > 0 and SHARE * h >= len(w)) for h, w in zip(hits, tokens, strict=True)]
 
         return common.narrowed(docs, clean)
-    docs = common.stable(docs)
-    bad = search(docs, benchmark).where("contaminated").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").drop("__row")
+    docs = common.numbered(docs)
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark)]
+    bad = _searched(docs, shared).where("contaminated").select(F.col("row").alias(common.ROW))
+    return docs.join(bad, common.ROW, "left_anti").drop(common.ROW)

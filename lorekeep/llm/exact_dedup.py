@@ -37,10 +37,10 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, row: Column) -> DataFrame:
     """One small row per document; the only pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = common.project(docs, "doc_id", "text").select("doc_id", F.char_length(text).alias("chars"), normalised(text).alias("plain"))
+    rows = docs.select("doc_id", F.char_length(text).alias("chars"), normalised(text).alias("plain"), row.alias("row"))
     return rows.select(
         "doc_id",
         "chars",
@@ -48,7 +48,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.xxhash64("plain").alias("second"),
         F.octet_length("plain").cast("long").alias("size"),
         F.spark_partition_id().alias("run"),
-        F.monotonically_increasing_id().alias("row"),
+        "row",
     )
 
 
@@ -60,8 +60,13 @@ def merged(runs: DataFrame, bits: int) -> DataFrame:
 
 
 def resolve(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = common.settled(digests(docs), "digests")
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, row."""
+    return resolved(common.project(docs, "doc_id", "text"), F.monotonically_increasing_id())
+
+
+def resolved(docs: DataFrame, row: Column) -> DataFrame:
+    """resolve() with the rows' numbers in ``row``, which is read once only."""
+    rows = common.settled(digests(docs, row), "digests")
     best = F.struct((-F.col("chars")).alias("order"), F.col("doc_id").alias("id"), F.col("row").alias("at"))
     first = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     first = common.settled(first, "runs")
@@ -83,7 +88,6 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    docs = common.stable(docs)
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = resolve(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
-    return marked.join(kept, "__row", "left_semi").drop("__row")
+    docs = common.numbered(docs)
+    kept = resolved(common.project(docs, "doc_id", "text", common.ROW), F.col(common.ROW)).where("kept").select(F.col("row").alias(common.ROW)).hint("merge")
+    return docs.join(kept, common.ROW, "left_semi").drop(common.ROW)

@@ -88,6 +88,15 @@ class Head:
         return np.where((self.table[place] == hashes) & (number >= 0), number, -1)
 
 
+def one_numbering(slices: Iterator[tuple[pa.RecordBatch, list[str]]]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cuts slices where a task reads on in another file, whose row numbers are far from the last one's."""
+    for rows, own in slices:
+        row = rows.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(row >> 33)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield rows.slice(a, b - a), own[a:b]
+
+
 PASS = "part int, salt int, counts binary, first long"
 
 
@@ -98,7 +107,7 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, tokens, trained = np.zeros(HEAD, np.int64), 0, 0
         salt = TaskContext.get().partitionId()
-        for rows, own in common.slices(batches):
+        for rows, own in one_numbering(common.slices(batches)):
             data, ends = lowered(own)
             array = np.frombuffer(data, np.uint8)
             begin, end = token_places(array)
@@ -112,7 +121,8 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             trained += int(train.sum())
             hashes, text = hashes[~known], text[~known]
             row = np.array(rows.column(0).to_pylist(), np.int64)
-            places = ((row[text] - row[0]).astype(U) << U(1)) | train[text].astype(U)
+            low = row.min()
+            places = ((row[text] - low).astype(U) << U(1)) | train[text].astype(U)
             bucket = (hashes % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             hashes, places, bucket = hashes[order], places[order].astype("<u4"), bucket[order]
@@ -120,7 +130,7 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             last = np.append(first[1:], len(bucket))
             packed = [hashes[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)] if len(bucket) else []
             n = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([row[0]] * n, pa.int64())], ["part", "salt", "counts", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([low] * n, pa.int64())], ["part", "salt", "counts", "first"])
         tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART)]
         n = len(tables)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, -1 - n, -1), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([x.tobytes() for x in tables], pa.binary()), pa.array([0] * n, pa.int64())], ["part", "salt", "counts", "first"])
@@ -364,8 +374,8 @@ def fit(texts: list[str]) -> tuple[Scorer, Head]:
 
 def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, docs = docs.sparkSession, common.stable(docs)
-    texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", (common.remainder("doc_id", mod) == held_out).alias("held_out"), "text")
+    spark, docs = docs.sparkSession, common.numbered(common.project(docs, "doc_id", "text"))
+    texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", (common.remainder("doc_id", mod) == held_out).alias("held_out"), "text")
     n_docs = docs.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
     short = texts.where(~F.col("held_out") & (F.char_length("text") <= SAMPLE_CHARS) & (place < int(min(1.0, 1.2 * SAMPLE / max(n_docs, 1)) * (1 << 20))))

@@ -234,8 +234,13 @@ def ordered(a: str, b: str) -> list:
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per row: row, doc_id, class_id, class_size, kept."""
-    spark, docs = docs.sparkSession, common.stable(docs)
-    texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return classed(common.numbered(common.project(docs, "doc_id", "text")), least)
+
+
+def classed(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """classes() of rows that are numbered already."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")
     df, n = frequencies(texts)
     idf = spark.sparkContext.broadcast(idf_table(df, n))
     rows = common.settled(signed(texts, idf), "signed")
@@ -278,6 +283,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, with all its columns."""
-    docs = common.stable(docs)
-    kept = classes(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    docs = common.numbered(docs)
+    kept = classed(common.project(docs, "doc_id", "text", common.ROW)).where("kept").select(F.col("row").alias(common.ROW)).hint("merge")
+    return docs.join(kept, common.ROW, "left_semi").drop(common.ROW)

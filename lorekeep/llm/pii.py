@@ -176,7 +176,11 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """Per row: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
     docs = common.stable(docs)
-    texts = common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return found(common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
+def found(texts: DataFrame) -> DataFrame:
+    """find() of rows (row, doc_id, text); their numbers are read once only."""
     rows = common.settled(based(texts), "base")
     near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
     by_kind = near.groupBy("kind").agg(F.count(F.lit(1)).alias("near_kind"))
@@ -196,9 +200,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with each base span replaced by its kind in brackets, generalised terms by [term], removed terms by nothing; overlapping spans are replaced once, by the first that begins."""
-    docs = common.stable(docs)
-    found = find(docs).where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.transform(F.filter(F.coalesce("terms", F.array()), lambda t: t["remove"]), lambda t: t["start"]).alias("__removed"))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
+    docs = common.numbered(docs)
+    spans = found(docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")).where("spans <> ''").select(F.col("row").alias(common.ROW), F.col("spans").alias("__spans"), F.transform(F.filter(F.coalesce("terms", F.array()), lambda t: t["remove"]), lambda t: t["start"]).alias("__removed"))
+    marked = docs.join(spans, common.ROW, "left")
 
     @F.udf("string")
     def replaced(text: str | None, spans: str | None, removed: list[int] | None) -> str | None:
@@ -211,4 +215,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 last = end
         return "".join([*out, text[last:]])
 
-    return marked.withColumn("text", replaced("text", "__spans", "__removed")).drop("__row", "__spans", "__removed")
+    return marked.withColumn("text", replaced("text", "__spans", "__removed")).drop(common.ROW, "__spans", "__removed")

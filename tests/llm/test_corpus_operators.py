@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lorekeep.llm import chat, components, exact_dedup, lm, near_dedup, queries, toxicity
+from lorekeep.llm import chat, common, components, exact_dedup, lm, near_dedup, queries, toxicity
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -121,6 +121,30 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[k] == 0 for k in range(21)) and all(got[100 + k] == 100 for k in range(30))
 
 
+@pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, near_dedup.deduplicate])
+def test_rows_keep_their_numbers_when_files_are_dealt_otherwise(spark, tmp_path, monkeypatch, deduplicate):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40)]
+    rows = [(k, texts[k % 40]) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    settled, size = common.settled, "spark.sql.files.maxPartitionBytes"
+
+    def other_sizes(*args):  # the scans of one job have one file a task, those of the next have all in one
+        out = settled(*args)
+        spark.conf.set(size, "1g" if spark.conf.get(size) == "1k" else "1k")
+        return out
+
+    before = spark.conf.get(size)
+    monkeypatch.setattr(common, "settled", other_sizes)
+    try:
+        spark.conf.set(size, "1k")
+        kept = deduplicate(spark.read.parquet(str(tmp_path / "docs")))
+        for s in ("1k", "1g"):
+            spark.conf.set(size, s)
+            assert sorted(r.text for r in kept.select("*").collect()) == sorted(texts)
+    finally:
+        spark.conf.set(size, before)
+
+
 def lm_tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + [None]
 
