@@ -2,18 +2,23 @@
 
 Tokens are runs of other than white space, ASCII letters lower-cased, then one
 end. Every token's count in the training texts is exact: a fixed number of
-head tokens, taken from a bounded sample, is counted in tables of fixed size;
+head tokens, frequent in a bounded sample, is counted in tables of fixed size;
 all others go, as 64-bit hashes, to buckets whose number grows with the input,
 and each bucket counts its tokens and adds up their terms by document. So
 nothing that grows with the vocabulary is gathered in one place. (Two tokens
 share a hash with probability below V * V / 2 ** 65.)
 
-The network reads words of a small vocabulary; the rest is one class of its
-own. Its output is factored: class, then word within class; within the open
+The vocabulary, the head tokens of the model and the spelling model are those
+of all training texts, by exact counts. The network reads words of a small
+vocabulary, the most frequent ones; the rest is one class of its own. Its output is factored: class, then word within class; within the open
 class, a head token by its share of that class in all training texts, any other
 by the share that is left and a byte-pair model of its spelling. It is trained in
-numpy on the bounded sample by truncated backpropagation; the state is carried
-from window to window, and started anew with each document. Scoring runs all
+numpy by truncated backpropagation; the state is carried from window to window,
+and started anew with each document. It starts from the bounded sample; then
+every task goes on from there over all its training texts, whole, and the
+networks are averaged, weighted by their tokens. (Which texts meet in a task
+depends on how the scan deals the files, so scores differ slightly with it.)
+Scoring runs all
 of a batch's documents in step, windows of ``WINDOW`` tokens, the state
 carried, so every document's log-likelihood is that of its whole text.
 
@@ -24,6 +29,8 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +49,9 @@ HEAD_PART = 1 << 14
 BUCKET_DOCS = 4_000
 HIDDEN, CLASSES, PER_CLASS = 24, 32, 32
 OPEN = CLASSES  # the class of all other words
-WINDOW, LANES, TRAIN_TOKENS, RATE, CLIP = 32, 64, 1_200_000, 0.01, 1.0
+WINDOW, LANES, RATE, CLIP = 32, 64, 0.01, 1.0
+#: Lanes and learning rate of the tasks' training.
+TASK_LANES, TASK_RATE = 256, 0.003
 SCORE_CHARS, SCORE_WINDOW = 6 << 20, 64
 U = np.uint64
 
@@ -101,11 +110,11 @@ PASS = "part int, salt int, counts binary, first long"
 
 
 def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
-    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts; -2 and on: head tokens). Others: a bucket's rarer tokens, packed: hashes, then places of their rows counted from ``first``, the lowest bit telling training texts."""
+    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts; -2 and on: head tokens, then pairs of bytes). Others: a bucket's rarer tokens, packed: hashes, then places of their rows counted from ``first``, the lowest bit telling training texts."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens, trained = np.zeros(HEAD, np.int64), 0, 0
+        total, pairs, tokens, trained = np.zeros(HEAD, np.int64), np.zeros(1 << 16, np.int64), 0, 0
         salt = TaskContext.get().partitionId()
         for rows, own in one_numbering(common.slices(batches)):
             data, ends = lowered(own)
@@ -117,6 +126,7 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             number = shared.value.find(hashes)
             known, learnt = number >= 0, train[text]
             total += np.bincount(number[known & learnt], minlength=HEAD)
+            pairs += byte_pairs(array, np.repeat(train, np.diff(ends, prepend=0)))
             tokens += int(learnt.sum()) + int(train.sum())
             trained += int(train.sum())
             hashes, text = hashes[~known], text[~known]
@@ -131,7 +141,7 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             packed = [hashes[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)] if len(bucket) else []
             n = len(packed)
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([low] * n, pa.int64())], ["part", "salt", "counts", "first"])
-        tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART)]
+        tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART), *pairs.reshape(-1, HEAD_PART)]
         n = len(tables)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, -1 - n, -1), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([x.tobytes() for x in tables], pa.binary()), pa.array([0] * n, pa.int64())], ["part", "salt", "counts", "first"])
 
@@ -139,7 +149,7 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
 
 
 def bucket_sums(packed: DataFrame) -> DataFrame:
-    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row < 0: the bucket's distinct training tokens."""
+    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row -1: the bucket's distinct training tokens; row -2: the count of one of them (hash)."""
 
     def run(group: pa.Table) -> pa.Table:
         hashes, rows, train = [], [], []
@@ -157,9 +167,13 @@ def bucket_sums(packed: DataFrame) -> DataFrame:
         count = np.repeat(counts, np.diff(np.append(first, len(h))))
         found, at = np.unique(row, return_inverse=True)
         sums, known = np.bincount(at, np.log10(count + 1.0)), np.bincount(at, count > 0)
-        return pa.table({"row": pa.array(np.append(found, -1)), "tail_sum": pa.array(np.append(sums, 0.0)), "tail_known": pa.array(np.append(known, (counts > 0).sum()).astype(np.int64))})
+        n, own = len(found), counts > 0
+        places = np.concatenate([found, [-1], np.full(own.sum(), -2)]).astype(np.int64)
+        numbers = np.concatenate([known, [own.sum()], counts[own]]).astype(np.int64)
+        names = pa.array(np.concatenate([np.zeros(n + 1, np.int64), h[first][own].view(np.int64)]))
+        return pa.table({"row": places, "tail_sum": pa.array(np.concatenate([sums, np.zeros(len(places) - n)])), "tail_known": numbers, "hash": names})
 
-    return packed.groupBy("part").applyInArrow(run, "row long, tail_sum double, tail_known long")
+    return packed.groupBy("part").applyInArrow(run, "row long, tail_sum double, tail_known long, hash long")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -182,6 +196,7 @@ class Network:
             "w": scale(CLASSES, h, PER_CLASS),
             "wb": np.zeros((CLASSES, PER_CLASS), f),
         }
+        self.squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """x: the input's part of the gates. The new state and what the gates were."""
@@ -205,25 +220,28 @@ class Network:
                 out[own] += inner[np.arange(len(own)), y[own] % PER_CLASS] - log_sum(inner)
         return out
 
-    def train(self, stream: np.ndarray) -> None:
-        """Truncated backpropagation over one stream of words in which ends (0) close texts, read in LANES lanes."""
-        steps = (len(stream) - 1) // LANES
-        if steps < 1:
+    def train(self, stream: np.ndarray, most: int = LANES, rate: float = RATE, least: float = 0.1) -> None:
+        """Truncated backpropagation over one stream of words in which ends (0) close texts, every word of it, read in up to ``most`` lanes; the rate falls to ``least`` of it."""
+        n = len(stream) - 1
+        if n < 1:
             return
-        x = stream[: steps * LANES].reshape(LANES, steps).T
-        y = stream[1 : steps * LANES + 1].reshape(LANES, steps).T
-        h = np.zeros((LANES, HIDDEN), np.float32)
-        squares = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
-        windows = -(-steps // WINDOW)
+        lanes = min(max(n // WINDOW, 1), most)
+        steps = -(-n // lanes)
+        x, y = np.zeros(lanes * steps, np.int64), np.full(lanes * steps, -1, np.int64)  # -1: the last lane is filled up
+        x[:n], y[:n] = stream[:-1], stream[1:]
+        x, y = x.reshape(lanes, steps).T, y.reshape(lanes, steps).T
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        squares, windows = self.squares, -(-steps // WINDOW)
         for k in range(windows):
             at = slice(k * WINDOW, (k + 1) * WINDOW)
             h, grads = self.gradients(x[at], y[at], h)
             for name, g in grads.items():
                 np.clip(g, -CLIP, CLIP, out=g)
                 squares[name] = 0.99 * squares[name] + 0.01 * g * g
-                self.p[name] -= RATE * (1 - 0.9 * k / windows) * g / (np.sqrt(squares[name]) + 1e-6)
+                self.p[name] -= rate * (1 - (1 - least) * k / windows) * g / (np.sqrt(squares[name]) + 1e-6)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Targets below 0 don't count."""
         p, n, lanes = self.p, HIDDEN, x.shape[1]
         kept, states = [], []
         for t in range(len(x)):
@@ -234,11 +252,14 @@ class Network:
             states.append(h)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         flat, target = np.concatenate(states), y.ravel()
+        void = target < 0
+        target = np.where(void, OPEN * PER_CLASS, target)
         cls, at = target // PER_CLASS, np.arange(len(target))
         scale = np.float32(1 / lanes)
         soft = softmax(flat @ p["c"] + p["cb"])
         soft[at, cls] -= 1
         soft *= scale
+        soft[void] = 0
         grads["c"], grads["cb"] = flat.T @ soft, soft.sum(0)
         d = soft @ p["c"].T
         for k in np.unique(cls[cls < CLASSES]):
@@ -281,9 +302,30 @@ def softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Scorer:
     network: Network
-    numbers: dict[bytes, int]  # words of the vocabulary, from 1
+    vocabulary: np.ndarray  # hashes of the words, numbered from 1
     spelling: np.ndarray  # log probability of a byte after another; 0x20 is the word's border
 
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.vocabulary)
+        self.sorted = self.vocabulary[self.order]
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """Each token's number in the vocabulary, or that of all others."""
+        other = CLASSES * PER_CLASS
+        if not len(self.sorted):
+            return np.full(len(hashes), other)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at] + 1, other)
+
+    def stream(self, texts: list[str]) -> np.ndarray:
+        """The texts' words in a row, an end (0) before the first and after each."""
+        data, ends = lowered(texts)
+        array = np.frombuffer(data, np.uint8)
+        begin, end = token_places(array)
+        out = np.zeros(len(begin) + len(texts) + 1, np.int64)
+        out[np.arange(len(begin)) + np.searchsorted(ends, begin, "right") + 1] = self.words(token_hashes(array, begin, end))
+        return out
+
     def spelled(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each token's bytes and its border."""
         sums = np.zeros(len(data) + 1)
@@ -292,18 +334,14 @@ class Scorer:
 
     def open_shares(self, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, float]:
         """Log shares of the head tokens in the open class, and of all other tokens. counts, tokens: of the training texts."""
-        counts = counts.astype(np.float64)
         vocabulary = CLASSES * PER_CLASS - 1
-        total = max(tokens - counts[:vocabulary].sum(), 0) + 0.5 * len(counts) + 1
-        rest = total - counts[vocabulary:].sum() - 0.5 * len(counts)
-        return np.log((counts + 0.5) / total), float(np.log(max(rest, 1.0) / total))
+        return open_shares(counts, len(counts), tokens - counts[:vocabulary].sum(), counts[vocabulary:].sum())
 
     def score(self, texts: list[str], data: bytes, ends: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, shares: tuple[np.ndarray, float]) -> np.ndarray:
         """The log10 probability of every text. number: of each token in the head, or -1."""
         array = np.frombuffer(data, np.uint8)
         other = CLASSES * PER_CLASS
-        get = self.numbers.get
-        words = np.fromiter((get(w, other) for w in data.split()), np.int64, len(begin))
+        words = self.words(token_hashes(array, begin, end))
         text = np.searchsorted(ends, begin, "right")
         inside = np.where(number >= 0, shares[0][number], shares[1] + self.spelled(array, begin, end))
         spelt = np.where(words == other, inside, 0)
@@ -332,9 +370,31 @@ class Scorer:
         return out / np.log(10)
 
 
-def fit(texts: list[str]) -> tuple[Scorer, Head]:
-    """The network, its vocabulary and spelling, and the head tokens, all from the sample."""
-    hashes, sources, pairs, at = [], [], np.full((256, 256), 0.05), 0
+def open_shares(counts: np.ndarray, size: int, tokens: int, head: int) -> tuple[np.ndarray, float]:
+    """Log shares in the open class of ``size`` tokens with these counts, and of all others. tokens: of the class; head: those among them that are in counts."""
+    total = max(tokens, 0) + 0.5 * size + 1
+    rest = total - head - 0.5 * size
+    return np.log((counts.astype(np.float64) + 0.5) / total), float(np.log(max(rest, 1.0) / total))
+
+
+def byte_pairs(array: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How often each byte follows another, where ``own`` holds."""
+    return np.bincount((np.concatenate([[0x20], array[:-1]]).astype(np.int64) * 256 + array)[own], minlength=1 << 16)
+
+
+def spelling(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs.reshape(256, 256) + 0.05
+    pairs[:, 0x20] += 1  # any word may end
+    return np.log(pairs / pairs.sum(1, keepdims=True))
+
+
+def by_count(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.lexsort((hashes, -counts))
+
+
+def census(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct tokens, the most frequent first, and how often each byte follows another."""
+    hashes, pairs, at = [], np.zeros(1 << 16, np.int64), 0
     while at < len(texts):  # in slices, as hashing takes many times a slice's size
         upto, chars = at, 0
         while upto < len(texts) and chars < common.SLICE_CHARS:
@@ -344,32 +404,71 @@ def fit(texts: list[str]) -> tuple[Scorer, Head]:
         at = upto
         array = np.frombuffer(data, np.uint8)
         begin, end = token_places(array)
-        own = token_hashes(array, begin, end)
-        found, first, counts = np.unique(own, return_index=True, return_counts=True)
-        hashes.append((found, counts))
-        sources.append((data, begin[first], end[first]))
-        pairs += np.bincount(np.concatenate([[0x20], array[:-1]]).astype(np.int64) * 256 + array, minlength=1 << 16).reshape(256, 256)
+        hashes.append(np.unique(token_hashes(array, begin, end), return_counts=True))
+        pairs += byte_pairs(array, np.ones(len(array), bool))
     every = np.concatenate([x for x, _ in hashes]) if hashes else np.zeros(0, U)
     found, back = np.unique(every, return_inverse=True)
     counts = np.bincount(back, np.concatenate([c for _, c in hashes]) if hashes else None, minlength=len(found))
-    order = np.lexsort((found, -counts))
-    words = []
-    for h in found[order[: CLASSES * PER_CLASS - 1]]:
-        k = next(k for k, (x, _) in enumerate(hashes) if x[min(np.searchsorted(x, h), len(x) - 1)] == h)
-        i = np.searchsorted(hashes[k][0], h)
-        words.append(sources[k][0][sources[k][1][i] : sources[k][2][i]])
-    numbers = {w: k for k, w in enumerate(words, 1)}
-    pairs[:, 0x20] += 1  # any word may end
-    spelling = np.log(pairs / pairs.sum(1, keepdims=True))
-    network = Network()
-    stream = [0]
-    for text in texts:
-        stream += [numbers.get(w, CLASSES * PER_CLASS) for w in text.encode().translate(LOWER).split()]
-        stream.append(0)
-        if len(stream) > TRAIN_TOKENS:
+    return found[by_count(found, counts)], pairs
+
+
+def fitted(texts: list[str], vocabulary: np.ndarray, pairs: np.ndarray) -> Scorer:
+    scorer = Scorer(Network(), vocabulary, spelling(pairs))
+    parts, at = [np.zeros(1, np.int64)], 0
+    while at < len(texts):
+        upto, chars = at, 0
+        while upto < len(texts) and chars < common.SLICE_CHARS:
+            chars += len(texts[upto])
+            upto += 1
+        parts.append(scorer.stream(texts[at:upto])[1:])
+        at = upto
+    scorer.network.train(np.concatenate(parts))
+    return scorer
+
+
+def fit(texts: list[str]) -> tuple[Scorer, Head]:
+    """The network, its vocabulary and spelling, and the head tokens, all from these texts."""
+    found, pairs = census(texts)
+    return fitted(texts, found[: CLASSES * PER_CLASS - 1], pairs), Head(found[:HEAD])
+
+
+def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
+    """The scorer's network, trained on in every task over all its training texts; the mean of the tasks' networks, weighted by their tokens."""
+    shared, names = texts.sparkSession.sparkContext.broadcast(scorer), list(scorer.network.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, tokens = copy.deepcopy(shared.value.network), 0
+        for _, own in common.slices(batches):
+            stream = shared.value.stream(own)
+            network.train(stream, TASK_LANES, TASK_RATE, 1.0)
+            tokens += len(stream) - 1
+        if tokens:
+            flat = np.concatenate([network.p[k].ravel() for k in names]).astype("<f8") * tokens
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.append(flat, tokens).tobytes()], pa.binary())], ["part", "salt", "counts"])
+
+    parts = common.settled(texts.where(~F.col("held_out")).select("text").mapInArrow(run, "part int, salt int, counts binary"), "networks")
+    found = common.summed_tables(parts, "<f8").collect()
+    if found:
+        flat, at = np.frombuffer(found[0][1], "<f8"), 0
+        for k in names:
+            own = scorer.network.p[k]
+            scorer.network.p[k] = (flat[at : at + own.size] / flat[-1]).reshape(own.shape).astype(np.float32)
+            at += own.size
+    return scorer.network
+
+
+def frequent(tail: DataFrame, head: Head, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of all training tokens the most frequent ones, at most HEAD: hashes and counts of those that ``head`` doesn't count, and the count that all exceed."""
+    rare = tail.where("row = -2")
+    sizes = Counter(dict(rare.groupBy("tail_known").count().collect())) + Counter(counts[counts > 0].tolist())
+    cut, room = 0, HEAD
+    for n in sorted(sizes, reverse=True):
+        room -= sizes[n]
+        if room < 0:
+            cut = n
             break
-    network.train(np.array(stream[:TRAIN_TOKENS], np.int64))
-    return Scorer(network, numbers, spelling), Head(found[order[:HEAD]])
+    more = rare.where(F.col("tail_known") > cut).select("hash", "tail_known").toArrow()
+    return more["hash"].to_numpy().view(U), more["tail_known"].to_numpy(), cut
 
 
 def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
@@ -380,19 +479,36 @@ def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
     short = texts.where(~F.col("held_out") & (F.char_length("text") <= SAMPLE_CHARS) & (place < int(min(1.0, 1.2 * SAMPLE / max(n_docs, 1)) * (1 << 20))))
     sample = short.select(place.alias("place"), "row", "text").toArrow().sort_by([("place", "ascending"), ("row", "ascending")])
-    scorer, head = fit(sample["text"].to_pylist())
-    del sample
+    sample = sample["text"].to_pylist()
+    head = Head(census(sample)[0][:HEAD])
     packed = common.settled(gathered(texts, head, max(32, n_docs // BUCKET_DOCS)), "tokens")
     found = {r[0]: np.frombuffer(r[1], "<i8") for r in common.summed_tables(packed.where("part < 0")).collect()}
     counts = np.concatenate([found[-2 - k] for k in range(HEAD // HEAD_PART)]) if found else np.zeros(HEAD, np.int64)
     tokens, trained = (int(x) for x in found[-1]) if found else (0, 0)
+    pairs = np.concatenate([found[-2 - HEAD // HEAD_PART - k] for k in range((1 << 16) // HEAD_PART)]) if found else np.zeros(1 << 16, np.int64)
     tail = common.settled(bucket_sums(packed.where("part >= 0")), "tail")
-    distinct = int((counts > 0).sum()) + (trained > 0) + (tail.where("row < 0").agg(F.sum("tail_known")).first()[0] or 0)
-    shared = spark.sparkContext.broadcast((scorer, head, np.log10(counts + 1.0), counts > 0, scorer.open_shares(counts, tokens - trained)))
+    distinct = int((counts > 0).sum()) + (trained > 0) + (tail.where("row = -1").agg(F.sum("tail_known")).first()[0] or 0)
+
+    counts = counts[: len(head.hashes)]
+    more, more_counts, cut = frequent(tail, head, counts)
+    model = Head(np.concatenate([head.hashes, more]))  # head's tokens keep their places
+    exact = np.concatenate([counts, more_counts])
+    top = np.flatnonzero(exact > cut)
+    top = top[by_count(model.hashes[top], exact[top])]
+    words = top[: CLASSES * PER_CLASS - 1]
+    member = (exact > cut) & (model.find(model.hashes) == np.arange(len(exact)))
+    spelt = member.copy()
+    spelt[words] = False
+    shares_ = open_shares(exact, int(member.sum()), tokens - trained - exact[words].sum(), exact[spelt].sum())
+    scorer = fitted(sample, model.hashes[words], pairs)
+    del sample
+    trained_on_all(texts, scorer)
+    terms_, known_ = (np.concatenate([x, np.zeros(len(more), x.dtype)]) for x in (np.log10(counts + 1.0), counts > 0))
+    shared = spark.sparkContext.broadcast((scorer, model, terms_, known_, member, shares_))
     end_term, end_known = float(np.log10(trained + 1.0)), int(trained > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, top, terms, known, shares = shared.value
+        own, top, terms, known, member, shares = shared.value
         for rows, texts_ in common.slices(batches, chars=SCORE_CHARS):
             data, ends = lowered(texts_)
             array = np.frombuffer(data, np.uint8)
@@ -403,6 +519,7 @@ def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
             sums = np.bincount(text[head_], terms[number[head_]], minlength=len(texts_)) + end_term
             knows = np.bincount(text[head_], known[number[head_]], minlength=len(texts_)).astype(np.int64) + end_known
             sizes = np.bincount(text, minlength=len(texts_)) + 1
+            number[head_] = np.where(member[number[head_]], number[head_], -1)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1).cast(pa.int64()), rows.column(2), pa.array(sizes, pa.int64()), pa.array(knows), pa.array(sums), pa.array(own.score(texts_, data, ends, begin, end, number, shares))],
                 ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score"],

@@ -171,6 +171,21 @@ def test_lm_base_scores_equal_brute_force(spark, empty, monkeypatch):
     assert lm.score(empty).collect() == []
 
 
+def test_every_training_text_reaches_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_CHARS", 10)  # the start's sample is empty: all that is learnt comes from the whole corpus
+    rnd = random.Random(9)
+    docs = [(k, " ".join(f"a{n} b{n}" for n in rnd.choices(range(8), k=rnd.randint(30, 60)))) for k in range(300)]
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > math.log10(1 / 33 / 32)  # a class, and a word of it: none is spelled
+    untrained = lm.Scorer(lm.Network(), np.zeros(0, np.uint64), lm.spelling(np.zeros(1 << 16)))
+    start = {k: v.copy() for k, v in untrained.network.p.items()}
+    long = spark.createDataFrame([(False, "x " * 60_000), (True, "y z")], "held_out boolean, text string").coalesce(1)
+    network = lm.trained_on_all(long, untrained)
+    alone = lm.Network()
+    alone.train(untrained.stream(["x " * 60_000]), lm.TASK_LANES, lm.TASK_RATE, 1.0)
+    assert all(np.allclose(network.p[k], alone.p[k], atol=1e-5) for k in start) and any((network.p[k] != start[k]).any() for k in start)
+
+
 def test_gradients_equal_differences(monkeypatch):
     rng = np.random.default_rng(5)
     net = lm.Network()
