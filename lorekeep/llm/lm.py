@@ -5,22 +5,22 @@ end. Every token's count in the training texts is exact: a fixed number of
 head tokens, frequent in a bounded sample, is counted in tables of fixed size;
 all others go, as 64-bit hashes, to buckets whose number grows with the input,
 and each bucket counts its tokens and adds up their terms by document. So
-nothing that grows with the vocabulary is gathered in one place. (Two tokens
-share a hash with probability below V * V / 2 ** 65.)
-
-The vocabulary, the head tokens of the model and the spelling model are those
-of all training texts, by exact counts. The network reads words of a small
-vocabulary, the most frequent ones; the rest is one class of its own. Its output is factored: class, then word within class; within the open
-class, a head token by its share of that class in all training texts, any other
-by the share that is left and a byte-pair model of its spelling. It is trained in
-numpy by truncated backpropagation; the state is carried from window to window,
-and started anew with each document. It starts from the bounded sample; then
-every task goes on from there over all its training texts, whole, and the
-networks are averaged, weighted by their tokens. (Which texts meet in a task
-depends on how the scan deals the files, so scores differ slightly with it.)
-Scoring runs all
-of a batch's documents in step, windows of ``WINDOW`` tokens, the state
-carried, so every document's log-likelihood is that of its whole text.
+nothing that grows with the vocabulary is gathered in one place.
+
+The network reads a small vocabulary, the most frequent words by exact count;
+all other words are one open class. Its output is factored: class, then word
+within class. Within the open class a word has its add-one share of that class
+by the exact counts, and all words that never occurred are one word, as in the
+base score; both scores are log probabilities over the same outcomes, and the
+base is the model without context.
+
+The network is trained in numpy by truncated backpropagation; the state is
+carried from window to window, and started anew with each document. It starts
+from a bounded sample; then every task goes on from there over all its training
+texts, whole, and the networks are averaged, weighted by their tokens. (Which
+texts meet in a task depends on how the scan deals the files, so scores differ
+slightly with it.) Scoring runs a batch's documents in step, in windows, the
+state carried, so every document's log-likelihood is that of its whole text.
 
 Defined results: a null or blank text is the end alone; repeated rows give
 repeated results; without training texts N and V are 0; an empty table gives
@@ -30,7 +30,6 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import copy
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common
+from .hashing import run_hashes
 
 SAMPLE, SAMPLE_CHARS = 6_000, 50_000
 HEAD_BITS, HEAD = 20, 1 << 17
@@ -71,13 +71,6 @@ def token_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def token_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = shingles.POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:-1], out=sums[1:])
-    return shingles.mix((sums[end] - sums[begin]) * down[begin])
-
-
 @dataclass
 class Head:
     """The head tokens' hashes in a table addressed by their upper bits; of tokens that would share a place, the first stays."""
@@ -110,23 +103,22 @@ PASS = "part int, salt int, counts binary, first long"
 
 
 def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
-    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts; -2 and on: head tokens, then pairs of bytes). Others: a bucket's rarer tokens, packed: hashes, then places of their rows counted from ``first``, the lowest bit telling training texts."""
+    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts; -2 and on: head tokens). Others: a bucket's rarer tokens, packed: hashes, then places of their rows counted from ``first``, the lowest bit telling training texts."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, pairs, tokens, trained = np.zeros(HEAD, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        total, tokens, trained = np.zeros(HEAD, np.int64), 0, 0
         salt = TaskContext.get().partitionId()
         for rows, own in one_numbering(common.slices(batches)):
             data, ends = lowered(own)
             array = np.frombuffer(data, np.uint8)
             begin, end = token_places(array)
-            hashes = token_hashes(array, begin, end)
+            hashes = run_hashes(array, begin, end)
             text = np.searchsorted(ends, begin, "right")
             train = ~np.array(rows.column(1).to_pylist(), bool)
             number = shared.value.find(hashes)
             known, learnt = number >= 0, train[text]
             total += np.bincount(number[known & learnt], minlength=HEAD)
-            pairs += byte_pairs(array, np.repeat(train, np.diff(ends, prepend=0)))
             tokens += int(learnt.sum()) + int(train.sum())
             trained += int(train.sum())
             hashes, text = hashes[~known], text[~known]
@@ -141,15 +133,15 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             packed = [hashes[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)] if len(bucket) else []
             n = len(packed)
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([low] * n, pa.int64())], ["part", "salt", "counts", "first"])
-        tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART), *pairs.reshape(-1, HEAD_PART)]
+        tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART)]
         n = len(tables)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, -1 - n, -1), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([x.tobytes() for x in tables], pa.binary()), pa.array([0] * n, pa.int64())], ["part", "salt", "counts", "first"])
 
     return texts.select("row", "held_out", "text").mapInArrow(run, PASS)
 
 
-def bucket_sums(packed: DataFrame) -> DataFrame:
-    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row -1: the bucket's distinct training tokens; row -2: the count of one of them (hash)."""
+def bucket_sums(packed: DataFrame, cut: int) -> DataFrame:
+    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row -1: the bucket's distinct training tokens; row -2: the count of one of them (hash), if above ``cut``."""
 
     def run(group: pa.Table) -> pa.Table:
         hashes, rows, train = [], [], []
@@ -167,9 +159,9 @@ def bucket_sums(packed: DataFrame) -> DataFrame:
         count = np.repeat(counts, np.diff(np.append(first, len(h))))
         found, at = np.unique(row, return_inverse=True)
         sums, known = np.bincount(at, np.log10(count + 1.0)), np.bincount(at, count > 0)
-        n, own = len(found), counts > 0
+        n, own = len(found), counts > cut
         places = np.concatenate([found, [-1], np.full(own.sum(), -2)]).astype(np.int64)
-        numbers = np.concatenate([known, [own.sum()], counts[own]]).astype(np.int64)
+        numbers = np.concatenate([known, [(counts > 0).sum()], counts[own]]).astype(np.int64)
         names = pa.array(np.concatenate([np.zeros(n + 1, np.int64), h[first][own].view(np.int64)]))
         return pa.table({"row": places, "tail_sum": pa.array(np.concatenate([sums, np.zeros(len(places) - n)])), "tail_known": numbers, "hash": names})
 
@@ -303,7 +295,6 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class Scorer:
     network: Network
     vocabulary: np.ndarray  # hashes of the words, numbered from 1
-    spelling: np.ndarray  # log probability of a byte after another; 0x20 is the word's border
 
     def __post_init__(self) -> None:
         self.order = np.argsort(self.vocabulary)
@@ -323,38 +314,32 @@ class Scorer:
         array = np.frombuffer(data, np.uint8)
         begin, end = token_places(array)
         out = np.zeros(len(begin) + len(texts) + 1, np.int64)
-        out[np.arange(len(begin)) + np.searchsorted(ends, begin, "right") + 1] = self.words(token_hashes(array, begin, end))
+        out[np.arange(len(begin)) + np.searchsorted(ends, begin, "right") + 1] = self.words(run_hashes(array, begin, end))
         return out
 
-    def spelled(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log probability of each token's bytes and its border."""
-        sums = np.zeros(len(data) + 1)
-        np.cumsum(self.spelling[np.concatenate([[0x20], data[:-1]]), data], out=sums[1:])
-        return sums[np.minimum(end + 1, len(data))] - sums[begin]
-
-    def open_shares(self, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, float]:
-        """Log shares of the head tokens in the open class, and of all other tokens. counts, tokens: of the training texts."""
-        vocabulary = CLASSES * PER_CLASS - 1
-        return open_shares(counts, len(counts), tokens - counts[:vocabulary].sum(), counts[vocabulary:].sum())
-
-    def score(self, texts: list[str], data: bytes, ends: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, shares: tuple[np.ndarray, float]) -> np.ndarray:
-        """The log10 probability of every text. number: of each token in the head, or -1."""
-        array = np.frombuffer(data, np.uint8)
-        other = CLASSES * PER_CLASS
-        words = self.words(token_hashes(array, begin, end))
-        text = np.searchsorted(ends, begin, "right")
-        inside = np.where(number >= 0, shares[0][number], shares[1] + self.spelled(array, begin, end))
-        spelt = np.where(words == other, inside, 0)
-        out = np.bincount(text, spelt, minlength=len(texts))
-        sizes = np.bincount(text, minlength=len(texts)) + 1  # with the end
-        flat = np.zeros(len(words) + len(texts), np.int64)
+    def fit(self, texts: list[str]) -> None:
+        parts, at = [np.zeros(1, np.int64)], 0
+        while at < len(texts):  # in slices, as hashing takes many times a slice's size
+            upto, chars = at, 0
+            while upto < len(texts) and chars < common.SLICE_CHARS:
+                chars += len(texts[upto])
+                upto += 1
+            parts.append(self.stream(texts[at:upto])[1:])
+            at = upto
+        self.network.train(np.concatenate(parts))
+
+    def score(self, words: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+        """The natural log probability of every text, of words of the open class that of the class alone. text: of each word, in order."""
+        out = np.zeros(n_texts)
+        sizes = np.bincount(text, minlength=n_texts) + 1  # with the end
+        flat = np.zeros(len(words) + n_texts, np.int64)
         starts = np.cumsum(sizes) - sizes
         flat[np.arange(len(words)) + text] = words  # each text's end is 0
         lanes = np.argsort(-sizes, kind="stable")
         lengths, at = sizes[lanes], starts[lanes]
-        h = np.zeros((len(texts), HIDDEN), np.float32)
+        h = np.zeros((n_texts, HIDDEN), np.float32)
         table = self.network.p["x"] + self.network.p["b"]
-        inputs = np.zeros(len(texts), np.int64)
+        inputs = np.zeros(n_texts, np.int64)
         for low in range(0, int(lengths[0]) if len(lengths) else 0, SCORE_WINDOW):
             states, targets, who = [], [], []
             for t in range(low, min(low + SCORE_WINDOW, int(lengths[0]))):
@@ -366,36 +351,14 @@ class Scorer:
                 who.append(lanes[:n])
                 inputs = y
             lane = np.concatenate(who)
-            out += np.bincount(lane, self.network.log_probabilities(np.concatenate(states), np.concatenate(targets)), minlength=len(texts))
-        return out / np.log(10)
-
-
-def open_shares(counts: np.ndarray, size: int, tokens: int, head: int) -> tuple[np.ndarray, float]:
-    """Log shares in the open class of ``size`` tokens with these counts, and of all others. tokens: of the class; head: those among them that are in counts."""
-    total = max(tokens, 0) + 0.5 * size + 1
-    rest = total - head - 0.5 * size
-    return np.log((counts.astype(np.float64) + 0.5) / total), float(np.log(max(rest, 1.0) / total))
-
-
-def byte_pairs(array: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """How often each byte follows another, where ``own`` holds."""
-    return np.bincount((np.concatenate([[0x20], array[:-1]]).astype(np.int64) * 256 + array)[own], minlength=1 << 16)
-
-
-def spelling(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs.reshape(256, 256) + 0.05
-    pairs[:, 0x20] += 1  # any word may end
-    return np.log(pairs / pairs.sum(1, keepdims=True))
-
-
-def by_count(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.lexsort((hashes, -counts))
+            out += np.bincount(lane, self.network.log_probabilities(np.concatenate(states), np.concatenate(targets)), minlength=n_texts)
+        return out
 
 
-def census(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' distinct tokens, the most frequent first, and how often each byte follows another."""
-    hashes, pairs, at = [], np.zeros(1 << 16, np.int64), 0
-    while at < len(texts):  # in slices, as hashing takes many times a slice's size
+def frequent(texts: list[str], most: int) -> np.ndarray:
+    """The hashes of the texts' most frequent tokens, the most frequent first."""
+    found, at = [], 0
+    while at < len(texts):
         upto, chars = at, 0
         while upto < len(texts) and chars < common.SLICE_CHARS:
             chars += len(texts[upto])
@@ -403,33 +366,11 @@ def census(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data, _ = lowered(texts[at:upto])
         at = upto
         array = np.frombuffer(data, np.uint8)
-        begin, end = token_places(array)
-        hashes.append(np.unique(token_hashes(array, begin, end), return_counts=True))
-        pairs += byte_pairs(array, np.ones(len(array), bool))
-    every = np.concatenate([x for x, _ in hashes]) if hashes else np.zeros(0, U)
-    found, back = np.unique(every, return_inverse=True)
-    counts = np.bincount(back, np.concatenate([c for _, c in hashes]) if hashes else None, minlength=len(found))
-    return found[by_count(found, counts)], pairs
-
-
-def fitted(texts: list[str], vocabulary: np.ndarray, pairs: np.ndarray) -> Scorer:
-    scorer = Scorer(Network(), vocabulary, spelling(pairs))
-    parts, at = [np.zeros(1, np.int64)], 0
-    while at < len(texts):
-        upto, chars = at, 0
-        while upto < len(texts) and chars < common.SLICE_CHARS:
-            chars += len(texts[upto])
-            upto += 1
-        parts.append(scorer.stream(texts[at:upto])[1:])
-        at = upto
-    scorer.network.train(np.concatenate(parts))
-    return scorer
-
-
-def fit(texts: list[str]) -> tuple[Scorer, Head]:
-    """The network, its vocabulary and spelling, and the head tokens, all from these texts."""
-    found, pairs = census(texts)
-    return fitted(texts, found[: CLASSES * PER_CLASS - 1], pairs), Head(found[:HEAD])
+        found.append(np.unique(run_hashes(array, *token_places(array)), return_counts=True))
+    every = np.concatenate([x for x, _ in found]) if found else np.zeros(0, U)
+    hashes, back = np.unique(every, return_inverse=True)
+    counts = np.bincount(back, np.concatenate([c for _, c in found]) if found else None, minlength=len(hashes))
+    return hashes[np.lexsort((hashes, -counts))][:most]
 
 
 def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
@@ -457,82 +398,75 @@ def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
     return scorer.network
 
 
-def frequent(tail: DataFrame, head: Head, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of all training tokens the most frequent ones, at most HEAD: hashes and counts of those that ``head`` doesn't count, and the count that all exceed."""
-    rare = tail.where("row = -2")
-    sizes = Counter(dict(rare.groupBy("tail_known").count().collect())) + Counter(counts[counts > 0].tolist())
-    cut, room = 0, HEAD
-    for n in sorted(sizes, reverse=True):
-        room -= sizes[n]
-        if room < 0:
-            cut = n
-            break
-    more = rare.where(F.col("tail_known") > cut).select("hash", "tail_known").toArrow()
-    return more["hash"].to_numpy().view(U), more["tail_known"].to_numpy(), cut
-
-
 def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, docs = docs.sparkSession, common.numbered(common.project(docs, "doc_id", "text"))
     texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", (common.remainder("doc_id", mod) == held_out).alias("held_out"), "text")
     n_docs = docs.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
-    short = texts.where(~F.col("held_out") & (F.char_length("text") <= SAMPLE_CHARS) & (place < int(min(1.0, 1.2 * SAMPLE / max(n_docs, 1)) * (1 << 20))))
+    chance = int(min(1.0, 1.2 * SAMPLE / max(n_docs, 1)) * (1 << 20))
+    short = texts.where(~F.col("held_out") & (F.char_length("text") <= SAMPLE_CHARS) & (place < chance))
     sample = short.select(place.alias("place"), "row", "text").toArrow().sort_by([("place", "ascending"), ("row", "ascending")])
     sample = sample["text"].to_pylist()
-    head = Head(census(sample)[0][:HEAD])
+
+    head = Head(frequent(sample, HEAD))
     packed = common.settled(gathered(texts, head, max(32, n_docs // BUCKET_DOCS)), "tokens")
     found = {r[0]: np.frombuffer(r[1], "<i8") for r in common.summed_tables(packed.where("part < 0")).collect()}
     counts = np.concatenate([found[-2 - k] for k in range(HEAD // HEAD_PART)]) if found else np.zeros(HEAD, np.int64)
     tokens, trained = (int(x) for x in found[-1]) if found else (0, 0)
-    pairs = np.concatenate([found[-2 - HEAD // HEAD_PART - k] for k in range((1 << 16) // HEAD_PART)]) if found else np.zeros(1 << 16, np.int64)
-    tail = common.settled(bucket_sums(packed.where("part >= 0")), "tail")
-    distinct = int((counts > 0).sum()) + (trained > 0) + (tail.where("row = -1").agg(F.sum("tail_known")).first()[0] or 0)
-
     counts = counts[: len(head.hashes)]
-    more, more_counts, cut = frequent(tail, head, counts)
-    model = Head(np.concatenate([head.hashes, more]))  # head's tokens keep their places
-    exact = np.concatenate([counts, more_counts])
-    top = np.flatnonzero(exact > cut)
-    top = top[by_count(model.hashes[top], exact[top])]
-    words = top[: CLASSES * PER_CLASS - 1]
-    member = (exact > cut) & (model.find(model.hashes) == np.arange(len(exact)))
-    spelt = member.copy()
-    spelt[words] = False
-    shares_ = open_shares(exact, int(member.sum()), tokens - trained - exact[words].sum(), exact[spelt].sum())
-    scorer = fitted(sample, model.hashes[words], pairs)
+
+    # The vocabulary: the most frequent words of all training texts, those of the head or any that exceed them.
+    words = CLASSES * PER_CLASS - 1
+    cut = int(np.sort(counts)[::-1][:words][-1]) if len(counts) >= words else 0
+    tail = common.settled(bucket_sums(packed.where("part >= 0"), cut), "tail")
+    distinct = int((counts > 0).sum()) + (trained > 0) + (tail.where("row = -1").agg(F.sum("tail_known")).first()[0] or 0)
+    more = tail.where("row = -2").orderBy(F.desc("tail_known"), "hash").limit(words).select("hash", "tail_known").toArrow()
+    every = np.concatenate([head.hashes, more["hash"].to_numpy().view(U)])
+    exact = np.concatenate([counts, more["tail_known"].to_numpy()]).astype(np.int64)
+    chosen = np.lexsort((every, -exact))[:words]
+    chosen = chosen[exact[chosen] > 0]
+
+    scorer = Scorer(Network(), every[chosen])
+    scorer.fit(sample)
     del sample
     trained_on_all(texts, scorer)
-    terms_, known_ = (np.concatenate([x, np.zeros(len(more), x.dtype)]) for x in (np.log10(counts + 1.0), counts > 0))
-    shared = spark.sparkContext.broadcast((scorer, model, terms_, known_, member, shares_))
+
+    log_counts = np.log10(counts + 1.0)
+    open_counts = log_counts.copy()
+    open_counts[chosen[chosen < len(counts)]] = 0
+    in_tail = np.append(0.0, np.where(chosen >= len(counts), np.log10(exact[chosen] + 1.0), 0.0))  # by word; tail sums hold them
+    open_total = float(np.log10(max(tokens - trained - int(exact[chosen].sum()), 0) + distinct - (trained > 0) - len(chosen) + 1))
+    shared = spark.sparkContext.broadcast((scorer, head, log_counts, open_counts, counts > 0, in_tail))
     end_term, end_known = float(np.log10(trained + 1.0)), int(trained > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, top, terms, known, member, shares = shared.value
+        own, top, terms, open_terms, known, in_tail = shared.value
         for rows, texts_ in common.slices(batches, chars=SCORE_CHARS):
             data, ends = lowered(texts_)
             array = np.frombuffer(data, np.uint8)
             begin, end = token_places(array)
-            text = np.searchsorted(ends, begin, "right")
-            number = top.find(token_hashes(array, begin, end))
-            head_ = number >= 0
-            sums = np.bincount(text[head_], terms[number[head_]], minlength=len(texts_)) + end_term
-            knows = np.bincount(text[head_], known[number[head_]], minlength=len(texts_)).astype(np.int64) + end_known
-            sizes = np.bincount(text, minlength=len(texts_)) + 1
-            number[head_] = np.where(member[number[head_]], number[head_], -1)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1).cast(pa.int64()), rows.column(2), pa.array(sizes, pa.int64()), pa.array(knows), pa.array(sums), pa.array(own.score(texts_, data, ends, begin, end, number, shares))],
-                ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score"],
-            )
-
-    scored = texts.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double")
+            n, text = len(texts_), np.searchsorted(ends, begin, "right")
+            hashes = run_hashes(array, begin, end)
+            number, word = top.find(hashes), own.words(hashes)
+            head_, closed = number >= 0, word < CLASSES * PER_CLASS
+            sums = np.bincount(text[head_], terms[number[head_]], minlength=n) + end_term
+            knows = np.bincount(text[head_], known[number[head_]], minlength=n).astype(np.int64) + end_known
+            inside = np.bincount(text[head_], open_terms[number[head_]], minlength=n).astype(np.float64)
+            inside -= np.bincount(text[closed], in_tail[word[closed]], minlength=n)
+            inside -= open_total * np.bincount(text[~closed], minlength=n)
+            columns = [pa.array(np.bincount(text, minlength=n) + 1, pa.int64()), pa.array(knows), pa.array(sums), pa.array(inside + own.score(word, text, n) / np.log(10))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int64()), rows.column(2), *columns], ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "head_score"])
+
+    scored = texts.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, head_score double")
     by_row = tail.where("row >= 0").groupBy("row").agg(F.sum("tail_sum").alias("tail_sum"), F.sum("tail_known").alias("tail_known"))
+    tail_sum = F.coalesce("tail_sum", F.lit(0.0))
     return scored.join(by_row, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))).alias("base_score"),
-        "score",
+        (F.col("head_sum") + tail_sum - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))).alias("base_score"),
+        (F.col("head_score") + tail_sum).alias("score"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from .decontaminate import TO_WORDS
+from .hashing import mix, run_hashes
 
 SHINGLE = 5
 #: A shingle is its hash's upper bits; a batch's text number takes the rest while sorting.
@@ -14,28 +15,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Powers:
-    """BASE ** k and BASE ** -k modulo 2 ** 64, as far as texts have needed them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            grow = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20) - 1, b, np.uint64)]))
-            self.up, self.down = grow(U(BASE)), grow(U(pow(BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of all texts in a row, and where each text's words begin (and the last one's end)."""
     raw = [x.encode() for x in texts]
@@ -45,11 +24,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = data != 0x20
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
-    up, down = POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U(1)) * up[:-1], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * down[begin])
-    return hashes, np.searchsorted(begin, np.concatenate([[0], stops]))
+    return run_hashes(data, begin, end), np.searchsorted(begin, np.concatenate([[0], stops]))
 
 
 def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 Features are a text's words and their beginnings of 4 to 7 bytes, each as
 ``ln(1 + count)``. Grades are ordered: 0 not toxic, 1 toxic, 2 severe; the
-labels tell toxic from not, and toxic training texts with more than the median
-of telling features are severe. One weight vector is shared by all thresholds:
+labels tell toxic from not, and toxic training texts in which telling features
+are denser (a word) than the median are severe. One weight vector is shared by all thresholds:
 ``P(grade >= k) = sigmoid(w.x - theta_k)``. A document's expected severity is
 the sum of these over k; it is rejected if P(toxic) is above ``THRESHOLD``.
 
 The model is fitted on a sample of labelled rows, bounded by ``SAMPLE``; a row
-is in it by a hash of its doc_id. Equal texts count once. Features are chosen by
+is in it by a hash of its doc_id. Equal texts count once, with the highest of
+their labels. Features are chosen by
 the lower bound of their log odds, at most ``FEATURES`` of them; so the model's
 size is bounded, and only the model is broadcast. Every document is then read
 whole in a narrow map.
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
-from .decontaminate import TO_WORDS
+from . import common
+from .decontaminate import TO_WORDS, words
+from .hashing import run_hashes
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -52,16 +54,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = data != 0x20
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
-    up, down = shingles.POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     text = np.searchsorted(stops, begin, "right")
-    texts_of, hashes = [text], [shingles.mix((sums[end] - sums[begin]) * down[begin])]
+    texts_of, hashes = [text], [run_hashes(data, begin, end)]
     for k in BEGINNINGS:
         long = end - begin > k
-        at = begin[long]
         texts_of.append(text[long])
-        hashes.append(shingles.mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k)))
+        hashes.append(~run_hashes(data, begin[long], begin[long] + k))  # a beginning is no word
     return np.concatenate(texts_of), np.concatenate(hashes)
 
 
@@ -124,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     labels = common.project(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample / max(labels.count(), 1))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = common.project(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text").dropDuplicates(["text"])
+    texts = common.project(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
     texts = common.settled(texts, "labelled")
     total = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     if not total[0] or not total[1]:
@@ -141,8 +139,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             found, at = np.unique(hashes[new], return_inverse=True)
             bad = np.bincount(at, toxic[text[new]], minlength=len(found)).astype(np.int64)
             every = np.bincount(at, minlength=len(found))
-
-
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad), pa.array(every - bad)], ["feature", "bad", "good"])
 
     counts = texts.mapInArrow(counted, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -158,16 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             text, feature, value = shape.vectors(own)
             bounds = np.searchsorted(text, np.arange(len(own) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int32()), *lists], ["toxic", "features", "vals"])
+            n_words = pa.array([len(words(x)) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int32()), *lists, n_words], ["toxic", "features", "vals", "n_words"])
 
-    found = texts.mapInArrow(vectors, "toxic int, features array<int>, vals array<float>").toArrow()
+    found = texts.mapInArrow(vectors, "toxic int, features array<int>, vals array<float>, n_words long").toArrow()
     sizes = np.array([len(x) for x in found["features"].to_pylist()])
-    order = np.lexsort((sizes, found["toxic"].to_numpy()))
+    order = np.lexsort((found["n_words"].to_numpy(), sizes, found["toxic"].to_numpy()))
     found = found.take(pa.array(order))
     toxic, sizes = found["toxic"].to_numpy(), sizes[order]
+    density = sizes / np.maximum(found["n_words"].to_numpy(), 1)
     columns = np.array([k for x in found["features"].to_pylist() for k in x], np.int64)
     values = np.array([k for x in found["vals"].to_pylist() for k in x])
-    grades = np.where(toxic == 1, 1 + (sizes > np.median(sizes[toxic == 1])), 0)
+    grades = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
     weights, thresholds = fit(np.repeat(np.arange(len(sizes)), sizes), columns, values, grades, len(hashes))
     return Model(hashes, weights, thresholds)
 

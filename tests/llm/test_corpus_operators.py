@@ -176,8 +176,8 @@ def test_every_training_text_reaches_the_model(spark, monkeypatch):
     rnd = random.Random(9)
     docs = [(k, " ".join(f"a{n} b{n}" for n in rnd.choices(range(8), k=rnd.randint(30, 60)))) for k in range(300)]
     got = lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
-    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > math.log10(1 / 33 / 32)  # a class, and a word of it: none is spelled
-    untrained = lm.Scorer(lm.Network(), np.zeros(0, np.uint64), lm.spelling(np.zeros(1 << 16)))
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > math.log10(1 / 33 / 32)  # a class, and a word of it
+    untrained = lm.Scorer(lm.Network(), np.zeros(0, np.uint64))
     start = {k: v.copy() for k, v in untrained.network.p.items()}
     long = spark.createDataFrame([(False, "x " * 60_000), (True, "y z")], "held_out boolean, text string").coalesce(1)
     network = lm.trained_on_all(long, untrained)
@@ -186,6 +186,29 @@ def test_every_training_text_reaches_the_model(spark, monkeypatch):
     assert all(np.allclose(network.p[k], alone.p[k], atol=1e-5) for k in start) and any((network.p[k] != start[k]).any() for k in start)
 
 
+def test_score_beats_the_base_on_held_out_texts(spark):
+    """Both are log probabilities over the same outcomes: known words and one unknown one."""
+    got = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    n = sum(r.n_tokens for r in got)
+    score, base = sum(r.score for r in got) / n, sum(r.base_score for r in got) / n
+    print(f"held-out log10 a token: {score:.4f}, base {base:.4f}")
+    assert len(got) > 100 and score > base + 0.1
+    assert sum(r.score > r.base_score for r in got) > 0.95 * len(got)
+
+
+def test_tokens_that_a_polynomial_hash_confuses_count_apart(spark):
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    docs = [(k, x) for n in (64, 1024, 2048) for k, x in ((n, t[:n]), (n + 1, t[:n].translate(str.maketrans("ab", "ba"))))]
+    training = [x for k, x in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    total, distinct = 2 * len(training), len(set(training)) + 1
+    for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        own = dict(docs)[r.doc_id]
+        want = sum(math.log10((c + 1) / (total + distinct + 1)) for c in (training.count(own), len(training)))
+        assert r.base_score == pytest.approx(want)
+
+
 def test_gradients_equal_differences(monkeypatch):
     rng = np.random.default_rng(5)
     net = lm.Network()
@@ -219,14 +242,14 @@ def test_gradients_equal_differences(monkeypatch):
 def test_network_beats_word_frequencies_and_scores_whole_texts(monkeypatch):
     rnd = random.Random(6)
     texts = [" ".join(f"a{n} b{n}" for n in rnd.choices(range(8), k=rnd.randint(3, 40))) for _ in range(400)]
-    scorer, head = lm.fit(texts)
-    shares = scorer.open_shares(np.zeros(lm.HEAD), 0)
+    scorer = lm.Scorer(lm.Network(), lm.frequent(texts, 100))
+    scorer.fit(texts)
 
     def score(some):
-        data, ends = lm.lowered(some)
-        array = np.frombuffer(data, np.uint8)
-        begin, end = lm.token_places(array)
-        return scorer.score(some, data, ends, begin, end, head.find(lm.token_hashes(array, begin, end)), shares)
+        stream = scorer.stream(some)[1:]
+        ends = np.flatnonzero(stream == 0)
+        text = np.searchsorted(ends, np.arange(len(stream)))
+        return scorer.score(stream[stream != 0], text[stream != 0], len(some)) / np.log(10)
 
     together = score(texts[:50])
     assert np.allclose(together, [score([t])[0] for t in texts[:50]], rtol=1e-4)
