@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -83,23 +82,21 @@ def summed_tables(parts: DataFrame, dtype: str = "<i8") -> DataFrame:
     return first.withColumn("salt", F.lit(0)).groupBy("part").applyInArrow(summed, schema).select("part", "counts")
 
 
-#: Plan nodes that may deal rows anew, in another order, each time the plan runs.
-UNSTABLE = re.compile(r"\b(Repartition\w*|RebalancePartitions|Join|Aggregate|Window|Sort|GlobalLimit|LocalLimit|Sample|Distinct|\w*InArrow|\w*InPandas|rand\w*|uuid)\b")
-
-
-def stable(docs: DataFrame) -> DataFrame:
-    """docs, if its rows are numbered alike whenever it is read, as those of files are; otherwise its rows settled in the shared folder."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return settled(docs, "rows") if UNSTABLE.search(plan) else docs
+#: The column of row numbers that ``numbered`` adds, where the caller has none of that name.
+ROW = "__row"
 
 
-#: The column of row numbers that ``numbered`` adds.
-ROW = "__row"
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer name if df has such a column (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
     """docs and a number for each row, settled in the shared folder: the numbers are the same in every job, however its scan deals the files to tasks."""
-    return settled(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return settled(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def bitmap(slots: DataFrame, bits: int) -> bytes:

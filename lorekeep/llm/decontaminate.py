@@ -210,12 +210,12 @@ def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS
     if len(shared) < 2:  # one scan numbers the rows
         texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
         return _results(_partial(texts, shared[0] if shared else docs.sparkSession.sparkContext.broadcast(Queries([]))))
-    return _searched(common.numbered(docs), shared)
+    return _searched(common.numbered(docs), common.ROW, shared)
 
 
-def _searched(docs: DataFrame, shared: list[Broadcast]) -> DataFrame:
+def _searched(docs: DataFrame, row: str, shared: list[Broadcast]) -> DataFrame:
     """search() of numbered rows, each block in a scan of its own."""
-    texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")
+    texts = docs.select(F.col(row).alias("row"), "doc_id", "text")
     parts = [_partial(texts, x) for x in shared]
     whole = parts[0]
     for x in parts[1:]:
@@ -242,7 +242,8 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return [not (h > 0 and SHARE * h >= len(w)) for h, w in zip(hits, tokens, strict=True)]
 
         return common.narrowed(docs, clean)
-    docs = common.numbered(docs)
+    row = common.unused(docs, common.ROW)
+    docs = common.numbered(docs, row)
     shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark)]
-    bad = _searched(docs, shared).where("contaminated").select(F.col("row").alias(common.ROW))
-    return docs.join(bad, common.ROW, "left_anti").drop(common.ROW)
+    bad = _searched(docs, row, shared).where("contaminated").select(F.col("row").alias(row))
+    return docs.join(bad, row, "left_anti").drop(row)

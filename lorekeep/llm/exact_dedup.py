@@ -88,6 +88,7 @@ def resolved(docs: DataFrame, row: Column) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    docs = common.numbered(docs)
-    kept = resolved(common.project(docs, "doc_id", "text", common.ROW), F.col(common.ROW)).where("kept").select(F.col("row").alias(common.ROW)).hint("merge")
-    return docs.join(kept, common.ROW, "left_semi").drop(common.ROW)
+    row = common.unused(docs, common.ROW)
+    docs = common.numbered(docs, row)
+    kept = resolved(common.project(docs, "doc_id", "text", row), F.col(row)).where("kept").select(F.col("row").alias(row)).hint("merge")
+    return docs.join(kept, row, "left_semi").drop(row)

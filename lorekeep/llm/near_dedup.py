@@ -234,13 +234,13 @@ def ordered(a: str, b: str) -> list:
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Per row: row, doc_id, class_id, class_size, kept."""
-    return classed(common.numbered(common.project(docs, "doc_id", "text")), least)
+    return classed(common.numbered(common.project(docs, "doc_id", "text")), common.ROW, least)
 
 
-def classed(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     """classes() of rows that are numbered already."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")
+    texts = docs.select(F.col(row).alias("row"), "doc_id", "text")
     df, n = frequencies(texts)
     idf = spark.sparkContext.broadcast(idf_table(df, n))
     rows = common.settled(signed(texts, idf), "signed")
@@ -283,6 +283,7 @@ def classed(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, with all its columns."""
-    docs = common.numbered(docs)
-    kept = classed(common.project(docs, "doc_id", "text", common.ROW)).where("kept").select(F.col("row").alias(common.ROW)).hint("merge")
-    return docs.join(kept, common.ROW, "left_semi").drop(common.ROW)
+    row = common.unused(docs, common.ROW)
+    docs = common.numbered(docs, row)
+    kept = classed(common.project(docs, "doc_id", "text", row), row).where("kept").select(F.col("row").alias(row)).hint("merge")
+    return docs.join(kept, row, "left_semi").drop(row)

@@ -1,36 +1,41 @@
-"""Personal data: base patterns and information-theoretic sanitisation of the terms around them.
+"""Personal data: base patterns, secrets, and information-theoretic sanitisation of the terms around them.
 
-Base spans (email, ip, card, phone) come from fixed patterns. They are the
-protected entities. A term's disclosure for a kind of entity is its pointwise
-mutual information with it, from co-occurrence over the whole corpus, as a
-share of the kind's own information content:
+Base spans (email, ip, card, phone) come from fixed patterns; secrets are long
+runs of key characters, letters and digits mixed, with at least
+``SECRET_BITS`` bits of Shannon entropy a character. Every distinct value is a
+protected entity. How strongly a term t reveals an entity e is its pointwise
+mutual information with it, as a share of the entity's information content:
 
-    pmi = log2(P(kind | term) / P(kind)),  disclosure = pmi / -log2 P(kind)
+    disclosure(e, t) = log2(P(e | t) / P(e)) / -log2 P(e)
 
-P(kind) is the share of all words that stand within ``REACH`` words of an
-entity of the kind, P(kind | term) that share among the term's occurrences.
-Terms found near the kind in at least ``SUPPORT`` documents are judged: in an
-entity's reach, those that disclose at least ``GENERALISE`` are generalised,
-those that disclose at least ``REMOVE`` are removed.
+P(e) is the share of the corpus's documents that hold e. P(e | t) is the share,
+among the documents that hold t, of those in which t stands within ``REACH``
+words of e, by the lower end of its Wilson interval at ``Z`` deviations: rare
+terms are judged too, with the doubt that their few documents leave. All counts
+are over the whole corpus. In every document that holds an entity, all
+occurrences of the terms near it that disclose at least ``GENERALISE`` are
+generalised, at least ``REMOVE`` removed.
 
-Context words are few and are shuffled as they are; all other words are only
-counted, and only those whose hash a bitmap of fixed size admits; the bitmap is
-all that is broadcast, and exact 64-bit hashes decide afterwards.
+Terms near entities are shuffled as they are; of all other words only counts
+are, and those of slots that no such term has are left out by a bitmap of fixed
+size. A term is judged against the entity that it is nearest to in counts before
+its entities are joined, so common words are gone by then.
 
 Defined results: a null text counts as empty and has no spans; overlapping
-spans of different kinds all stay; repeated rows give repeated results; an
-empty table gives no rows; further columns are ignored.
+spans of different kinds all stay, but no secret and no term overlaps another
+span; repeated rows give repeated results; an empty table gives no rows;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +43,12 @@ from . import common, shingles
 from .decontaminate import TO_WORDS
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
-REACH, SUPPORT, GENERALISE, REMOVE = 4, 5, 0.5, 0.8
-MAP_BITS = 20
+SECRET, TERM = "secret", "term"
+REACH, Z, GENERALISE, REMOVE = 4, 1.645, 0.75, 0.85
+SECRET_CHARS, SECRET_BITS = 24, 3.2
+MAP_BITS = 22
+#: Telling pairs are broadcast up to so many; more are joined, each on so many salts.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +57,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SECRET_CHARS)
 
 
 def luhn(digits: str) -> bool:
@@ -104,40 +113,74 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, points[edges[::2]], points[edges[1::2]]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, bool]]:
-    """The words in reach of a base span and in none: kind, hash, start, end, whether it is the word's first for this kind."""
+def secrets(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of key characters of high entropy that overlap no other span."""
+    out = []
+    for m in KEY.finditer(text):
+        run, (start, end) = m[0], m.span()
+        digits = sum(c.isdigit() for c in run)
+        if not 0.1 <= digits / len(run) <= 0.9:
+            continue
+        shares = np.array(list(Counter(run).values())) / len(run)
+        if -(shares * np.log2(shares)).sum() >= SECRET_BITS and not any(a < end and start < b for _, a, b in taken):
+            out.append((SECRET, start, end))
+    return out
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + secrets(text, base)
+
+
+def entity(text: str, span: tuple[str, int, int]) -> int:
+    """What names the protected value: the kind, and the value without what doesn't matter to it."""
+    kind, start, end = span
+    value = text[start:end]
+    value = value.lower() if kind == "email" else NOT_DIGIT.sub("", value) if kind in ("card", "phone") else value
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def covered(spans: list[tuple[str, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word touches a span."""
+    out = np.zeros(len(start) + 1, np.int64)
+    for _, a, b in spans:
+        out[int(np.searchsorted(end, a, "right"))] += 1
+        out[int(np.searchsorted(start, b, "left"))] -= 1
+    return np.cumsum(out)[:-1] > 0
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> dict[int, list[int]]:
+    """Of every entity: the hashes of the words in its reach that are in no span, each once."""
     hashes, start, end = word_places(text)
-    covered = np.zeros(len(start), bool)
-    ranges: dict[str, list[tuple[int, int]]] = {}
-    for kind, a, b in spans:
-        low, high = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
-        covered[low:high] = True
-        ranges.setdefault(kind, []).append((low, high))
-    for kind, found in ranges.items():
-        near = np.zeros(len(start), bool)
-        for low, high in found:
-            near[max(0, low - REACH) : high + REACH] = True
-        seen: set[int] = set()
-        for k in np.flatnonzero(near & ~covered).tolist():
-            h = int(hashes[k].astype(np.int64))
-            yield kind, h, int(start[k]), int(end[k]), h not in seen
-            seen.add(h)
-
-
-BASE = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_words long, base string, base_sha256 string, near array<struct<kind:string,hash:long,start:long,end:long,new:boolean>>"
-NEAR = pa.list_(pa.struct([("kind", pa.string()), ("hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("new", pa.bool_())]))
+    free = ~covered(spans, start, end)
+    places: dict[int, set[int]] = {}
+    for span in spans:
+        low, high = int(np.searchsorted(end, span[1], "right")), int(np.searchsorted(start, span[2], "left"))
+        near = [*range(max(0, low - REACH), low), *range(high, min(len(start), high + REACH))]
+        places.setdefault(entity(text, span), set()).update(k for k in near if free[k])
+    signed = hashes.view(np.int64)
+    return {e: np.unique(signed[sorted(found)]).tolist() for e, found in places.items()}
+
+
+BASE = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base string, base_sha256 string, more string, near array<struct<entity:long,words:array<long>>>, text string"
+NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("words", pa.list_(pa.int64()))]))
+NAMES = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base", "base_sha256", "more", "near", "text"]
 
 
 def based(texts: DataFrame) -> DataFrame:
+    """Per row: spans of the base patterns and of secrets, and the words around them; the text only where there are spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, own in common.slices(batches):
-            found = [base_spans(x) for x in own]
-            names = [joined(x) for x in found]
-            near = [[dict(zip(("kind", "hash", "start", "end", "new"), c, strict=True)) for c in contexts(text, spans)] if spans else [] for text, spans in zip(own, found, strict=True)]
-            counts = [pa.array([sum(k == kind for k, _, _ in x) for x in found], pa.int64()) for kind in KINDS]
-            n_words = np.diff(shingles.word_hashes(own)[1])
-            columns = [rows.column(0), rows.column(1).cast(pa.int64()), *counts, pa.array(n_words, pa.int64()), pa.array(names), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), pa.array(near, NEAR)]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BASE.split(", ", 9)])
+            found = [all_spans(x) for x in own]
+            names = [joined([x for x in spans if x[0] != SECRET]) for spans in found]
+            more = [joined([x for x in spans if x[0] == SECRET]) for spans in found]
+            near = [contexts(text, spans) if spans else {} for text, spans in zip(own, found, strict=True)]
+            lists = pa.array([[{"entity": e, "words": w} for e, w in x.items()] for x in near], NEAR)
+            counts = [pa.array([sum(k == kind for k, _, _ in x) for x in found], pa.int64()) for kind in (*KINDS, SECRET)]
+            digests = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names])
+            kept = pa.array([text if x else None for text, x in zip(own, near, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int64()), *counts, pa.array(names), digests, pa.array(more), lists, kept], NAMES)
 
     return texts.mapInArrow(run, BASE)
 
@@ -146,73 +189,128 @@ def slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - MAP_BITS)
 
 
-def admitted(terms: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size: the slots of the terms' hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << MAP_BITS, np.uint32)
-        for b in batches:
-            total[b.column(0).to_numpy()] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "salt", "counts"])
-
-    found = common.summed_tables(terms.select(slot(F.col("hash")).alias("slot")).mapInArrow(run, "part int, salt int, counts binary"), "<u4").collect()
-    return np.frombuffer(found[0][1], "<u4") > 0 if found else np.zeros(1 << MAP_BITS, bool)
-
-
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each term (hash) occurs in all texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(admitted(terms))
+    """In how many of all texts each term (hash, each once) occurs."""
+    shared = texts.sparkSession.sparkContext.broadcast(common.bitmap(terms.select(slot(F.col("hash")).alias("slot")), MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for _, own in common.slices(batches):
-            hashes, _ = shingles.word_hashes(own)
-            found, counts = np.unique(hashes[shared.value[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)]], return_counts=True)
+            hashes, bounds = shingles.word_hashes(own)
+            maybe = np.flatnonzero(bits[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
+            hashes, text = hashes[maybe], np.searchsorted(bounds, maybe, "right")
+            order = np.lexsort((text, hashes))
+            hashes, text = hashes[order], text[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+            found, counts = np.unique(hashes[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"])
 
     counts = texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return counts.join(terms.select("hash").distinct(), "hash")
+    return counts.join(terms.select("hash"), "hash")
+
+
+def wilson(k: Column, n: Column) -> Column:
+    """The lower end of the interval of a share that k of n show."""
+    p, zz = k / n, F.lit(Z * Z)
+    return (p + zz / (2 * n) - F.lit(Z) * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def disclosure(k: Column, n: Column, holding: Column, docs: int) -> Column:
+    p = F.least(holding / F.lit(float(max(docs, 1))), F.lit(1 - 1e-9))
+    return F.log2(F.greatest(wilson(k, n), F.lit(1e-300)) / p) / -F.log2(p)
+
+
+def telling_terms(held: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
+    """held: row, entity, words. The pairs (entity, hash) that disclose at least GENERALISE, and their disclosure."""
+    by_entity = common.settled(held.groupBy("entity").agg(F.count(F.lit(1)).alias("holding")), "entities")
+    joint = common.settled(held.select("entity", F.explode("words").alias("hash")).groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("both")), "joint")
+    least = by_entity.agg(F.min("holding")).first()[0]
+    if least is None:
+        return joint.select("entity", "hash", F.lit(0.0).alias("disclosure")).limit(0)
+    by_term = common.settled(joint.groupBy("hash").agg(F.max("both").alias("most")), "terms")
+    counted = occurrences(texts, by_term).join(by_term, "hash")
+    able = counted.where(disclosure(F.col("most"), F.col("n"), F.lit(float(least)), docs) >= GENERALISE)
+    judged = joint.join(able.select("hash", "n"), "hash").join(by_entity, "entity")
+    return judged.select("entity", "hash", disclosure(F.col("both"), F.col("n"), F.col("holding"), docs).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    docs = common.stable(docs)
+    """Per row: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_terms, n_spans, terms."""
     return found(common.project(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
 
 
+FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_terms long, n_spans long, terms array<struct<start:long,end:long,remove:boolean>>"
+COUNTS = [f"n_{k}" for k in KINDS]
+
+
 def found(texts: DataFrame) -> DataFrame:
-    """find() of rows (row, doc_id, text); their numbers are read once only."""
+    """find() of rows (row, doc_id, text). ``row`` is read once; the texts must be those of any later scan."""
     rows = common.settled(based(texts), "base")
-    near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
-    by_kind = near.groupBy("kind").agg(F.count(F.lit(1)).alias("near_kind"))
-    joint = common.settled(near.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("new").cast("long")).alias("texts")).where(F.col("texts") >= SUPPORT), "joint")
-    n_words = rows.agg(F.sum("n_words")).first()[0] or 0
-    p_kind = F.col("near_kind") / F.lit(float(max(n_words, 1)))
-    judged = joint.join(occurrences(texts, joint), "hash").join(F.broadcast(by_kind), "kind")
-    disclosure = F.log2((F.col("both") / F.col("n")) / p_kind) / -F.log2(F.least(p_kind, F.lit(1 - 1e-9)))
-    telling = common.settled(judged.select("kind", "hash", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "telling")
-    marked = near.join(telling, ["kind", "hash"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    by_row = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove")))).alias("terms"))
-    named = F.transform("terms", lambda t: F.concat_ws(":", F.lit(TERM), t["start"].cast("string"), t["end"].cast("string")))
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.array_join(named, ",")))
-    out = rows.drop("near", "n_words").join(by_row, "row", "left")
-    return out.select("row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.coalesce(spans, F.lit("")).alias("spans"), F.greatest(F.coalesce(F.size("terms"), F.lit(0)), F.lit(0)).cast("long").alias("n_terms"), "terms")
+    held = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
+    near = held.select("row", "entity", F.explode("words").alias("hash"))
+    telling = common.settled(telling_terms(held, texts, rows.count()), "telling")
+    if telling.count() <= BROADCAST_ROWS:
+        met = near.join(F.broadcast(telling), ["entity", "hash"])
+    else:
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+        met = near.withColumn("salt", salt).join(telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["entity", "hash", "salt"])
+    by_row = met.groupBy("row", "hash").agg(F.max("disclosure").alias("d")).groupBy("row").agg(F.collect_list(F.struct("hash", (F.col("d") >= REMOVE).alias("remove"))).alias("told"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, own in common.slices(batches):
+            names = {c: rows.column(k).to_pylist() for k, c in enumerate(rows.schema.names) if c in ("base", "more", "told")}
+            terms = [marked(text, base, more, told) if told else [] for text, base, more, told in zip(own, names["base"], names["more"], names["told"], strict=True)]
+            spans = [",".join(x for x in (base, more, ",".join(f"{TERM}:{t['start']}:{t['end']}" for t in own_terms)) if x) for base, more, own_terms in zip(names["base"], names["more"], terms, strict=True)]
+            n_terms, n_spans = [len(x) for x in terms], [x.count(":") // 2 for x in spans]
+            column = lambda c: rows.column(rows.schema.get_field_index(c))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("remove", pa.bool_())]))
+            made = [column("base_sha256"), pa.array(spans), column("n_secret"), pa.array(n_terms, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(terms, kind)]
+            yield pa.RecordBatch.from_arrays([column("row"), column("doc_id"), *map(column, COUNTS), *made], ["row", "doc_id", *COUNTS, "base_sha256", "spans", "n_secret", "n_terms", "n_spans", "terms"])
+
+    some = rows.where(F.size("near") > 0).drop("near").join(by_row, "row", "left")
+    none = rows.where(F.size("near") == 0).drop("near").withColumn("told", F.lit(None).cast(by_row.schema["told"].dataType))
+    return some.unionByName(none).mapInArrow(run, FOUND)
+
+
+def parsed(spans: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
+def marked(text: str, base: str, more: str, told: list[dict]) -> list[dict]:
+    """All occurrences of the telling terms that are in no span."""
+    hashes, start, end = word_places(text)
+    free = ~covered(parsed(base) + parsed(more), start, end)
+    remove = {t["hash"]: t["remove"] for t in told}
+    signed = hashes.view(np.int64)
+    at = np.flatnonzero(free & np.isin(signed, list(remove)))
+    return [{"start": int(start[k]), "end": int(end[k]), "remove": remove[int(signed[k])]} for k in at.tolist()]
+
+
+def replaced(text: str, spans: str, removed: list[int]) -> str:
+    out, last, gone = [], 0, set(removed)
+    for start, end, kind in sorted((a, b, k) for k, a, b in parsed(spans)):
+        if start >= last:
+            out += [text[last:start], "" if kind == TERM and start in gone else f"[{kind}]"]
+            last = end
+    return "".join([*out, text[last:]])
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with each base span replaced by its kind in brackets, generalised terms by [term], removed terms by nothing; overlapping spans are replaced once, by the first that begins."""
-    docs = common.numbered(docs)
-    spans = found(docs.select(F.col(common.ROW).alias("row"), "doc_id", "text")).where("spans <> ''").select(F.col("row").alias(common.ROW), F.col("spans").alias("__spans"), F.transform(F.filter(F.coalesce("terms", F.array()), lambda t: t["remove"]), lambda t: t["start"]).alias("__removed"))
-    marked = docs.join(spans, common.ROW, "left")
-
-    @F.udf("string")
-    def replaced(text: str | None, spans: str | None, removed: list[int] | None) -> str | None:
-        if not text or not spans:
-            return text
-        out, last, gone = [], 0, set(removed or ())
-        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))):
-            if start >= last:
-                out += [text[last:start], "" if kind == TERM and start in gone else f"[{kind}]"]
-                last = end
-        return "".join([*out, text[last:]])
-
-    return marked.withColumn("text", replaced("text", "__spans", "__removed")).drop(common.ROW, "__spans", "__removed")
+    """docs with each span replaced by its kind in brackets, generalised terms by [term], removed terms by nothing; overlapping spans are replaced once, by the first that begins. All other columns stay as they are."""
+    schema, row = docs.schema, common.unused(docs, common.ROW)
+    docs = common.numbered(docs, row)
+    names = [common.unused(docs, x) for x in ("spans", "removed")]
+    removed = F.transform(F.filter("terms", lambda t: t["remove"]), lambda t: t["start"])
+    own = found(docs.select(F.col(row).alias("row"), "doc_id", "text")).where("spans <> ''").select(F.col("row").alias(row), F.col("spans").alias(names[0]), removed.alias(names[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            spans, gone = (b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+            texts = [t if not s or t is None else replaced(t, s, g or []) for t, s, g in zip(b.column(at).to_pylist(), spans, gone, strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+    kept = [F.col(f"`{f.name}`") for f in schema]
+    return docs.join(own, row, "left").select(*kept, *names).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -149,21 +150,74 @@ def test_base_spans_take_linear_time_on_long_runs():
     assert pii.base_spans("a" * 300_000 + "@") == [] and pii.base_spans("1" * 300_000) == []
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_terms(docs):
+    """All spans of every text: bases, secrets, and all occurrences of telling terms in the documents of their entities."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen, near, both, found = {}, {}, {}, []
+    for text in docs:
+        spans, low = pii.all_spans(text), text.translate(lower)
+        words = [(m[0], *m.span()) for m in WORD.finditer(low)]
+        for w in {w for w, _, _ in words}:
+            seen[w] = seen.get(w, 0) + 1
+        free = [all(b <= s or t <= a for _, s, t in spans) for _, a, b in words]
+        places = {}
+        for span in spans:
+            left = [k for k, (_, _, b) in enumerate(words) if b <= span[1]][-4:]
+            right = [k for k, (_, a, _) in enumerate(words) if a >= span[2]][:4]
+            places.setdefault(pii.entity(text, span), set()).update(k for k in left + right if free[k])
+        for e, own in places.items():
+            near[e] = near.get(e, 0) + 1
+            for w in {words[k][0] for k in own}:
+                both[e, w] = both.get((e, w), 0) + 1
+        found.append((spans, words, free, places))
+    total, z = len(docs), 1.645
+
+    def telling(e, w):
+        k, n, p = both[e, w], seen[w], min(near[e] / total, 1 - 1e-9)
+        share = (k / n + z * z / (2 * n) - z * math.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return math.log2(share / p) / -math.log2(p) >= 0.75
+
+    out = []
+    for spans, words, free, places in found:
+        terms = {words[k][0] for e, own in places.items() for k in own if telling(e, words[k][0])}
+        out.append(pii.joined(spans + [("term", a, b) for (w, a, b), f in zip(words, free) if f and w in terms]))
+    return out
+
+
+def test_terms_equal_brute_force_on_real_rows(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [(r.doc_id, r.text or "") for r in frame.select("doc_id", "text").collect()]
+    want = sorted(zip([i for i, _ in docs], brute_terms([t for _, t in docs]), strict=True))
+    got = sorted((r.doc_id, r.spans) for r in pii.find(frame).collect())
+    assert got == want
+    assert sum("term:" in x for _, x in got) >= 5
+
+
 def test_terms_that_reveal_an_entity_are_spanned(spark):
     fill = "the cat sat on a mat and the dog ran off with it again today "
-    docs = [(k, f"{fill * 3} mailbox zorg user{k}@mail.org {fill * 3}") for k in range(20)] + [(100 + k, fill * 6) for k in range(100)] + [(300, None), (301, ""), (None, "x@y.zz")]
-    frame = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, row string")
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    docs = [(k, f"{fill * 3} captain zorg zorg@mail.org {fill * 3} then zorg left") for k in range(3)]
+    docs += [(50 + k, f"{fill * 3} mail to user{k}@mail.org {fill}") for k in range(20)] + [(90, f"key {secret} {fill}")]
+    docs += [(100 + k, fill * 6) for k in range(100)] + [(300, None), (301, ""), (None, "x@y.zz")]
+    frame = spark.createDataFrame([(a, b, "x", 1, "y") for a, b in docs], "doc_id long, text string, row string, __row int, spans string")
     rows = pii.find(frame).collect()
     assert len(rows) == len(docs)
+    want = dict(zip([i for i, _ in docs], brute_terms([t or "" for _, t in docs]), strict=True))
     for r in rows:
         text = next(t for i, t in docs if i == r.doc_id) or ""
         spans = [s.split(":") for s in r.spans.split(",") if s]
-        base = [s for s in spans if s[0] != "term"]
-        assert [(k, int(a), int(b)) for k, a, b in base] == brute_spans(text)
+        assert [(k, int(a), int(b)) for k, a, b in spans if k not in ("term", "secret")] == brute_spans(text)
+        assert r.spans == want[r.doc_id] and r.n_spans == len(spans)
         terms = {text[int(a) : int(b)] for k, a, b in spans if k == "term"}
-        assert terms == ({"mailbox", "zorg"} if r.doc_id is not None and r.doc_id < 100 else set())
-    clean = {r.doc_id: r.text for r in pii.sanitised(frame).collect()}
-    assert "[email]" in clean[3] and "zorg" not in clean[3] and clean[100] == fill * 6
+        assert ("zorg" in terms) == (r.doc_id in (0, 1, 2)) and not terms & {"the", "cat", "mat"}
+        assert r.n_secret == (r.doc_id == 90)
+    clean = {r.doc_id: r for r in pii.sanitised(frame).collect()}
+    assert "[email]" in clean[1].text and "zorg" not in clean[1].text and clean[100].text == fill * 6 and "[secret]" in clean[90].text
+    assert clean[300].text is None and all((r.row, r["__row"], r.spans) == ("x", 1, "y") for r in clean.values())
+    assert len(clean) == len(docs)
 
 
 def test_personal_data_in_an_empty_table(empty):
