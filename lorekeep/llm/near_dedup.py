@@ -2,16 +2,21 @@
 banded, verified by weighted Jaccard similarity.
 
 Shingles are five words. A shingle weighs ``(1 + ln tf) * idf``, with ``idf = 1
-+ IDF_SCALE * ln(N / df) / ln N``: common passages weigh less than rare ones,
-but by so little that a large group of copies stays alike. Document frequencies
-are counted over all documents, in a table of ``2 ** DF_BITS`` hashed buckets;
-its size is fixed, and only it is broadcast.
++ ln(1 / max(df / N, 1 / RARE)) / ln(RARE)``: 1 where every document has it, 2
+where at most one in ``RARE`` have (for N below RARE: one document). So a shingle's weight depends on the share
+of documents that hold it, not on the corpus's size. Document frequencies are
+exact: a first pass counts shingles in ``2 ** DF_BITS`` hashed buckets, a second
+counts each shingle of the buckets that hold at least ``N / RARE``; all others
+are rare for certain. What is broadcast are the common shingles, at most
+``RARE`` times the shingles of a mean document, however many documents there are.
 
 Documents with the same words form one node. A node's ``SAMPLES`` consistent
 weighted samples make ``BANDS`` bands; nodes with an equal band meet in a
 bucket. Buckets of up to ``SMALL`` nodes compare all pairs. In larger ones
 every node meets the bucket's leader, the node whose bands are the most
-frequent (an original among its copies). Once components are known, the nodes
+frequent (an original among its copies); a leader's partners are dealt to as many tasks
+as their number asks for, with the leader's row in each. Once components are
+known, the nodes
 that are not in the bucket's largest component are a query set: in blocks they
 meet the bucket's nodes, in blocks, and only links are emitted. Whatever is
 left uncompared is in one component already, so no link between components is
@@ -27,6 +32,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -36,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components, shingles
+from .hashing import mix
 
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
@@ -43,8 +50,10 @@ SAMPLES = BANDS * ROWS
 SMALL = 16
 #: Nodes of a query block and of a block that it meets.
 QUERY_BLOCK, BLOCK = 256, 512
-DF_BITS, DF_PART = 18, 1 << 14
-IDF_SCALE = 0.25
+RARE = 500
+DF_BITS, DF_PART = 20, 1 << 16
+#: Partners of a leader that meet it in one task.
+SPREAD = 1024
 POOL_BITS = 14
 WANTED_BITS = 22
 #: Characters of the texts that are shingled at once.
@@ -57,30 +66,79 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, li
             yield rows.slice(at, shingles.MAX_TEXTS), texts[at : at + shingles.MAX_TEXTS]
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by hashed shingle bucket, and all documents. Every task sums its documents into one table of fixed size; the tables are summed part by part."""
+@dataclass
+class Idf:
+    """The common shingles (sorted ids of ID_BITS) and their idf; all others have RAREST."""
+
+    ids: np.ndarray
+    values: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.hot = np.zeros(1 << DF_BITS, bool)
+        self.hot[(self.ids >> np.uint64(shingles.ID_BITS - DF_BITS)).astype(np.int64)] = True
+
+    def of(self, ids: np.ndarray, bits: int = shingles.ID_BITS) -> np.ndarray:
+        """bits: those of ids, which are the upper bits of the shingles' ids."""
+        out = np.full(len(ids), RAREST, np.float32)
+        maybe = np.flatnonzero(self.hot[(ids >> ids.dtype.type(bits - DF_BITS)).astype(np.int64)])
+        if len(maybe):
+            own, some = self.ids >> np.uint64(shingles.ID_BITS - bits), ids[maybe].astype(np.uint64)
+            at = np.minimum(np.searchsorted(own, some), len(own) - 1)
+            out[maybe] = np.where(own[at] == some, self.values[at], RAREST)
+        return out
+
+
+RAREST = np.float32(2)
+
+
+def bucket_of(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(shingles.ID_BITS - DF_BITS)).astype(np.int64)
+
+
+def bucket_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Shingles of documents by hashed bucket, and all documents. Every task sums its documents into one table of fixed size; the tables are summed part by part."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << DF_BITS, np.int64), 0
+        total, n = np.zeros(1 << DF_BITS, np.int32), 0
         for _, own in runs(batches):
-            ids = shingles.shingled(own)[0]
-            total += np.bincount((ids >> np.uint64(shingles.ID_BITS - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
+            total += np.bincount(bucket_of(shingles.shingled(own)[0]), minlength=1 << DF_BITS).astype(np.int32)
             n += len(own)
         if n:
-            parts = [x.tobytes() for x in total.reshape(-1, DF_PART)]
+            parts = [x.astype("<i8").tobytes() for x in total.reshape(-1, DF_PART)]
             salt = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts)), pa.int32()), pa.array([salt] * (len(parts) + 1), pa.int32()), pa.array([np.int64(n).tobytes(), *parts], pa.binary())], ["part", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(-1, len(parts)), pa.int32()), pa.array([salt] * (len(parts) + 1), pa.int32()), pa.array([np.int64(n).tobytes(), *parts], pa.binary())],
+                ["part", "salt", "counts"],
+            )
 
     parts = texts.select("text").mapInArrow(counted, "part int, salt int, counts binary")
-    found = {r[0]: np.frombuffer(r[1], np.int64) for r in common.summed_tables(parts).collect()}
+    found = {r[0]: np.frombuffer(r[1], "<i8") for r in common.summed_tables(parts).collect()}
     if not found:
         return np.zeros(1 << DF_BITS, np.int64), 0
     return np.concatenate([found[k] for k in range((1 << DF_BITS) // DF_PART)]), int(found[-1][0])
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    n = max(n, 2)
-    return (1 + IDF_SCALE * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
+def frequencies(texts: DataFrame) -> Idf:
+    """The exact document frequencies of all shingles that at least one document in RARE has, as idf."""
+    counts, n = bucket_counts(texts)
+    least = max(n / RARE, 2.0)
+    able = texts.sparkSession.sparkContext.broadcast(np.packbits(counts >= least))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(able.value).view(bool)
+        for _, own in runs(batches):
+            ids = shingles.shingled(own)[0]
+            found, n = np.unique(ids[hot[bucket_of(ids)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], ["id", "n"])
+
+    by_id = texts.select("text").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = by_id.where(F.col("n") >= least).orderBy("id").toArrow()
+    return Idf(found["id"].to_numpy().astype(np.uint64), idf(found["n"].to_numpy(), n))
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    rare = max(1 / RARE, 1 / max(n, 2))
+    return (1 + np.log(np.clip(df / max(n, 1), rare, 1)) / np.log(rare)).astype(np.float32)
 
 
 @cache
@@ -92,8 +150,8 @@ def pools() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(np.float32), np.log(c).astype(np.float32), beta.astype(np.float32), rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray, bits: int = shingles.ID_BITS) -> np.ndarray:
-    return (1 + np.log(counts, dtype=np.float32)) * idf[(ids >> ids.dtype.type(bits - DF_BITS)).astype(np.int64)]
+def weights(ids: np.ndarray, counts: np.ndarray, idf: Idf, bits: int = shingles.ID_BITS) -> np.ndarray:
+    return (1 + np.log(counts, dtype=np.float32)) * idf.of(ids, bits)
 
 
 def bands(ids: np.ndarray, weight: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -111,7 +169,7 @@ def bands(ids: np.ndarray, weight: np.ndarray, begins: np.ndarray) -> np.ndarray
         order = np.where(order < 0, -1 - (order & 0x7FFFFFFF), order) + (1 << 31)
         sample = (low * u(0x9E3779B1) + (t.astype(np.int64) & 0xFFFF).astype(np.uint64)) & u(0xFFFFFFFF)
         best = np.minimum.reduceat((order.astype(np.uint64) << u(32)) | sample, begins) & u(0xFFFFFFFF)
-        out[k // ROWS] = shingles.mix(out[k // ROWS] * u(31) + best + u(k + 1))
+        out[k // ROWS] = mix(out[k // ROWS] * u(31) + best + u(k + 1))
     return out
 
 
@@ -161,8 +219,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``least``."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("ids").alias(f"{x}_ids"), F.col("counts").alias(f"{x}_counts"))
+    """pairs: a, b, salt, copies. Those whose similarity is at least ``least``. b's set is there ``copies`` times, and a pair meets the one of its salt, so a leader's many partners are spread; a has few pairs."""
+    sides = sets.select(F.col("node").alias("b"), F.col("ids").alias("b_ids"), F.col("counts").alias("b_counts"))
+    copies = pairs.groupBy("b").agg(F.max("copies").alias("copies"))
+    hubs = sides.join(copies, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    others = sets.select(F.col("node").alias("a"), F.col("ids").alias("a_ids"), F.col("counts").alias("a_counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weighed(ids: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -171,15 +232,16 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
 
         for rows in batches:
             table = {c: rows.column(rows.schema.get_field_index(c)) for c in rows.schema.names}
-            good = [similarity(weighed(table["a_ids"][k], table["a_counts"][k]), weighed(table["b_ids"][k], table["b_counts"][k])) >= least for k in range(rows.num_rows)]
+            weigh = lambda x, k: weighed(table[f"{x}_ids"][k], table[f"{x}_counts"][k])  # noqa: B023, E731
+            good = [similarity(weigh("a", k), weigh("b", k)) >= least for k in range(rows.num_rows)]
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([table["a"].filter(mask), table["b"].filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([table[c].filter(mask) for c in ("a", "b", "salt")], ["a", "b", "salt"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "a_counts", "b_ids", "b_counts")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.drop("copies").join(others, "a").join(hubs, ["b", "salt"]).select("a", "b", "salt", "a_ids", "a_counts", "b_ids", "b_counts")
+    return joined.mapInArrow(run, "a long, b long, salt int")
 
 
-def links(queries: pa.Table, others: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
+def links(queries: pa.Table, others: pa.Table, idf: Idf, least: float) -> pa.Table:
     """Links between two blocks (node, label, ids, counts) across labels: shared weights are added up posting by posting."""
 
     def postings(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -228,8 +290,12 @@ def crossed(split: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
     return by(left, "").cogroup(by(right, "_other")).applyInArrow(run, "a long, b long").distinct()
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def led(crowds: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a: member, b: leader, salt, copies) of crowded buckets; leaders: bucket, n, leader. A bucket's members are dealt to as many salts as SPREAD allows."""
+    copies = F.ceil(F.col("n") / SPREAD).cast("int")
+    dealt = crowds.select("bucket", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"))
+    heads = leaders.select("bucket", F.col("leader").alias("b"), copies.alias("copies"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    return dealt.join(heads, ["bucket", "salt"]).where("a <> b").groupBy("a", "b").agg(F.max("salt").alias("salt"), F.max("copies").alias("copies"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -241,8 +307,7 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     """classes() of rows that are numbered already."""
     spark = docs.sparkSession
     texts = docs.select(F.col(row).alias("row"), "doc_id", "text")
-    df, n = frequencies(texts)
-    idf = spark.sparkContext.broadcast(idf_table(df, n))
+    idf = spark.sparkContext.broadcast(frequencies(texts))
     rows = common.settled(signed(texts, idf), "signed")
     worded = rows.where(F.size("bands") > 0)
     nodes = common.settled(worded.groupBy("key1", "key2").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
@@ -250,15 +315,16 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     own = worded.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     dealt = own.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
     met = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.settled(dealt.join(met, "bucket"), "members")
+    members = common.settled(dealt.join(met.hint("merge"), "bucket"), "members")  # merged, so that Spark splits a large bucket's partition
     crowds = members.where(F.col("n") > SMALL)
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = crowds.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
+    best = crowds.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("best"), F.max("n").alias("n"))
+    leaders = best.select("bucket", "n", F.col("best.node").alias("leader"))
 
     few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("ns"))
-    few = few.select(F.explode(F.flatten(F.transform("ns", lambda x, i: F.transform(F.slice("ns", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    led = crowds.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(*ordered("node", "leader"))
-    pairs = common.settled(few.unionAll(led).distinct(), "pairs")
+    others = F.transform("ns", lambda x, i: F.transform(F.slice("ns", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    few = few.select(F.explode(F.flatten(others)).alias("p")).select("p.a", "p.b").distinct()
+    pairs = common.settled(few.select("a", "b", F.lit(0).alias("salt"), F.lit(1).alias("copies")).unionByName(led(crowds, leaders)), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
     slot = F.pmod(F.xxhash64("row"), F.lit(1 << WANTED_BITS))
     admitted = spark.sparkContext.broadcast(common.bitmap(wanted.select(slot.alias("slot")), WANTED_BITS))
@@ -269,9 +335,9 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     placed = crowds.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
     largest = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
     split = placed.join(largest.where("parts > 1").select("bucket", F.col("most.label").alias("main"), F.col("most.size").alias("size")), "bucket").withColumn("n_rest", F.col("n") - F.col("size"))
-    more = common.settled(crossed(common.settled(split, "split"), sets, idf, least), "edges")
+    more = common.settled(crossed(common.settled(split, "split"), sets, idf, least).withColumn("salt", F.lit(0)), "edges")
     if more.limit(1).count():
-        labels = components.components(edges.unionAll(more))
+        labels = components.components(edges.unionByName(more))
 
     labelled = common.settled(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     named = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))

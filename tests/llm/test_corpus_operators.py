@@ -83,6 +83,7 @@ def test_near_classes(spark):
 
 def test_crowded_bucket_finds_links_that_its_leader_misses(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "SPREAD", 2)
     monkeypatch.setattr(near_dedup, "QUERY_BLOCK", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     docs, kinds = near_fixture(3)
@@ -117,10 +118,49 @@ def test_near_classes_of_an_empty_table(empty):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 100 + k) for k in range(1, 30)]
-    got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    salted = [(a, b, b % 3 if b == 0 else 0) for a, b in edges] + [(k, 500, k % 7) for k in range(600, 700)]
+    edges = [(a, b) for a, b, _ in salted]
+    got = dict(components.components(spark.createDataFrame(salted, "a long, b long, salt int")).collect())
     assert all(got[k] == 0 for k in range(21)) and all(got[100 + k] == 100 for k in range(30))
 
 
+def test_near_duplicates_equal_brute_force_on_real_rows(spark):
+    """Every pair of texts at weighted Jaccard 0.8 or more, by an inverted index over all shingles: the same classes."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = [(r.doc_id, r.text or "") for r in frame.select("doc_id", "text").collect()]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text in docs:
+        w = word.findall(text.translate(lower))
+        sets.append(Counter([" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))] if w else []))
+    df, n = Counter(x for s in sets for x in s), len(docs)
+    weigh = lambda s: {x: (1 + math.log(c)) * (1 + math.log(max(df[x] / n, 1 / 500)) / math.log(1 / 500)) for x, c in s.items()}
+    sets = [weigh(s) for s in sets]
+    held, pairs, parent = {}, set(), list(range(n))
+    for k, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(k)
+    pairs = {(a, b) for own in held.values() if len(own) < 200 for i, a in enumerate(own) for b in own[i + 1 :]}
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    alike = set()
+    for a, b in pairs:
+        shared = sum(min(v, sets[b][x]) for x, v in sets[a].items() if x in sets[b])
+        if shared >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - shared):
+            alike.add((a, b))
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame).collect()}
+    found = sum(got[docs[a][0]] == got[docs[b][0]] for a, b in alike)
+    print(f"{found} of {len(alike)} pairs")
+    assert len(alike) > 50 and found >= 0.98 * len(alike)
+    assert all(top(a) == top(b) for a in range(n) for b in range(a) if got[docs[a][0]] == got[docs[b][0]])
+
+
 @pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, near_dedup.deduplicate])
 def test_rows_keep_their_numbers_when_files_are_dealt_otherwise(spark, tmp_path, monkeypatch, deduplicate):
     texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40)]
