@@ -43,5 +43,33 @@ class DuplicateStream(StoreError):
         self.stream_id = stream_id
 
 
+class UnaskedStream(StoreError):
+    """The batch holds events of a stream for which it states no expectation."""
+
+    def __init__(self, stream_id: str) -> None:
+        super().__init__(f"{stream_id} has events but no expectation")
+        self.stream_id = stream_id
+
+
 class Unavailable(StoreError):
     """Try again later."""
+
+
+class BadRead(StoreError):
+    """A read that a decision rests on is out of order, or holds what it didn't ask for."""
+
+
+class EventRejected(Exception):
+    """A projection can't apply this event."""
+
+    def __init__(self, sequence: int, reason: str) -> None:
+        super().__init__(f"event {sequence}: {reason}")
+        self.sequence, self.reason = sequence, reason
+
+
+class LeaseLost(Exception):
+    """Another holder has the lease; ``acknowledged`` is the last sequence that this one acknowledged."""
+
+    def __init__(self, name: str, acknowledged: int | None = None) -> None:
+        super().__init__(name)
+        self.acknowledged = acknowledged

@@ -8,6 +8,10 @@ ciphertext, so one subject's value can't pass for another's.
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,12 @@ def plain(subject: Column, value: Column) -> Column:
 def created_keys(keys: DataFrame, subjects: DataFrame) -> DataFrame:
     """keys with a new random key for each subject that has no row; existing and erased rows stay."""
     new = subjects.select("subject").where("subject is not null").distinct().join(keys, "subject", "left_anti")
-    return keys.select("subject", "key").unionByName(new.select("subject", F.expr("randstr(32)").cast("binary").alias("key")))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([secrets.token_bytes(32) for _ in range(b.num_rows)], pa.binary())], ["subject", "key"])
+
+    return keys.select("subject", "key").unionByName(new.mapInArrow(drawn, "subject string, key binary"))
 
 
 def erased(keys: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -51,6 +60,10 @@ def opened(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.when(f["state"] != "sealed", f).when(F.col("key").isNull(), gone).otherwise(back)).drop("subject_", "key")
 
 
+def is_shredded(field: Column) -> Column:
+    return field["state"] == "shredded"
+
+
 def get(field: Column) -> Column:
     """The value, null if it isn't plain."""
     return F.when(field["state"] == "plain", field["value"])

@@ -1,18 +1,19 @@
 """Ordered left folds.
 
-Three ways, by what the fold's algebra allows:
-
-* ``sums``: commutative folds are plain aggregates, combined before the shuffle.
-* ``folded``: order matters; a stream's events are sorted in one array and
-  folded inside the JVM. Right for streams that fit a row.
-* ``streamed``: order matters and streams may be of any length: rows are
-  clustered by stream, sorted by Spark (which spills), and folded batch by
-  batch, one state in memory.
+Commutative folds need nothing from here: they are plain aggregates, combined
+before the shuffle. For the others there are two ways:
+
+* ``folded`` (``seeded`` on top of snapshots): a stream's events are sorted in
+  one array and folded inside the JVM. Right for streams that fit a row.
+* ``streamed`` (``streamed_on`` on top of snapshots, ``scanned`` for a row an
+  event): streams may be of any length; rows are clustered by stream, sorted by
+  Spark (which spills), and folded batch by batch, one state in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -64,6 +65,37 @@ def streamed(log: DataFrame, key: str, order: str, fields: list[str], init: Call
     return rows.mapInArrow(run, f"{key} {kind}, {schema}")
 
 
+def streamed_on(log: DataFrame, snapshots: DataFrame, fields: list[str], seed: Callable[[Any], Any], step: Callable[[Any, tuple], Any], schema: str, result: Callable[[Any], tuple]) -> DataFrame:
+    """As seeded, for streams of any length. snapshots: stream_id, version, state; seed(state, null for none) -> the start; a result is (state, version of the last event or the snapshot)."""
+    base = snapshots.select("stream_id", F.col("version").alias("base"))
+    later = log.join(base, "stream_id", "left").where(F.col("version") > F.coalesce("base", F.lit(0)))
+    kind = dict(snapshots.dtypes)["state"]
+    rows = later.select("stream_id", "version", F.lit(None).cast(kind).alias("seed_"), F.lit(False).alias("first_"), *fields)
+    voids = [F.lit(None).cast(dict(log.dtypes)[f]).alias(f) for f in fields]
+    rows = rows.unionByName(snapshots.select("stream_id", "version", F.col("state").alias("seed_"), F.lit(True).alias("first_"), *voids))
+
+    def on(acc: tuple, row: tuple) -> tuple:
+        version, start, first, *values = row
+        return (seed(start), version) if first else (step(acc[0], (version, *values)), version)
+
+    return streamed(rows, "stream_id", "version", ["seed_", "first_", *fields], lambda: (seed(None), 0), on, schema, result)
+
+
+def optional(default: Column, step: Step) -> Step:
+    """A step for states that may be null: the first event meets the default. With a null ``init``, keys without events have no state."""
+    return lambda state, e: step(F.coalesce(state, default), e)
+
+
+@dataclass(frozen=True)
+class SnapshotPolicy:
+    """A snapshot is due once so many events have been committed since the last one."""
+
+    every: int
+
+    def is_due(self, committed: Column, base: Column) -> Column:
+        return committed - base >= self.every
+
+
 def until(log: DataFrame, bound: Column, at: str) -> DataFrame:
     """Each stream's prefix before its first event later than bound; it stops there and doesn't skip. An event without a time that it reaches is an error."""
     order = W.partitionBy("stream_id").orderBy("version").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -284,7 +284,9 @@ def state_history(spark, d):
 @query("SELECT l.stream_id, CAST(sum(amount) FILTER (event_type = 'signup') AS BIGINT) AS state FROM lifecycle l LEFT JOIN user_log u USING (stream_id) GROUP BY 1")
 def optional_state(spark, d):
     """No event of the type: no state at all, rather than an initial one."""
-    own = logs.flat_log(spark, d).where("event_type = 'signup'").groupBy("stream_id").agg(F.sum("amount").alias("state"))
+    own = logs.flat_log(spark, d).where("event_type = 'signup'")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    own = folds.folded(own, "stream_id", "sequence", ["amount"], none, folds.optional(zero, lambda s, e: s + e["amount"]))
     return lifecycle(spark, d).select("stream_id").join(own, "stream_id", "left")
 
 
@@ -309,7 +311,7 @@ def snapshot_delta_fold(spark, d):
 @query("SELECT stream_id, max(version) AS committed, max(version) // 40 * 40 AS base FROM user_log GROUP BY stream_id HAVING max(version) - max(version) // 40 * 40 >= 25")
 def snapshots_due(spark, d):
     base = F.expr("head div 40 * 40")
-    return folds.heads(logs.user_log(spark, d)).where(F.col("head") - base >= 25).select("stream_id", F.col("head").alias("committed"), base.alias("base"))
+    return folds.heads(logs.user_log(spark, d)).where(folds.SnapshotPolicy(25).is_due(F.col("head"), base)).select("stream_id", F.col("head").alias("committed"), base.alias("base"))
 
 
 @query("SELECT CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, max(sequence) AS as_of FROM user_log")
@@ -351,7 +353,8 @@ def view_replay_idempotent(spark, d):
     """A view at half the log meets the whole log again: what it has seen is skipped, so the result is as if applied once."""
     log = logs.flat_log(spark, d)
     of = lambda x: x.groupBy("view_id").agg(F.max("sequence").alias("version"), F.sum("amount").alias("value"))
-    stored = of(log.where("sequence <= 500").withColumn("view_id", F.col("stream_id")))
+    half = log.agg(F.expr("max(sequence) div 2")).first()[0] or 0
+    stored = of(log.where(F.col("sequence") <= half).withColumn("view_id", F.col("stream_id")))
     delta = of(views.unapplied(log, stored, F.col("stream_id")))
     return stored.unionByName(delta).groupBy("view_id").agg(F.max("version").alias("version"), F.sum("value").alias("value"))
 
@@ -360,10 +363,13 @@ def view_keys() -> dict[str, Column]:
     return {"by_user": F.col("stream_id"), "by_k": F.col("k"), "buyers": F.when(F.col("event_type") == "purchase", F.col("stream_id"))}
 
 
-@query(""", c AS (SELECT * FROM user_log WHERE sequence BETWEEN 200 AND 300)
-SELECT DISTINCT 'by_user' AS view_name, stream_id AS view_id FROM c UNION SELECT 'by_k', CAST(k AS VARCHAR) FROM c WHERE k IS NOT NULL UNION SELECT 'buyers', stream_id FROM c WHERE event_type = 'purchase'""")
+@query(""", c AS (SELECT *, (sequence - 1) // 100 AS batch FROM user_log)
+SELECT DISTINCT batch, 'by_user' AS view_name, stream_id AS view_id FROM c
+UNION SELECT batch, 'by_k', CAST(k AS VARCHAR) FROM c WHERE k IS NOT NULL
+UNION SELECT batch, 'buyers', stream_id FROM c WHERE event_type = 'purchase'""")
 def inline_touched_rows(spark, d):
-    return views.touched(logs.flat_log(spark, d).where("sequence between 200 and 300"), view_keys())
+    """The rows that each commit of 100 events touches."""
+    return views.touched(logs.flat_log(spark, d).withColumn("batch", F.expr("(sequence - 1) div 100")), view_keys(), "batch")
 
 
 @query("""SELECT 'by_user' AS view_name, stream_id AS view_id, max(sequence) AS version, CAST(sum(amount) AS BIGINT) AS value FROM user_log GROUP BY 2
@@ -443,15 +449,16 @@ def redelivered_commands(spark, d):
     return commands.unseen(keyed.drop("sequence"), keyed.where("sequence <= 300")).select("ord", "stream_id", "idempotency_key")
 
 
-@query(""", c AS (SELECT DISTINCT user_id AS condition_id, (user_id * 53) % 900 AS after, user_id FROM events)
+@query(""", c AS (SELECT DISTINCT user_id AS condition_id, (user_id * 5303) % (SELECT max(sequence) FROM user_log) AS after, user_id FROM events)
 SELECT condition_id, after, (SELECT max(sequence) FROM user_log u WHERE sequence > c.after AND ((u.event_type = 'purchase' AND list_contains(u.tags, 'user:' || c.user_id)) OR (u.event_type IN ('signup', 'error') AND list_contains(u.tags, 'k:' || c.user_id % 10)) OR (c.user_id % 50 = 3 AND u.event_type = 'view'))) AS conflict FROM c""")
 def boundary_conflicts(spark, d):
     item = lambda types, tags: F.struct(types.alias("types"), tags.alias("tags"))
     none = F.array().cast("array<string>")
     items = F.array(item(F.array(F.lit("purchase")), F.array(tag("user", F.col("user_id")))), item(F.array(F.lit("signup"), F.lit("error")), F.array(tag("k", F.col("user_id") % 10))))
     items = F.when(F.col("user_id") % 50 == 3, F.concat(items, F.array(item(F.array(F.lit("view")), none)))).otherwise(items)
-    users = logs.table(spark, d, "events").select("user_id").distinct()
-    return commands.conflicts(users.select(F.col("user_id").alias("condition_id"), ((F.col("user_id") * 53) % 900).alias("after"), items.alias("items")), logs.flat_log(spark, d))
+    users, log = logs.table(spark, d, "events").select("user_id").distinct(), logs.flat_log(spark, d)
+    after = (F.col("user_id") * 5303) % (log.agg(F.max("sequence")).first()[0] or 1)
+    return commands.conflicts(users.select(F.col("user_id").alias("condition_id"), after.alias("after"), items.alias("items")), log)
 
 
 @query(""", seats AS (SELECT k, 20 + k % 7 AS seats, count(DISTINCT user_id) AS taken FROM user_log WHERE event_type = 'signup' GROUP BY k),
@@ -471,16 +478,20 @@ def boundary_enrollment(spark, d):
     return every.select("user_id", "k", outcome.alias("outcome"))
 
 
-@query(""", b AS (SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN amount WHEN event_type = 'purchase' THEN -amount ELSE 0 END) AS BIGINT) AS balance, max(sequence) AS seen FROM user_log WHERE sequence <= 700 GROUP BY user_id),
-w AS (SELECT user_id, max(sequence) AS conflict FROM user_log WHERE sequence > 700 AND event_type = 'purchase' GROUP BY user_id)
-SELECT b.user_id, balance, seen, conflict, CASE WHEN balance < 5000 THEN 'rejected' WHEN conflict IS NOT NULL THEN 'conflict' ELSE 'committed' END AS outcome FROM b LEFT JOIN w USING (user_id)""")
+@query(""", l AS (SELECT *, (user_id * 7919) % (SELECT max(sequence) FROM user_log) AS after FROM user_log),
+b AS (SELECT user_id, CAST(sum(CASE WHEN sequence > after THEN 0 WHEN event_type = 'click' THEN amount WHEN event_type = 'purchase' THEN -amount ELSE 0 END) AS BIGINT) AS balance,
+  coalesce(max(CASE WHEN sequence <= after THEN sequence END), 0) AS seen, max(CASE WHEN sequence > after AND event_type = 'purchase' THEN sequence END) AS conflict FROM l GROUP BY user_id)
+SELECT user_id, balance, seen, conflict, CASE WHEN balance < 5000 THEN 'rejected' WHEN conflict IS NOT NULL THEN 'conflict' ELSE 'committed' END AS outcome FROM b""")
 def loan_validation_narrowed(spark, d):
-    """Deposits and withdrawals decide; only later withdrawals invalidate the decision."""
+    """Every user's loan is decided at a position of its own. Deposits and withdrawals decide; only later withdrawals invalidate the decision."""
     log = logs.flat_log(spark, d)
-    change = F.when(F.col("event_type") == "click", F.col("amount")).when(F.col("event_type") == "purchase", -F.col("amount")).otherwise(0)
-    read = log.where("sequence <= 700").groupBy("user_id").agg(F.sum(change).alias("balance"), F.max("sequence").alias("seen"))
-    later = log.where("sequence > 700 and event_type = 'purchase'").groupBy("user_id").agg(F.max("sequence").alias("conflict"))
-    return read.join(later, "user_id", "left").withColumn("outcome", F.when(F.col("balance") < 5000, "rejected").when(F.col("conflict").isNotNull(), "conflict").otherwise("committed"))
+    after = (F.col("user_id") * 7919) % (log.agg(F.max("sequence")).first()[0] or 1)
+    read = F.col("sequence") <= after
+    change = F.when(~read, 0).when(F.col("event_type") == "click", F.col("amount")).when(F.col("event_type") == "purchase", -F.col("amount")).otherwise(0)
+    later = F.when(~read & (F.col("event_type") == "purchase"), F.col("sequence"))
+    seen = F.coalesce(F.max(F.when(read, F.col("sequence"))), F.lit(0).cast("long"))
+    own = log.groupBy("user_id").agg(F.sum(change).alias("balance"), seen.alias("seen"), F.max(later).alias("conflict"))
+    return own.withColumn("outcome", F.when(F.col("balance") < 5000, "rejected").when(F.col("conflict").isNotNull(), "conflict").otherwise("committed"))
 
 
 @query("""SELECT 'wire-fee:' || sequence || ':0' AS idempotency_key, sequence, CAST(0 AS BIGINT) AS index, 'withdraw' AS command, stream_id AS target, amount // 10 AS amount FROM user_log WHERE event_type = 'click' AND amount >= 10
@@ -509,21 +520,23 @@ def metadata_overlay(spark, d):
 def raw(spark, d) -> DataFrame:
     """Amounts in three schema versions: cents, decimal text, JSON with cents; and versions that no ladder knows."""
     version = (F.col("sequence") % 4 + 1).cast("int")
-    text = F.concat(F.expr("amount div 100").cast("string"), F.lit("."), F.lpad((F.col("amount") % 100).cast("string"), 2, "0"))
+    text = (F.col("amount").cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
     payload = F.when(version == 1, F.col("amount").cast("string")).when(version == 2, text).otherwise(F.to_json(F.struct(F.col("user_id").alias("account"), F.col("amount").alias("cents"))))
-    return logs.flat_log(spark, d).where("amount >= 0").select("sequence", "stream_id", F.lit("Amount").alias("event_type"), version.alias("schema_version"), payload.alias("payload"))
+    return logs.flat_log(spark, d).select("sequence", "stream_id", F.lit("Amount").alias("event_type"), version.alias("schema_version"), payload.alias("payload"))
 
 
 def amounts() -> upcast.BuiltLadder:
-    decimal = lambda p: F.concat(F.floor(p.cast("long") / 100).cast("string"), F.lit("."), F.lpad((p.cast("long") % 100).cast("string"), 2, "0"))
+    decimal = lambda p: (p.cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
     to_json = lambda p: F.to_json(F.struct(F.round(p.cast("decimal(20,2)") * 100).cast("long").alias("cents")))
     return upcast.Ladder().rung("Amount", 1, decimal).rung("Amount", 2, to_json).build()
 
 
-@query("SELECT sequence, amount AS cents FROM user_log WHERE amount >= 0 AND sequence % 4 < 3")
+@query("SELECT sequence, CASE WHEN sequence % 4 < 3 THEN amount END AS cents FROM user_log")
 def upcast_ladder(spark, d):
-    rows = raw(spark, d).where("schema_version <= 3")
-    payload = amounts().column(F.col("event_type"), F.col("schema_version"), F.col("payload"))
+    """Every row at its newest version; those that no rung reaches have no amount."""
+    rows, ladder = raw(spark, d), amounts()
+    known = ladder.known(F.col("event_type"), F.col("schema_version"))
+    payload = F.when(known, ladder.column(F.col("event_type"), F.col("schema_version"), F.col("payload")))
     return rows.select("sequence", F.get_json_object(payload, "$.cents").cast("long").alias("cents"))
 
 
@@ -534,7 +547,7 @@ def upcast_chain(spark, d):
     return rows.select("sequence", "event_type", chain.column(F.col("event_type"), F.col("amount").cast("string")).alias("payload"))
 
 
-@query("SELECT sequence, stream_id, 'unknown version ' || (sequence % 4 + 1) AS error, CAST(4 AS BIGINT) AS attempts FROM user_log WHERE amount >= 0 AND sequence % 4 = 3")
+@query("SELECT sequence, stream_id, 'unknown version ' || (sequence % 4 + 1) AS error, CAST(4 AS BIGINT) AS attempts FROM user_log WHERE sequence % 4 = 3")
 def park_poison(spark, d):
     """Rows that can't be upcast go to the parked table once their retries are spent; the others pass."""
     rows = raw(spark, d)

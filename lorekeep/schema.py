@@ -27,6 +27,12 @@ LOG = T.StructType(
 NEW_EVENT = T.StructType([f for f in LOG.fields if f.name not in ("sequence", "version")])
 
 
+def columns(text: str) -> T.StructType:
+    """A schema from ``name kind, name kind``, of strings, longs and booleans; no session is needed."""
+    kinds = {"string": T.StringType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in text.split(", "))])
+
+
 def position(n: int) -> int:
     """A bound as it is stored: saturated, never negative."""
     return max(0, min(n, MAX_POSITION))

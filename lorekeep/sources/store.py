@@ -11,12 +11,14 @@ renamed without overwriting, so of two writers that prepared the same number
 one fails and prepares anew from what the other wrote. Readers pin a manifest
 and see its files only, hence never a later sequence before an earlier one.
 Files are reached through Hadoop's file system, so any store that Spark reads
-will do.
+will do. Inline views are folded from an append's events and committed with
+them, under one manifest: both are there or neither.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -24,13 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.errors import Conflict, DuplicateStream, QueryConflict, StreamClosed, Truncated, Unavailable
+from lorekeep.errors import Conflict, DuplicateStream, QueryConflict, StreamClosed, Truncated, UnaskedStream, Unavailable
+from lorekeep.metrics import Metrics
 from lorekeep.operators import guards
 from lorekeep.operators.predicates import Query
+from lorekeep.operators.views import View
 from lorekeep.operators.positions import appended
-from lorekeep.schema import LOG, NEW_EVENT
+from lorekeep.schema import LOG, NEW_EVENT, columns
 
-LIFECYCLE = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("closed", T.BooleanType()), T.StructField("first_kept", T.LongType()), T.StructField("head", T.LongType())])
+LIFECYCLE = columns("stream_id string, closed boolean, first_kept long, head long")
 RETRIES = 3
 
 
@@ -42,9 +46,28 @@ class Manifest:
     tables: dict[str, str] = field(default_factory=dict)
 
 
+class CommitSignal:
+    """Tells waiters in this process that events were committed. Signals coalesce and are never lost: a waiter says which commit it has seen."""
+
+    def __init__(self) -> None:
+        self._changed, self.last = threading.Condition(), 0
+
+    def notify(self, commit: int) -> None:
+        with self._changed:
+            self.last = max(self.last, commit)
+            self._changed.notify_all()
+
+    def wait(self, seen: int, seconds: float) -> int:
+        """The last commit, at once if it is past ``seen``, else when one comes or the time is over."""
+        with self._changed:
+            self._changed.wait_for(lambda: self.last > seen, seconds)
+            return self.last
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, path: str, retries: int = RETRIES) -> None:
         self.spark, self.path, self.retries = spark, path.rstrip("/"), retries
+        self.metrics, self.committed = Metrics(), CommitSignal()
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -97,7 +120,11 @@ class EventStore:
                 return now
             new.commit = now.commit + 1
             if self._commit(new):
+                if new.last_sequence > now.last_sequence:
+                    self.metrics.add("store.events_appended", new.last_sequence - now.last_sequence)
+                    self.committed.notify(new.commit)
                 return new
+            self.metrics.add("store.commit_races")
         raise Unavailable(f"another writer was faster {self.retries + 1} times")
 
     # Reads
@@ -135,26 +162,24 @@ class EventStore:
 
     # Appends
 
-    def append(self, stream_id: str, events: DataFrame, kind: str = guards.ANY, expected: int = 0) -> Manifest:
+    def append(self, stream_id: str, events: DataFrame, kind: str = guards.ANY, expected: int = 0, inline: tuple[View, ...] = ()) -> Manifest:
         """events: the columns of NEW_EVENT but stream_id, and ord, their order. An empty append still checks."""
         ask = self.spark.createDataFrame([(stream_id, kind, expected)], "stream_id string, expected_kind string, expected_version long")
-        return self.append_batch(events.withColumn("stream_id", F.lit(stream_id)), ask)
+        return self.append_batch(events.withColumn("stream_id", F.lit(stream_id)), ask, inline=inline)
 
-    def append_batch(self, events: DataFrame, asks: DataFrame, query: Query | None = None, after: int = 0) -> Manifest:
-        """All streams or none. asks: stream_id, expected_kind, expected_version, a row a stream. With a query: refused if an event past ``after`` matches it."""
+    def append_batch(self, events: DataFrame, asks: DataFrame, query: Query | None = None, after: int = 0, inline: tuple[View, ...] = ()) -> Manifest:
+        """All streams or none. asks: stream_id, expected_kind, expected_version, a row for each stream of the events. With a query: refused if an event past ``after`` matches it. The rows of inline views that the events touch are folded and committed with them; if that fails nothing is appended."""
         twice = asks.groupBy("stream_id").count().where("count > 1").first()
         if twice:
             raise DuplicateStream(twice.stream_id)
         rows = events.select("ord", *[f.name for f in NEW_EVENT.fields])
+        unasked = rows.select("stream_id").distinct().join(asks.select("stream_id"), "stream_id", "left_anti").limit(1).collect()
+        if unasked:
+            raise UnaskedStream(unasked[0].stream_id)
 
         def prepare(m: Manifest) -> Manifest | None:
             heads = self.heads(asks, m)
-            checked = asks.join(heads, "stream_id").withColumn("fits", guards.version_matches(F.col("expected_kind"), F.col("expected_version"), F.col("head")))
-            bad = checked.where("closed or not fits").orderBy("stream_id").limit(1).collect()
-            if bad and bad[0].closed:
-                raise StreamClosed(bad[0].stream_id)
-            if bad:
-                raise Conflict(bad[0].stream_id, bad[0].head)
+            self._check(asks, heads)
             if query is not None:
                 hit = self.log(m).where((F.col("sequence") > after) & query.column()).agg(F.max("sequence")).first()[0]
                 if hit is not None:
@@ -163,13 +188,24 @@ class EventStore:
             name = f"events/{m.commit + 1:020d}-{uuid.uuid4().hex}"
             target = f"{self.path}/{name}"
             placed.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields]).sortWithinPartitions("sequence").write.parquet(target)
-            last = self.spark.read.schema(LOG).parquet(target).agg(F.max("sequence")).first()[0]
+            written = self.spark.read.schema(LOG).parquet(target)
+            last = written.agg(F.max("sequence")).first()[0]
             if last is None:
                 return None
-            return Manifest(0, last, [*m.events, name], dict(m.tables))
+            tables = dict(m.tables) | {view.table: self._write(view.table, view.schema, view.applied(written, self.table(view.table, view.schema, m)), m) for view in inline}
+            return Manifest(0, last, [*m.events, name], tables)
 
         return self.transact(prepare)
 
+    def _check(self, asks: DataFrame, heads: DataFrame) -> None:
+        fits = guards.version_matches(F.col("expected_kind"), F.col("expected_version"), F.col("head"))
+        bad = asks.join(heads, "stream_id").withColumn("fits", fits).where("closed or not fits").orderBy("stream_id").limit(1).collect()
+        if bad and bad[0].closed:
+            raise StreamClosed(bad[0].stream_id)
+        if bad:
+            self.metrics.add("store.conflicts")
+            raise Conflict(bad[0].stream_id, bad[0].head)
+
     def append_if(self, events: DataFrame, asks: DataFrame, query: Query, after: int) -> Manifest:
         return self.append_batch(events, asks, query, after)
 
@@ -179,13 +215,15 @@ class EventStore:
         """Replaces a side table by change(table, manifest)."""
 
         def prepare(m: Manifest) -> Manifest:
-            target = f"tables/{name}/{m.commit + 1:020d}-{uuid.uuid4().hex}"
-            new = change(self.table(name, schema, m), m)
-            new.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.path}/{target}")
-            return Manifest(0, m.last_sequence, list(m.events), {**m.tables, name: target})
+            return Manifest(0, m.last_sequence, list(m.events), {**m.tables, name: self._write(name, schema, change(self.table(name, schema, m), m), m)})
 
         return self.transact(prepare)
 
+    def _write(self, name: str, schema: T.StructType, rows: DataFrame, m: Manifest) -> str:
+        target = f"tables/{name}/{m.commit + 1:020d}-{uuid.uuid4().hex}"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.path}/{target}")
+        return target
+
     def _live(self, stream_id: str, closed: Column, first_kept: Column):
         one = self.spark.createDataFrame([(stream_id,)], "stream_id string")
 

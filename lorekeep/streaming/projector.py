@@ -2,37 +2,38 @@
 
 A batch is applied, then acknowledged: the checkpoint moves only after all its
 events are in. A batch may come again after a failure, so what is applied must
-be keyed by sequence; ``ViewProjection`` is.
+be keyed by sequence; views are.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lorekeep.errors import EventRejected, LeaseLost
 from lorekeep.operators import views
-from lorekeep.operators.views import checkpoint_key
+from lorekeep.operators.predicates import EventFilter
+from lorekeep.operators.views import View, checkpoint_key
+from lorekeep.schema import columns
 from lorekeep.sources.store import EventStore
+from lorekeep.streaming.source import LogSource
 
-VIEWS = T.StructType([T.StructField("view_name", T.StringType()), T.StructField("view_id", T.StringType()), T.StructField("version", T.LongType()), T.StructField("value", T.LongType())])
-CHECKPOINTS = T.StructType([T.StructField("name", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("at", T.LongType())])
-PARKED = T.StructType([T.StructField("subscription", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("stream_id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.LongType()), T.StructField("at", T.LongType())])
-LEASES = T.StructType([T.StructField("name", T.StringType()), T.StructField("holder", T.StringType()), T.StructField("renewed", T.LongType()), T.StructField("acquired", T.LongType()), T.StructField("at", T.LongType())])
+
+VIEWS = columns("view_name string, view_id string, version long, value long")
+CHECKPOINTS = columns("name string, sequence long, at long")
+PARKED = columns("subscription string, sequence long, stream_id string, error string, attempts long, at long")
+LEASES = columns("name string, holder string, renewed long, acquired long, at long")
 
 
 def now_ms() -> int:
     return time.time_ns() // 1_000_000
 
 
-class LeaseLost(Exception):
-    pass
-
-
 @dataclass
 class Lease:
     """One holder a name: within ttl * grace of its last renewal and ttl * max_grace of its acquisition."""
@@ -44,6 +45,7 @@ class Lease:
     grace: int = 3
     max_grace: int = 12
     clock: Callable[[], int] = now_ms
+    renewed: int = 0
 
     def acquire(self) -> bool:
         return self._hold(new=True)
@@ -52,6 +54,11 @@ class Lease:
         if not self._hold(new=False):
             raise LeaseLost(self.name)
 
+    def renew_if_due(self) -> None:
+        """Before a fetch: only once a time to live has gone by."""
+        if self.clock() - self.renewed >= self.ttl_ms:
+            self.renew()
+
     def _hold(self, new: bool) -> bool:
         now, won = self.clock(), False
 
@@ -67,6 +74,8 @@ class Lease:
             return old.where(F.col("name") != self.name).unionByName(self.store.spark.createDataFrame([(self.name, self.holder, now, acquired, now)], LEASES))
 
         self.store.put("leases", LEASES, change)
+        if won:
+            self.renewed = now
         return won
 
     def release(self) -> None:
@@ -94,13 +103,30 @@ class ViewProjection:
 
 
 @dataclass
-class Projector:
-    """Applies the log from its checkpoint to its head in bounded batches.
+class FoldedProjection:
+    """A view of any fold (``views.View``), kept in a side table of its own."""
+
+    store: EventStore
+    view: View
+
+    def apply(self, events: DataFrame) -> None:
+        self.store.put(self.view.table, self.view.schema, lambda old, _: self.view.applied(events, old))
 
-    poison: a column that is null for good events and an error's text for bad
-    ones. Halt (retries None) stops at the first bad event, nothing past it
-    acknowledged; with retries, a bad event is parked once it has failed more
-    often than that, and the rest goes on.
+    def rows(self) -> DataFrame:
+        return self.store.table(self.view.table, self.view.schema)
+
+
+@dataclass
+class Projector:
+    """Applies the log from its checkpoint in batches of at most ``batch`` events.
+
+    where: only matching events are applied; the checkpoint still moves past
+    the others. An event is rejected if ``poison`` (an error's text, null for
+    good events) says so, or if ``apply`` raises; the events that make it raise
+    are found by halving the batch. Rejected events are tried again after
+    ``retry_ms``. Halt (retries None) stops at the first rejected event, nothing
+    past it acknowledged; with retries, those rejected more often than that, one
+    time after another, are parked, and the rest goes on.
     """
 
     store: EventStore
@@ -111,6 +137,15 @@ class Projector:
     batch: int = 128
     version: int = 1
     lease: Lease | None = None
+    where: EventFilter = field(default_factory=EventFilter)
+    idle_ms: int = 100
+    retry_ms: int = 1000
+    caught_up: Callable[[int], None] | None = None
+    parking: bool = True
+
+    def __post_init__(self) -> None:
+        if self.retries is not None and not self.parking:
+            raise ValueError("events can only be parked where a store of parked events is allowed")
 
     def key(self) -> str:
         return checkpoint_key(self.name, self.version)
@@ -130,32 +165,116 @@ class Projector:
         if self.lease and not self.lease.acquire():
             raise LeaseLost(self.lease.name)
         at = self.checkpoint()
+        while (upto := self._batch(at)) is not None:
+            at = upto
+        return at
+
+    def follow(self, stop: threading.Event) -> int:
+        """On and on until ``stop``; then what is under way is finished, and one closing read made. A commit in this process ends an idle sleep early, but no pause after a failure."""
+        if self.lease and not self.lease.acquire():
+            raise LeaseLost(self.lease.name)
+        at, failed = self.checkpoint(), False
         while True:
-            manifest = self.store.manifest()
-            if at >= manifest.last_sequence:
+            closing = stop.is_set()
+            seen = self.store.committed.last
+            try:
+                upto = self._batch(at)
+            except LeaseLost as error:
+                raise LeaseLost(self.lease.name, at) from error
+            except Exception:
+                if self.retries is None or closing or failed:  # a second failure in a row ends it
+                    raise
+                failed = True
+                stop.wait(self.retry_ms / 1000)
+                continue
+            failed = False
+            if upto is not None:
+                at = upto
+            elif closing:
                 return at
+            else:
+                if self.caught_up:
+                    self.caught_up(at)
+                self.store.committed.wait(seen, self.idle_ms / 1000)
+
+    def _batch(self, at: int) -> int | None:
+        """Applies and acknowledges the next batch; its upper bound, or None at the head."""
+        if self.lease:
+            self.lease.renew_if_due()
+        manifest, metrics = self.store.manifest(), self.store.metrics
+        metrics.set("projector.lag", max(0, manifest.last_sequence - at))
+        if at >= manifest.last_sequence:
+            return None
+        with metrics.timed("projector.batch"):
             window = self.store.log(manifest).where(F.col("sequence") > at)
-            bound = window.select("sequence").orderBy("sequence").limit(self.batch).agg(F.max("sequence")).first()[0]
-            upto = manifest.last_sequence if bound is None else bound
+            if not self.where.is_all():
+                window = window.where(self.where.column())
+            bound = window.select("sequence").orderBy("sequence").limit(self.batch).agg(F.max("sequence"), F.count(F.lit(1))).first()
+            upto = bound[0] if bound[1] == self.batch else manifest.last_sequence
             events = window.where(F.col("sequence") <= upto)
-            if self.poison is not None:
-                bad = events.where(self.poison.isNotNull())
-                first = bad.orderBy("sequence").limit(1).collect()
-                if first and self.retries is None:
-                    self.apply(events.where(F.col("sequence") < first[0].sequence))
-                    if first[0].sequence - 1 > at:
-                        self.acknowledge(first[0].sequence - 1)
-                    raise RuntimeError(f"event {first[0].sequence} can't be applied")
-                if first:
-                    self.park(bad)
-                events = events.where(self.poison.isNull())
-            self.apply(events)
+            rejected = self._try(events, at, upto) if bound[1] else {}
+            for attempt in range(2, (self.retries or 0) + 2):
+                if not rejected:
+                    break
+                time.sleep(self.retry_ms / 1000)
+                again = events.where(F.col("sequence").isin(list(rejected)))
+                rejected = {s: (reason, attempt) for s, (reason, _) in self._try(again, at, upto).items()}
+            if rejected:
+                self.park(events.where(F.col("sequence").isin(list(rejected))), rejected)
+            metrics.add("projector.events_applied", bound[1] - len(rejected))
             self.acknowledge(upto)
-            at = upto
-
-    def park(self, bad: DataFrame) -> None:
-        rows = bad.select(F.lit(self.name).alias("subscription"), "sequence", "stream_id", self.poison.alias("error"), F.lit(self.retries + 1).cast("long").alias("attempts"), F.lit(now_ms()).alias("at"))
+        return upto
+
+    def _try(self, events: DataFrame, at: int, upto: int) -> dict[int, tuple[str, int]]:
+        """Applies what can be applied; the rejected events, at most a batch of them, with their reasons."""
+        rejected: dict[int, tuple[str, int]] = {}
+        if self.poison is not None:
+            bad = events.where(self.poison.isNotNull()).select("sequence", self.poison.alias("error")).orderBy("sequence").collect()
+            rejected = {r.sequence: (r.error, 1) for r in bad}
+            if bad and self.retries is None:
+                self._halt(events, at, bad[0].sequence, bad[0].error)
+            events = events.where(self.poison.isNull())
+        try:
+            self.apply(events)
+        except LeaseLost:
+            raise
+        except Exception as error:
+            numbers = sorted(r.sequence for r in events.select("sequence").collect())
+            self._narrow(events, numbers, error, rejected, at)
+        self.store.metrics.add("projector.rejections", len(rejected))
+        return rejected
+
+    def _narrow(self, events: DataFrame, numbers: list[int], error: Exception, rejected: dict, at: int) -> None:
+        if isinstance(error, EventRejected) and error.sequence in numbers:
+            cut = numbers.index(error.sequence)
+            parts = [numbers[:cut], numbers[cut : cut + 1], numbers[cut + 1 :]]
+        else:
+            parts = [numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :]] if len(numbers) > 1 else [numbers]
+        for part in parts:
+            if part == numbers or isinstance(error, EventRejected) and part == [error.sequence]:
+                if self.retries is None:
+                    self._halt(events, at, part[0] if part else at + 1, str(error), applied=True)
+                rejected[part[0]] = (str(error), 1)
+            elif part:
+                try:
+                    self.apply(events.where(F.col("sequence").between(part[0], part[-1])))
+                except LeaseLost:
+                    raise
+                except Exception as inner:
+                    self._narrow(events, part, inner, rejected, at)
+
+    def _halt(self, events: DataFrame, at: int, sequence: int, reason: str, applied: bool = False) -> None:
+        if not applied:
+            self.apply(events.where(F.col("sequence") < sequence))
+        if sequence - 1 > at:
+            self.acknowledge(sequence - 1)
+        raise EventRejected(sequence, reason)
+
+    def park(self, bad: DataFrame, rejected: dict[int, tuple[str, int]]) -> None:
+        why = self.store.spark.createDataFrame([(s, reason, n) for s, (reason, n) in rejected.items()], "sequence long, error string, attempts long")
+        rows = bad.select("sequence", "stream_id").join(F.broadcast(why), "sequence").select(F.lit(self.name).alias("subscription"), "sequence", "stream_id", "error", "attempts", F.lit(now_ms()).alias("at"))
         self.store.upsert("parked", PARKED, rows, ["subscription", "sequence"], "at")
+        self.store.metrics.add("projector.events_parked", len(rejected))
 
     def parked(self) -> DataFrame:
         """Oldest first."""
@@ -164,11 +283,16 @@ class Projector:
     def unpark(self, sequence: int) -> None:
         self.store.put("parked", PARKED, lambda old, _: old.where(~((F.col("subscription") == self.name) & (F.col("sequence") == sequence))))
 
+    def rebuild(self, version: int, apply: Callable[[DataFrame], None]) -> Projector:
+        """A run of the same projection from the log's start to its head under a checkpoint of its own; the old one's stays."""
+        new = Projector(self.store, self.name, apply, self.poison, self.retries, self.batch, version, self.lease, self.where, self.idle_ms, self.retry_ms)
+        new.run()
+        return new
 
-def stream_to(spark: SparkSession, path: str, checkpoint: str, apply: Callable[[DataFrame], None]) -> None:
-    """Structured Streaming over a store's event files to the head, then stop; Spark's offset log is the checkpoint."""
-    from lorekeep.schema import LOG
 
-    files = spark.readStream.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{path}/events")
-    query = files.writeStream.foreachBatch(lambda rows, _: apply(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_to(spark: SparkSession, path: str, checkpoint: str, apply: Callable[[DataFrame], None], **options: str) -> None:
+    """Structured Streaming over what a store has committed, to the head, then stop; Spark's offset log is the checkpoint."""
+    spark.dataSource.register(LogSource)
+    rows = spark.readStream.format("lorekeep").options(path=path, **options).load()
+    query = rows.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

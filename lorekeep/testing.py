@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.operators.views import View
+
 
 class Scenario:
     """fold(log) -> rows; decide(log, commands) -> rows; both take and return DataFrames."""
@@ -28,6 +30,25 @@ class Scenario:
             return Outcome(None, error)
 
 
+class ProjectionScenario:
+    """Given events and a view, when more events come (once or again), then its rows."""
+
+    def __init__(self, spark: SparkSession, schema: str, view: View) -> None:
+        self.spark, self.schema, self.view = spark, schema, view
+        self.stored = spark.createDataFrame([], view.schema)
+
+    def when(self, *rows: tuple) -> ProjectionScenario:
+        """rows: of the log; the view is applied to them. Rows that it has seen change nothing."""
+        self.stored = self.spark.createDataFrame(self.view.applied(self.spark.createDataFrame(list(rows), self.schema), self.stored).collect(), self.view.schema)
+        return self
+
+    def then(self, *rows: tuple) -> ProjectionScenario:
+        """rows: view_id, version, value."""
+        got = sorted(tuple(r) for r in self.stored.collect())
+        assert got == sorted(rows), f"{got} != {list(rows)}"
+        return self
+
+
 class Outcome:
     def __init__(self, rows: list[tuple] | None, error: Exception | None) -> None:
         self.rows, self.error = rows, error

@@ -5,11 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.errors import Conflict, DuplicateStream, QueryConflict, StreamClosed, Truncated
+from lorekeep.errors import Conflict, DuplicateStream, EventRejected, LeaseLost, QueryConflict, StreamClosed, Truncated, UnaskedStream
 from lorekeep.operators.predicates import Query, QueryItem
 from lorekeep.schema import NEW_EVENT
 from lorekeep.sources.store import EventStore, Manifest
-from lorekeep.streaming.projector import VIEWS, Lease, LeaseLost, Projector, ViewProjection, stream_to
+from lorekeep.operators.predicates import EventFilter
+from lorekeep.operators.views import View
+from lorekeep.schema import LOG
+from lorekeep.streaming.projector import VIEWS, FoldedProjection, Lease, Projector, ViewProjection, stream_to
 from lorekeep.streaming.source import LogSource
 
 
@@ -127,10 +130,10 @@ def test_projection_resumes_parks_and_is_safe_to_replay(store):
     view = ViewProjection(store, "sum", F.col("stream_id"), F.col("payload"))
     poison = F.when(F.col("payload") == "13", F.lit("unlucky"))
     halting = Projector(store, "sum", view.apply, poison)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(EventRejected):
         halting.run()
     assert halting.checkpoint() == 2 and sums(store, "sum") == {"a-1": (2, 3)}
-    parking = Projector(store, "sum", view.apply, poison, retries=2, batch=1)
+    parking = Projector(store, "sum", view.apply, poison, retries=2, batch=1, retry_ms=1)
     assert parking.run() == 4
     assert [(r.sequence, r.error, r.attempts) for r in parking.parked().collect()] == [(3, "unlucky", 3)]
     assert sums(store, "sum") == {"a-1": (4, 7)}
@@ -171,6 +174,110 @@ def test_streaming_over_the_store(store, spark, tmp_path):
     assert sorted(seen) == [1, 2, 3]
 
 
+def test_events_of_streams_without_an_expectation_are_refused(store, spark):
+    add(store, "x-1", "1")
+    both = events(spark, [("y-1", "X", "1", []), ("x-1", "X", "2", [])])
+    with pytest.raises(UnaskedStream):
+        store.append_batch(both, asks(spark, ("y-1", "any", 0)))
+    assert store.log().count() == 1
+
+
+def test_streams_see_neither_lost_writers_files_nor_cut_versions(store, spark, tmp_path):
+    add(store, "a-1", "1", "2", "3")
+    add(store, "b-1", "4")
+    store.log().where("version = 1").write.parquet(f"{store.path}/events/{9:020d}-orphan")
+    store.truncate("a-1", 3)
+    seen: list[int] = []
+    stream_to(spark, store.path, str(tmp_path / "o1"), lambda df: seen.extend(r.sequence for r in df.collect()))
+    assert sorted(seen) == [3, 4] == sorted(r.sequence for r in store.log().collect())
+    seen.clear()
+    stream_to(spark, store.path, str(tmp_path / "o2"), lambda df: seen.extend(r.sequence for r in df.collect()), prefixes='["b-"]', types='["Added"]')
+    assert seen == [4]
+
+
+def test_rejected_events_are_tried_again_before_they_are_parked(store):
+    add(store, "a-1", "1", "2", "13", "4", "99")
+    tries: list[int] = []
+
+    def apply(rows):
+        for r in rows.orderBy("sequence").collect():
+            tries.append(r.sequence)
+            if r.payload == "13" or r.payload == "99" and tries.count(5) < 3:
+                raise ValueError(f"not {r.payload}")
+
+    projector = Projector(store, "p", apply, retries=2, retry_ms=1)
+    assert projector.run() == 5
+    assert [(r.sequence, r.attempts, r.error) for r in projector.parked().collect()] == [(3, 3, "not 13")]
+    assert tries.count(3) >= 3 and tries.count(5) >= 3
+    with pytest.raises(EventRejected) as e:
+        Projector(store, "halting", apply, retry_ms=1).run()
+    assert e.value.sequence == 3 and Projector(store, "halting", apply).checkpoint() == 2
+    with pytest.raises(ValueError):
+        Projector(store, "q", apply, retries=1, parking=False)
+
+
+def test_filtered_projections_pass_over_what_does_not_match(store):
+    add(store, "a-1", "1", "2")
+    add(store, "b-1", "3")
+    add(store, "a-1", "4")
+    seen: list[int] = []
+    projector = Projector(store, "b", lambda df: seen.extend(r.sequence for r in df.collect()), where=EventFilter(("b-",)))
+    assert projector.run() == 4 and seen == [3] and projector.checkpoint() == 4
+    assert store.metrics.counts["store.events_appended"] == 4 and store.metrics.counts["projector.events_applied"] == 1
+
+
+def test_following_drains_when_it_is_stopped(store):
+    import threading
+
+    add(store, "a-1", "1")
+    seen, stop, pulses = [], threading.Event(), []
+
+    def caught_up(at):
+        pulses.append(at)
+        if at == 1:
+            add(store, "a-1", "2")  # wakes the idle sleep
+        else:
+            add(store, "a-1", "3")
+            stop.set()  # the closing read finds it
+
+    projector = Projector(store, "f", lambda df: seen.extend(r.sequence for r in df.collect()), caught_up=caught_up, idle_ms=60_000)
+    assert projector.follow(stop) == 3 and seen == [1, 2, 3] and pulses[:2] == [1, 2]
+
+
+def total(name="total", fail_at=None):
+    def step(value, e):
+        changed = value + e["payload"].cast("long")
+        return changed if fail_at is None else F.when(e["payload"] == fail_at, F.raise_error("no").cast("long")).otherwise(changed)
+
+    return View(name, F.col("stream_id"), "long", F.lit(0).cast("long"), step, ("payload",))
+
+
+def test_inline_views_commit_with_the_events_or_not_at_all(store):
+    view = total(fail_at="13")
+    rows = lambda: sorted(tuple(r) for r in store.table(view.table, view.schema).collect())
+    one = lambda *payloads: events(store.spark, [("a-1", "Added", p, []) for p in payloads])
+    store.append("a-1", one("1", "2"), inline=(view,))
+    store.append("b-1", one("5"), inline=(view,))
+    store.append("a-1", one("4"), inline=(view,))
+    assert rows() == [("a-1", 4, 7), ("b-1", 3, 5)]
+    with pytest.raises(Exception, match="no"):
+        store.append("a-1", one("13"), inline=(view,))
+    assert store.log().count() == 4 and rows() == [("a-1", 4, 7), ("b-1", 3, 5)]
+    later = FoldedProjection(store, total("later"))
+    assert Projector(store, "later", later.apply).run() == 4
+    later.apply(store.log())  # again
+    assert sorted(tuple(r) for r in later.rows().collect()) == rows()
+
+
+def test_commit_signals_are_not_lost(store):
+    seen = store.committed.last
+    add(store, "a-1", "1")
+    assert store.committed.wait(seen, 0) > seen
+    seen = store.committed.last
+    add(store, "a-1")  # nothing to append: silent
+    assert store.committed.wait(seen, 0) == seen
+
+
 def test_the_stream_source(store, spark, tmp_path):
     spark.dataSource.register(LogSource)
     add(store, "a-1", "1", "2")
