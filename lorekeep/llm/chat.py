@@ -83,14 +83,15 @@ def formatted(turns: DataFrame, learned_role: str = "assistant") -> DataFrame:
     """turns: conv_id, turn, role, parts. Per conversation: conv_id, n_turns, formatted, loss_spans (start, chars), attachments (turn, part, kind, uri, tokens), n_attachment_tokens."""
     role = F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit('<turn role="'), escaped(role), F.lit('">'))
-    turn = common.project(turns, "conv_id", "turn", "role", "parts").select("conv_id", "turn", role.alias("role"), head.alias("head"), visited(F.col("parts")).alias("seen"))
+    raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")  # turns with equal numbers are ordered by it
+    turn = common.project(turns, "conv_id", "turn", "role", "parts").select("conv_id", "turn", role.alias("role"), head.alias("head"), raw.alias("raw"), visited(F.col("parts")).alias("seen"))
     turn = turn.select(
         "conv_id",
         F.expr(f"turn div {BLOCK}").alias("block"),
         F.struct(
             "turn",
             "role",
-            F.col("seen.body").alias("body"),
+            "raw",
             F.concat("head", "seen.body", F.lit("</turn>")).alias("out"),
             F.char_length("head").alias("skip"),
             F.char_length("seen.body").alias("chars"),
