@@ -1,11 +1,13 @@
 """Benchmark decontamination with training suffix arrays.
 
 The training texts are the shards: every run of documents that a task holds
-becomes a suffix array over its words. Every suffix of every benchmark item is
-looked up in it by binary search; equal ranges give all places of a window, and
-neighbouring places along a diagonal give the longest verbatim match. A suffix
-of the training text that can't match (one of its first words is in no item)
-is left out of the array, which makes it sparse and changes no answer.
+becomes a suffix array over its words. The windows of all benchmark suffixes,
+each distinct one once, are looked up in it by binary search; equal ranges give
+all places of a window. Where windows occur, a second suffix array, over the hit
+words and the items that hit them, gives the longest verbatim match and its
+place from the common prefixes of neighbours. A suffix of the training text that
+can't match (one of its first words is in no item) is left out of the first
+array, which makes it sparse and changes no answer.
 
 The benchmark is the query set. It goes to the shards in blocks of at most
 ``BLOCK_CHARS`` characters; that bound, not the benchmark's size, is what is
@@ -13,9 +15,10 @@ broadcast. With one block nothing is shuffled; with more, each document's
 partial results are merged by row.
 
 Defined results: null and wordless texts have no words and no hits; an item
-without words, a null item text or a null item_id never occurs; items that
-share an id count once; repeated rows give repeated results; empty tables give
-no rows or no hits; further columns are ignored.
+without words or with a null text never occurs; an item without an id hits
+words, but is in no list of items; items that share an id count once; matches
+shorter than a window are not reported as longest; repeated rows give repeated
+results; empty tables give no rows or no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,23 +48,32 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """One block of the benchmark: its items' words as one array of numbers, and its windows by length."""
+    """One block of the benchmark: its items' words as one array of numbers, and its distinct windows by length, each with the items (by row) that hold it."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        flat, self.windows = [], {}
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for item, own in items:
-            at = len(flat)
+        flat: list[int] = []
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        begins = []
+        for row, (_, own) in enumerate(items):
+            begins.append(len(flat))
             flat += [number(w, len(self.vocabulary) + 1) for w in own]
             size = min(WINDOW, len(own))
-            windows.setdefault(size, []).extend((at + k, item) for k in range(len(own) - size + 1))
+            by_size.setdefault(size, []).extend((begins[-1] + k, row) for k in range(len(own) - size + 1))
             flat.append(0)
-        self.ids = np.array(flat or [0], np.int32)
-        for size, found in windows.items():
+        self.ids, self.begins = np.array(flat or [0], np.int32), np.array([*begins, len(flat)], np.int64)
+        self.names = [name for name, _ in items]
+        #: By size: the distinct windows in order, and of each its items: where they begin in the list, and the list.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in by_size.items():
             array = np.array(found, np.int64)
-            self.windows[size] = (array[:, 0], array[:, 1], suffixes(self.ids, array[:, 0], size))
+            keys, at = np.unique(suffixes(self.ids, array[:, 0], size), return_inverse=True)
+            pairs = np.unique(np.stack([at, array[:, 1]]), axis=1)
+            self.windows[size] = (keys, np.searchsorted(pairs[0], np.arange(len(keys) + 1)), pairs[1])
+
+    def words_of(self, row: int) -> np.ndarray:
+        return self.ids[self.begins[row] : self.begins[row + 1] - 1]
 
 
 def suffixes(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -94,11 +106,11 @@ class Shard:
             flat.append(0)
         self.starts, self.ids = np.array(starts, np.int64), np.array(flat, np.int32)
 
-    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All occurrences of windows: place in the shard, words, place in the queries, item."""
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences of windows: place in the shard, words, the window's number among those of its size."""
         found = []
         run = known_run(self.ids)
-        for size, (at, items, keys) in self.queries.windows.items():
+        for size, (keys, _, _) in self.queries.windows.items():
             able = np.flatnonzero((run >= size) & (self.ids != 0))
             if not len(able):
                 continue
@@ -106,53 +118,109 @@ class Shard:
             order = np.argsort(array, kind="stable")
             array, able = array[order], able[order]
             low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
-            counts = high - low
-            hit = np.flatnonzero(counts)
+            hit = np.flatnonzero(high - low)
             if not len(hit):
                 continue
-            counts = counts[hit]
+            counts = (high - low)[hit]
             offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            found.append((able[np.repeat(low[hit], counts) + offset], np.full(counts.sum(), size), np.repeat(at[hit], counts), np.repeat(items[hit], counts)))
+            found.append((able[np.repeat(low[hit], counts) + offset], np.full(counts.sum(), size), np.repeat(hit, counts)))
         if not found:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def matches(self) -> list[tuple[list[tuple[int, int]], list[int], int, int]]:
-        """Per document: hit ranges of words (disjoint, in order), items, words of the longest verbatim match, its first word."""
-        place, size, query, item = self.places()
+    def matches(self, longest: bool = True) -> list[tuple[list[tuple[int, int]], list[int], int, int]]:
+        """Per document: hit ranges of words (disjoint, in order), ids of items, words of the longest verbatim match, its first word (0 and -1 if not asked for)."""
+        place, size, window = self.places()
         out: list[tuple[list[tuple[int, int]], list[int], int, int]] = [([], [], 0, -1)] * len(self.starts)
         if not len(place):
             return out
+        order = np.argsort(place, kind="stable")
+        place, size, window = place[order], size[order], window[order]
         document = np.searchsorted(self.starts, place, "right") - 1
-        order = np.lexsort((place, place - query, document))
-        p, d, q = place[order], document[order], query[order]
-        new = np.ones(len(p), bool)
-        new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(p))) - 1 + size[order][first]
-        for k in np.unique(document).tolist():
-            own = document == k
-            at = place[own] - self.starts[k]
-            edges = sorted(set(zip(at.tolist(), (at + size[own]).tolist(), strict=True)))
-            ranges: list[list[int]] = []
-            for a, b in edges:
-                if ranges and a <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], b)
-                else:
-                    ranges.append([a, b])
-            mine = np.flatnonzero(d[first] == k)
-            best = mine[np.lexsort((p[first][mine], -length[mine]))[0]]
-            out[k] = ([(a, b) for a, b in ranges], np.unique(item[own]).tolist(), int(length[best]), int(p[first][best] - self.starts[k]))
+        documents, first = np.unique(document, return_index=True)
+        pieces: list[tuple[int, int, int]] = []  # document, place, end
+        rows: dict[int, np.ndarray] = {}
+        for k, a, b in zip(documents.tolist(), first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
+            ends = np.maximum.accumulate(place[a:b] + size[a:b])
+            cuts = np.flatnonzero(place[a + 1 : b] > ends[:-1]) + 1
+            pieces += [(k, int(x), int(y)) for x, y in zip(place[a:b][np.append(0, cuts)], ends[np.append(cuts - 1, b - a - 1)], strict=True)]
+            rows[k] = self._items(size[a:b], window[a:b])
+        best = self._longest(pieces, np.unique(np.concatenate(list(rows.values())))) if longest else {}
+        for k, own in itertools.groupby(pieces, lambda x: x[0]):
+            start = int(self.starts[k])
+            ranges = [(x - start, y - start) for _, x, y in own]
+            names = sorted({name for r in rows[k].tolist() if (name := self.queries.names[r]) is not None})
+            length, at = best.get(k, (0, start - 1))
+            out[k] = (ranges, names, length, at - start)
+        return out
+
+    def _items(self, size: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """The rows of all items that hold one of the windows."""
+        found = []
+        for n in np.unique(size).tolist():
+            _, begins, items = self.queries.windows[n]
+            found += [items[begins[w] : begins[w + 1]] for w in np.unique(window[size == n]).tolist()]
+        return np.unique(np.concatenate(found))
+
+    def _longest(self, pieces: list[tuple[int, int, int]], items: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Per document: words and place of the longest stretch of its pieces that an item has, too (the first of the longest)."""
+        texts = [self.ids[a:b] for _, a, b in pieces] + [self.queries.words_of(r) for r in items.tolist()]
+        sizes = np.array([len(x) for x in texts])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        line = np.empty(sizes.sum() + len(sizes), np.int64)
+        for at, x in zip(starts.tolist(), texts, strict=True):
+            line[at : at + len(x)] = x
+        line[starts + sizes] = len(self.queries.vocabulary) + 1 + np.arange(len(sizes))  # every border is unlike all others
+        order, ranks = suffix_array(line, int(sizes.max()))
+        query = np.arange(len(line)) >= starts[len(pieces)]
+        is_query = query[order]
+        at = np.arange(len(line))
+        before = np.maximum.accumulate(np.where(is_query, at, -1))
+        after = np.minimum.accumulate(np.where(is_query, at, len(line))[::-1])[::-1]
+        mine = np.flatnonzero(~is_query)
+        length = np.zeros(len(line), np.int64)
+        for near in (before[mine], after[mine]):
+            real = (near >= 0) & (near < len(line))
+            own = order[mine[real]]
+            length[own] = np.maximum(length[own], common_prefix(ranks, own, order[near[real]]))
+        out: dict[int, tuple[int, int]] = {}
+        for (k, a, b), start in zip(pieces, starts.tolist(), strict=False):
+            own = length[start : start + b - a]
+            top = int(own.argmax())
+            if own[top] > out.get(k, (0, 0))[0]:
+                out[k] = (int(own[top]), a + top)
         return out
 
 
+def suffix_array(line: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of all suffixes by prefix doubling, and every level's ranks: level k ranks the 2 ** k words from each place. longest: words between two borders, at most."""
+    ranks = [np.unique(line, return_inverse=True)[1].astype(np.int64)]
+    while 1 << len(ranks) - 1 <= longest:
+        last, step = ranks[-1], 1 << len(ranks) - 1
+        follows = np.append(last[step:], np.full(min(step, len(last)), -1))
+        ranks.append(np.unique(last * (len(last) + 1) + follows + 1, return_inverse=True)[1].astype(np.int64))
+    return np.argsort(ranks[-1], kind="stable"), ranks
+
+
+def common_prefix(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that the suffixes at a and b share, from the levels' ranks."""
+    n, out = len(ranks[0]), np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + out, b + out
+        inside = (x < n) & (y < n)
+        same = np.zeros(len(a), bool)
+        same[inside] = ranks[k][x[inside]] == ranks[k][y[inside]]
+        out[same] += 1 << k
+    return out
+
+
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Queries]:
     """The benchmark in blocks; read row by row, so the driver holds one block."""
-    items: list[tuple[int, list[bytes]]] = []
+    items: list[tuple[int | None, list[bytes]]] = []
     total = 0
-    for row in common.project(benchmark, "item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in common.project(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
         if own := words(row[1]):
-            items.append((int(row[0]), own))
+            items.append((None if row[0] is None else int(row[0]), own))
             total += len(row[1])
         if total >= chars:
             yield Queries(items)
@@ -238,7 +306,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(texts: list[str]) -> list[bool]:
             tokens = [words(x) for x in texts]
-            hits = [sum(b - a for a, b in m[0]) for m in Shard(shared.value, tokens).matches()]
+            hits = [sum(b - a for a, b in m[0]) for m in Shard(shared.value, tokens).matches(longest=False)]
             return [not (h > 0 and SHARE * h >= len(w)) for h, w in zip(hits, tokens, strict=True)]
 
         return common.narrowed(docs, clean)

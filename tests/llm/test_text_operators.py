@@ -121,6 +121,34 @@ def test_longest_match_and_place(spark):
     assert (r.longest, r.longest_at, r.n_hit, r.items) == (20, 2, 20, [9])
 
 
+def test_longest_matches_equal_brute_force():
+    rnd = random.Random(8)
+    make = lambda n: [b"%d" % rnd.randrange(3) for _ in range(n)]
+    items = [(k, make(rnd.randint(13, 40))) for k in range(6)]
+    docs = [make(rnd.randint(0, 10)) + rnd.choice(items)[1][rnd.randrange(5) :] + make(rnd.randint(0, 20)) for _ in range(40)]
+    for own, (ranges, _, length, at) in zip(docs, decontaminate.Shard(decontaminate.Queries(items), docs).matches(), strict=True):
+        stretches = {n: {tuple(x[k : k + n]) for _, x in items for k in range(len(x) - n + 1)} for n in range(13, 41)}
+        best = max(((n, -k) for n in stretches for k in range(len(own) - n + 1) if tuple(own[k : k + n]) in stretches[n]), default=(0, 1))
+        assert (length, at) == (best[0], -best[1]) and bool(ranges) == (length > 0)
+
+
+def test_equal_words_take_linear_room():
+    import tracemalloc
+
+    own = [b"x"] * 20_000
+    shard = decontaminate.Shard(decontaminate.Queries([(1, own), (None, own)]), [own, [b"y"]])
+    tracemalloc.start()
+    assert shard.matches() == [([(0, 20_000)], [1], 20_000, 0), ([], [], 0, -1)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_items_without_an_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    r = decontaminate.search(docs, spark.createDataFrame([(None, "b c")], "item_id long, text string")).first()
+    assert (r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (2, 0, True, hashlib.sha256(b"").hexdigest())
+
+
 def test_decontamination_on_empty_tables(spark, empty, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.search(empty, none).collect() == []
