@@ -62,7 +62,7 @@ def put_back(payload: str | None, fields: list | None) -> str | None:
     return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
 
 
-def _through(rows: DataFrame, keys: DataFrame, key: str, change) -> DataFrame:
+def _through(rows: DataFrame, keys: DataFrame, key: str, change, column: str) -> DataFrame:
     @F.pandas_udf(FOUND)
     def find(payload: pd.Series) -> pd.Series:
         return payload.map(taken)
@@ -71,26 +71,26 @@ def _through(rows: DataFrame, keys: DataFrame, key: str, change) -> DataFrame:
     def replace(payload: pd.Series, fields: pd.Series) -> pd.Series:
         return pd.Series([put_back(p, f) for p, f in zip(payload, fields, strict=True)], dtype=object)
 
-    each = rows.select(key, F.explode(find("payload")).alias("f")).select(key, "f.path", F.struct("f.state", "f.subject", "f.value", "f.algorithm").alias("field"))
+    each = rows.select(key, F.explode(find(column)).alias("f")).select(key, "f.path", F.struct("f.state", "f.subject", "f.value", "f.algorithm").alias("field"))
     changed = change(each, keys, "field").groupBy(key).agg(F.collect_list(F.struct("path", "field.state", "field.subject", "field.value", "field.algorithm")).alias("fields_"))
-    return rows.join(changed, key, "left").withColumn("payload", replace("payload", "fields_")).select(*rows.columns)
+    return rows.join(changed, key, "left").withColumn(column, replace(column, "fields_")).select(*rows.columns)
 
 
-def sealed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows: key (unique) and payload (JSON), among others. Every plain field is sealed."""
-    return _through(rows, keys, key, shred.sealed)
+def sealed(rows: DataFrame, keys: DataFrame, key: str, column: str = "payload") -> DataFrame:
+    """rows: key (unique) and a column of JSON, among others. Every plain field is sealed."""
+    return _through(rows, keys, key, shred.sealed, column)
 
 
-def opened(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def opened(rows: DataFrame, keys: DataFrame, key: str, column: str = "payload") -> DataFrame:
     """Every sealed field is opened, or shredded where its subject has no key."""
-    return _through(rows, keys, key, shred.opened)
+    return _through(rows, keys, key, shred.opened, column)
 
 
-def subjects(rows: DataFrame) -> DataFrame:
+def subjects(rows: DataFrame, column: str = "payload") -> DataFrame:
     """The subjects of plain fields, which need keys."""
 
     @F.pandas_udf(FOUND)
     def find(payload: pd.Series) -> pd.Series:
         return payload.map(taken)
 
-    return rows.select(F.explode(find("payload")).alias("f")).where("f.state = 'plain'").select("f.subject").distinct()
+    return rows.select(F.explode(find(column)).alias("f")).where("f.state = 'plain'").select("f.subject").distinct()

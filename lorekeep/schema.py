@@ -50,3 +50,19 @@ def aggregate_key(name: str, stream: Column) -> Column:
 
 def tag(kind: str, value: Column) -> Column:
     return F.concat_ws(":", F.lit(kind), value.cast("string"))
+
+
+def padded(at: Column) -> Column:
+    """A position as text whose order is the positions': sixteen hexadecimal digits."""
+    return F.lpad(F.lower(F.hex(at)), 16, "0")
+
+
+def snake_case(name: Column) -> Column:
+    """``OrderPlaced`` and ``HTTPRequest`` as ``order_placed`` and ``http_request``."""
+    broken = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(broken)
+
+
+def variant(payload: Column) -> Column:
+    """The event's name in a payload that is tagged by it: ``{"Deposited": {...}}``, or a bare ``"Closed"``."""
+    return F.coalesce(F.element_at(F.json_object_keys(payload), 1), F.get_json_object(F.concat(F.lit('{"x":'), payload, F.lit("}")), "$.x"))

@@ -36,6 +36,8 @@ from lorekeep.schema import LOG, NEW_EVENT, columns
 
 LIFECYCLE = columns("stream_id string, closed boolean, first_kept long, head long")
 RETRIES = 3
+#: So many names of streams go into a scan's filter.
+FEW_STREAMS = 256
 
 
 @dataclass
@@ -153,9 +155,12 @@ class EventStore:
         return self.log(m).where((F.col("stream_id") == stream_id) & (F.col("version") > after)).orderBy("version")
 
     def heads(self, streams: DataFrame, at: Manifest) -> DataFrame:
-        """Heads of the named streams only: a semi-join before the aggregate."""
+        """Heads of the named streams only: a semi-join before the aggregate. The names of a few streams also reach the scan, which passes over row groups without them."""
         named = streams.select("stream_id").distinct()
-        own = self.log(at).select("stream_id", "version").join(named, "stream_id", "left_semi").groupBy("stream_id").agg(F.max("version").alias("last"))
+        few = [r[0] for r in named.limit(FEW_STREAMS + 1).collect()]
+        log = self.log(at).select("stream_id", "version")
+        log = log.where(F.col("stream_id").isin(few)) if len(few) <= FEW_STREAMS else log
+        own = log.join(named, "stream_id", "left_semi").groupBy("stream_id").agg(F.max("version").alias("last"))
         recorded = self.lifecycle(at).select("stream_id", "head", "closed")
         every = named.join(own, "stream_id", "left").join(recorded, "stream_id", "left")
         return every.select("stream_id", F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("head", F.lit(0))).cast("long").alias("head"), F.coalesce("closed", F.lit(False)).alias("closed"))
@@ -224,6 +229,18 @@ class EventStore:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.path}/{target}")
         return target
 
+    def compact(self) -> Manifest:
+        """The log's events in one folder instead of one for each commit, without versions that were cut; positions stay. Older manifests keep naming the old folders."""
+
+        def prepare(m: Manifest) -> Manifest | None:
+            if len(m.events) < 2:
+                return None
+            name = f"events/{m.commit + 1:020d}-{uuid.uuid4().hex}"
+            self.log(m).repartitionByRange("sequence").sortWithinPartitions("sequence").write.parquet(f"{self.path}/{name}")
+            return Manifest(0, m.last_sequence, [name], dict(m.tables))
+
+        return self.transact(prepare)
+
     def _live(self, stream_id: str, closed: Column, first_kept: Column):
         one = self.spark.createDataFrame([(stream_id,)], "stream_id string")
 

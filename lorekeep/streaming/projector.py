@@ -118,7 +118,7 @@ class FoldedProjection:
 
 @dataclass
 class Projector:
-    """Applies the log from its checkpoint in batches of at most ``batch`` events.
+    """Applies the log from its checkpoint in batches of at most ``batch`` events; while it is behind, each batch may be four times the last one, up to ``largest``.
 
     where: only matching events are applied; the checkpoint still moves past
     the others. An event is rejected if ``poison`` (an error's text, null for
@@ -142,10 +142,12 @@ class Projector:
     retry_ms: int = 1000
     caught_up: Callable[[int], None] | None = None
     parking: bool = True
+    largest: int = 1 << 20
 
     def __post_init__(self) -> None:
         if self.retries is not None and not self.parking:
             raise ValueError("events can only be parked where a store of parked events is allowed")
+        self._size = self.batch
 
     def key(self) -> str:
         return checkpoint_key(self.name, self.version)
@@ -209,8 +211,9 @@ class Projector:
             window = self.store.log(manifest).where(F.col("sequence") > at)
             if not self.where.is_all():
                 window = window.where(self.where.column())
-            bound = window.select("sequence").orderBy("sequence").limit(self.batch).agg(F.max("sequence"), F.count(F.lit(1))).first()
-            upto = bound[0] if bound[1] == self.batch else manifest.last_sequence
+            bound = window.select("sequence").orderBy("sequence").limit(self._size).agg(F.max("sequence"), F.count(F.lit(1))).first()
+            full = bound[1] == self._size
+            upto = bound[0] if full else manifest.last_sequence
             events = window.where(F.col("sequence") <= upto)
             rejected = self._try(events, at, upto) if bound[1] else {}
             for attempt in range(2, (self.retries or 0) + 2):
@@ -222,6 +225,7 @@ class Projector:
             if rejected:
                 self.park(events.where(F.col("sequence").isin(list(rejected))), rejected)
             metrics.add("projector.events_applied", bound[1] - len(rejected))
+            self._size = min(self._size * 4, max(self.largest, self.batch)) if full and not rejected else self.batch
             self.acknowledge(upto)
         return upto
 

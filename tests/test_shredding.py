@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import shred_json
 from lorekeep.operators import folds
-from lorekeep.schema import NEW_EVENT
-from lorekeep.sources.shredding import ShreddingStore
+from lorekeep.schema import NEW_EVENT, columns
+from lorekeep.sources.shredding import PARKED, ShreddingStore
 from lorekeep.sources.store import EventStore
 from lorekeep.testing import Scenario
 
@@ -45,6 +45,21 @@ def test_payloads_are_sealed_opened_and_erased(spark, tmp_path):
         store.append_batch(events, asks)
 
 
+def test_snapshots_and_parked_events_are_sealed_too(spark, tmp_path):
+    raw = EventStore(spark, f"file://{tmp_path}/store")
+    store = ShreddingStore(raw)
+    kind = columns("stream_id string, version long, state string")
+    state = json.dumps({"owner": plain("u1", "Ann")})
+    store.upsert("snapshots", kind, spark.createDataFrame([("c-1", 3, state)], kind), ["stream_id"], "version", "state")
+    store.park(spark.createDataFrame([("s", 7, state, "bad", 2, 1), ("s", 9, "{}", "bad", 1, 1)], PARKED))
+    assert "Ann" not in str(raw.table("snapshots", kind).collect()) + str(raw.table("parked-payloads", PARKED).collect())
+    assert json.loads(store.table("snapshots", kind, "stream_id", "state").first().state) == json.loads(state)
+    assert [(r.sequence, json.loads(r.payload)) for r in store.parked("s").collect()] == [(7, json.loads(state)), (9, {})]
+    store.erase("u1")
+    store.unpark("s", 9)
+    assert json.loads(store.parked("s").first().payload) == {"owner": {"$sensitive": "shredded"}} and store.parked("s").count() == 1
+
+
 def test_scenarios(spark):
     given = Scenario(spark, "stream_id string, version long, amount long").given(("a", 1, 5), ("a", 2, 7))
     given.when(lambda log: folds.history(log, F.col("amount"))).then(("a", 1, 5), ("a", 2, 12))

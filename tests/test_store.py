@@ -269,6 +269,24 @@ def test_inline_views_commit_with_the_events_or_not_at_all(store):
     assert sorted(tuple(r) for r in later.rows().collect()) == rows()
 
 
+def test_compaction_keeps_the_log(store):
+    for k in range(3):
+        add(store, f"s-{k % 2}", str(k), str(k + 10))
+    store.truncate("s-1", 2)
+    before, old = rows(store.log()), store.manifest()
+    new = store.compact()
+    assert len(new.events) == 1 and rows(store.log()) == before == rows(store.log(old))
+    add(store, "s-1", "x", kind="exact", expected=2)
+    assert store.log().count() == len(before) + 1
+
+
+def test_batches_grow_while_a_projection_is_behind(store):
+    add(store, "a-1", *map(str, range(30)))
+    sizes: list[int] = []
+    assert Projector(store, "p", lambda df: sizes.append(df.count()), batch=2, largest=8).run() == 30
+    assert sizes == [2, 8, 8, 8, 4]
+
+
 def test_commit_signals_are_not_lost(store):
     seen = store.committed.last
     add(store, "a-1", "1")

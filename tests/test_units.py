@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.functions import shred, upcast
-from lorekeep.mediator import Mediator, NoHandler
 from lorekeep.operators import commands, folds, guards, reads, views
 from lorekeep.operators.positions import numbered
 from lorekeep.operators.predicates import EventFilter, Query, QueryItem
@@ -150,22 +149,9 @@ def test_closed_goes_before_the_expectation(spark):
     assert got == {"a": "closed", "b": "accepted", "c": "accepted", "d": "accepted"}
 
 
-def test_mediator():
-    seen: list = []
-    m = Mediator().handle(int, lambda r: r + 1).behave(lambda r, inner: seen.append("outer") or inner(r)).behave(lambda r, inner: seen.append("inner") or inner(r * 10))
-    assert m.send(4) == 41 and seen == ["outer", "inner"]
-    with pytest.raises(NoHandler):
-        m.send("x")
-    m.handle(float, lambda r: 1 / r).on_error(lambda r, e: "recovered")
-    assert m.send(0.0) == "recovered"
-
-    def broken(_):
-        raise ValueError
-
-    m.on(str, broken).on(str, seen.append)
-    with pytest.raises(ValueError):
-        m.publish("n")
-    assert "n" not in seen
-    with pytest.raises(ValueError):
-        m.publish("n", every=True)
-    assert "n" in seen
+def test_names_and_positions_as_text(spark):
+    from lorekeep.schema import padded, snake_case, variant
+
+    row = spark.createDataFrame([("OrderPlaced", "HTTPRequest2Done", 255, '{"Deposited": {"amount": 1}}', '"Closed"')], "a string, b string, n long, p string, q string")
+    got = row.select(snake_case(F.col("a")), snake_case(F.col("b")), padded(F.col("n")), variant(F.col("p")), variant(F.col("q"))).first()
+    assert tuple(got) == ("order_placed", "http_request2_done", "00000000000000ff", "Deposited", "Closed")
