@@ -17,9 +17,9 @@ occurrences of the terms near it that disclose at least ``GENERALISE`` are
 generalised, at least ``REMOVE`` removed.
 
 Terms near entities are shuffled as they are; of all other words only counts
-are, and those of slots that no such term has are left out by a bitmap of fixed
-size. A term is judged against the entity that it is nearest to in counts before
-its entities are joined, so common words are gone by then.
+are, added up before the shuffle. A term is judged against the entity that it
+stands by most often before its entities are joined, so common words are gone by
+then.
 
 Defined results: a null text counts as empty and has no spans; overlapping
 spans of different kinds all stay, but no secret and no term overlaps another
@@ -46,7 +46,6 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET, TERM = "secret", "term"
 REACH, Z, GENERALISE, REMOVE = 4, 1.645, 0.75, 0.85
 SECRET_CHARS, SECRET_BITS = 24, 3.2
-MAP_BITS = 22
 #: Telling pairs are broadcast up to so many; more are joined, each on so many salts.
 BROADCAST_ROWS, SALTS = 200_000, 16
 
@@ -185,29 +184,21 @@ def based(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, BASE)
 
 
-def slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - MAP_BITS)
-
-
-def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many of all texts each term (hash, each once) occurs."""
-    shared = texts.sparkSession.sparkContext.broadcast(common.bitmap(terms.select(slot(F.col("hash")).alias("slot")), MAP_BITS))
+def occurrences(texts: DataFrame) -> DataFrame:
+    """In how many of all texts each word (hash) occurs. Slices count before the shuffle, and so does each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for _, own in common.slices(batches):
             hashes, bounds = shingles.word_hashes(own)
-            maybe = np.flatnonzero(bits[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
-            hashes, text = hashes[maybe], np.searchsorted(bounds, maybe, "right")
-            order = np.lexsort((text, hashes))
+            text = np.repeat(np.arange(len(own)), np.diff(bounds))
+            order = np.argsort(hashes, kind="stable")  # equal words stay in the order of their texts
             hashes, text = hashes[order], text[order]
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
             found, counts = np.unique(hashes[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return counts.join(terms.select("hash"), "hash")
+    return texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def wilson(k: Column, n: Column) -> Column:
@@ -229,7 +220,7 @@ def telling_terms(held: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
     if least is None:
         return joint.select("entity", "hash", F.lit(0.0).alias("disclosure")).limit(0)
     by_term = common.settled(joint.groupBy("hash").agg(F.max("both").alias("most")), "terms")
-    counted = occurrences(texts, by_term).join(by_term, "hash")
+    counted = occurrences(texts).join(by_term, "hash")
     able = counted.where(disclosure(F.col("most"), F.col("n"), F.lit(float(least)), docs) >= GENERALISE)
     judged = joint.join(able.select("hash", "n"), "hash").join(by_entity, "entity")
     return judged.select("entity", "hash", disclosure(F.col("both"), F.col("n"), F.col("holding"), docs).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
