@@ -33,6 +33,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from . import common, scan
 
@@ -50,6 +51,34 @@ SPLIT_WHITE = re.compile(f"[{re.escape(WHITE)}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+@cache
+def newer() -> list[str]:
+    """Characters that Python's Unicode tables, older than the library's, don't know, in the planes that have any."""
+    return [chr(c) for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"]
+
+
+@cache
+def library_classes() -> np.ndarray:
+    """scan.base_classes(), with newer characters as the library's own expressions class them."""
+    out, line = scan.base_classes().copy(), "".join(newer())
+    for pattern, kind in ((r"\p{L}+", scan.LETTER), (r"\p{N}+", scan.NUMBER)):
+        for piece, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(line):
+            out[[ord(c) for c in piece]] = kind
+    return out
+
+
+@cache
+def newer_lower() -> dict[int, str]:
+    """What the library lower-cases and Python doesn't."""
+    lowered = normalizers.Lowercase().normalize_str("\n".join(newer())).split("\n")
+    return {ord(c): x for c, x in zip(newer(), lowered, strict=True) if c != x}
+
+
+@cache
+def newer_upper() -> re.Pattern[str]:
+    return re.compile(f"[{''.join(map(chr, newer_lower()))}]")
+
+
 def byte_alphabet() -> dict[str, str]:
     """The printable stand-in of every byte in byte-level vocabularies, as one-character text of that byte's number."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -166,7 +195,7 @@ class Transducer:
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         stops = np.cumsum(lengths + 1) - 1
         joined = "\n".join(chunks) + "\n"
-        starts = scan.bare().starts(scan.classify(scan.code_points(joined), stops))
+        starts = scan.bare().starts(scan.classify(scan.code_points(joined), stops, library_classes()))
         breaks = np.zeros(len(joined), bool)
         breaks[stops] = True
         cuts, real = starts.tolist(), ~breaks[starts]
@@ -215,6 +244,8 @@ def normalised(text: str) -> list[str]:
         text = text.lower()
     else:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if newer_upper().search(text):
+            text = text.translate(newer_lower())
     if SEPARATORS.search(text):
         return [x for x in SPLIT_WHITE.split(text) if x]
     return text.split()

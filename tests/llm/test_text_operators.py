@@ -36,6 +36,15 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
 
 
+def test_counts_equal_the_library_on_all_code_points():
+    theirs, machine = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY)), token_counts.transducer()
+    texts = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000] + [chr(c) + "a" for c in range(0xA700, 0xA800)]
+    for at in range(0, len(texts), 1 << 14):
+        own = texts[at : at + (1 << 14)]
+        want = [len(x.ids) for x in theirs.encode_batch(own, add_special_tokens=False)]
+        assert machine.count_texts(own) == want
+
+
 def test_bpe_equals_the_library_and_decodes():
     own = bpe.codec()
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
