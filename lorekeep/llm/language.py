@@ -1,16 +1,18 @@
 """Language identification by mixture inference.
 
 A text is a mixture of languages: each of its words comes from one of them,
-with a likelihood from that language's letter n-grams (orders 1 to 3 of the
-word with a mark at either end, interpolated). Expectation-maximisation over the text's words
+with a likelihood from that language's letter n-grams: each letter, and the mark
+at the word's end, given the two, the one or none of the letters before it,
+interpolated. Expectation-maximisation over the text's words
 estimates the languages' proportions. The set of languages is selected by
 penalised likelihood: starting from all, the least one is dropped as long as
 the Bayesian information criterion falls. The prediction is the largest
 proportion's language; its proportion is the score.
 
 N-gram counts are learnt from a sample of labelled training texts, bounded by
-``SAMPLE`` texts chosen by a hash of their ids; the hashed tables have a fixed
-size, and only they are broadcast. Every text is read whole, in a narrow map.
+``SAMPLE`` texts, an equal number for each language (all where it has fewer),
+chosen by a hash of their ids; the hashed tables have a fixed size, and only
+they are broadcast. Every text is read whole, in a narrow map.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language first in order; without training texts everything is
@@ -31,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import mix
 
 SAMPLE = 20_000
 BUCKET_BITS = 16
 ORDERS = 3
+#: The orders' weights, and what is added to every count.
+WEIGHTS, LEAST = (0.1, 0.3, 0.6), 0.01
 STEPS = 6
 UNKNOWN = "und"
 #: Distinct words whose likelihoods a worker keeps.
@@ -53,35 +58,40 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashed buckets of the n-grams that end at each letter or end mark, by order; each place's word; and the contexts' buckets of the longest order."""
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed buckets of the n-grams that end at each letter or end mark, a row an order; those of the letters before it, likewise; and each place's word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     text = " " + " ".join(words) + " "
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     place = np.arange(1, len(points))
     word = np.repeat(np.arange(len(words)), lengths)
-    out = []
-    rolled = np.zeros(len(place), np.uint64)
-    inside = np.concatenate([np.arange(n) for n in lengths]) if len(words) < 64 else place - 1 - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = place - 1 - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    found, before = np.empty((2, ORDERS, len(place)), np.int64)
+    context = np.zeros(len(place), np.uint64)
     for k in range(ORDERS):
-        part = points[np.maximum(place - k, 0)]
-        rolled = rolled * np.uint64(0x100000001B3) + np.where(inside + 1 >= k, part, np.uint64(32)) + np.uint64(1)
-        mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-    return out, word, lengths
+        if k:
+            context = context * np.uint64(0x100000001B3) + np.where(inside + 1 >= k, points[np.maximum(place - k, 0)], np.uint64(32)) + np.uint64(1)
+        before[k] = bucket(context)
+        found[k] = bucket((context ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + points[place])
+    return found, before, word
+
+
+def bucket(x: np.ndarray) -> np.ndarray:
+    return (mix(x) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # order, bucket, language: log probabilities, interpolated
+    logs: np.ndarray  # order, bucket, language: log counts of n-grams, with the order's weight
+    contexts: np.ndarray  # likewise, of what is before their last letter
     kept: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """The log likelihood of every word in every language."""
-        places, word, _ = grams(words)
-        scores = np.logaddexp.reduce([self.logs[k][places[k]] for k in range(ORDERS)])
+        found, before, word = grams(words)
+        scores = np.logaddexp.reduce([self.logs[k][found[k]] - self.contexts[k][before[k]] for k in range(ORDERS)])
         out = np.zeros((len(words), len(self.languages)), np.float32)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
         out[:] = np.add.reduceat(scores, starts, axis=0)
@@ -157,8 +167,10 @@ def mixtures(logs: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.nda
 
 def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
     labelled = common.project(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (common.remainder("doc_id", 4) != held_out))
-    share = min(1.0, sample / max(labelled.select("lang").count(), 1))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    names, share = sizes["lang"].to_pylist(), sample / max(sizes.num_rows, 1)
+    quotas = docs.sparkSession.createDataFrame([(lang, int(min(1.0, share / n) * (1 << 20))) for lang, n in zip(names, sizes["n"].to_pylist(), strict=True)], "lang string, quota int")  # a row a language
+    chosen = labelled.join(F.broadcast(quotas), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("quota")).select("lang", "text")
     size = 1 << BUCKET_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +180,23 @@ def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
             for lang, text in zip(rows.column(0).to_pylist(), texts, strict=True):
                 by.setdefault(lang, []).extend(letters(text))
             for lang, words in by.items():
-                total = tables.setdefault(lang, np.zeros((ORDERS, size)))
+                total = tables.setdefault(lang, np.zeros((2, ORDERS, size)))
                 if words:
-                    places, _, _ = grams(words)
-                    for k in range(ORDERS):
-                        total[k] += np.bincount(places[k], minlength=size)
+                    for own, places in zip(total, grams(words)[:2], strict=True):
+                        for k in range(ORDERS):
+                            own[k] += np.bincount(places[k], minlength=size)
         if tables:
             salts = pa.array([TaskContext.get().partitionId()] * len(tables), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(tables)), salts, pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["part", "salt", "counts"])
 
     parts = chosen.mapInArrow(counted, "part string, salt int, counts binary")
-    found = sorted(((r[0], np.frombuffer(r[1], "<f8").reshape(ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()), key=lambda x: x[0])
-    if not found:
-        return Model([], np.zeros((ORDERS, size, 0), np.float32))
-    counts = np.stack([x for _, x in found], axis=2)
-    share = np.log(np.array([0.1, 0.3, 0.6]))[:, None, None]
-    logs = share + np.log((counts + 0.01) / (counts.sum(1, keepdims=True) + 0.01 * size))
-    return Model([x for x, _ in found], logs.astype(np.float32))
+    tables = sorted(((r[0], np.frombuffer(r[1], "<f8").reshape(2, ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()), key=lambda x: x[0])
+    if not tables:
+        return Model([], *np.zeros((2, ORDERS, size, 0), np.float32))
+    counts, before = np.moveaxis(np.stack([x for _, x in tables]), 0, -1)
+    letters_ = int((counts[0] > 0).any(1).sum()) + 1
+    weight = np.log(WEIGHTS)[:, None, None]
+    return Model([x for x, _ in tables], (weight + np.log(counts + LEAST)).astype(np.float32), np.log(before + LEAST * letters_).astype(np.float32))
 
 
 def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
