@@ -52,6 +52,8 @@ OPEN = CLASSES  # the class of all other words
 WINDOW, LANES, RATE, CLIP = 32, 64, 0.01, 1.0
 #: Lanes and learning rate of the tasks' training.
 TASK_LANES, TASK_RATE = 256, 0.003
+#: Numbers of a network that are averaged together.
+NETWORK_PART = 1 << 13
 SCORE_CHARS, SCORE_WINDOW = 6 << 20, 64
 U = np.uint64
 
@@ -234,50 +236,60 @@ class Network:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Targets below 0 don't count."""
-        p, n, lanes = self.p, HIDDEN, x.shape[1]
-        kept, states = [], []
-        for t in range(len(x)):
-            h = np.where((x[t] == 0)[:, None], np.float32(0), h)  # an end starts a new text
-            before = h
-            h, z, r, new, hn = self.step(p["x"][x[t]] + p["b"], h)
-            kept.append((before, z, r, new, hn))
-            states.append(h)
+        p, n, steps, lanes = self.p, HIDDEN, *x.shape
+        before, z, r, new, hn, states = np.empty((6, steps, lanes, n), h.dtype)
+        ends = (x == 0)[:, :, None]  # an end starts a new text
+        inputs = (p["x"] + p["b"])[x]
+        for t in range(steps):
+            np.copyto(before[t], h)
+            np.copyto(before[t], 0, where=ends[t])
+            h, z[t], r[t], new[t], hn[t] = self.step(inputs[t], before[t])
+            states[t] = h
+
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        flat, target = np.concatenate(states), y.ravel()
-        void = target < 0
-        target = np.where(void, OPEN * PER_CLASS, target)
+        order = np.argsort(y.ravel() // PER_CLASS, kind="stable")  # void targets first, then class by class
+        flat, target = states.reshape(-1, n)[order], y.ravel()[order]
+        void = int(np.searchsorted(target // PER_CLASS, 0))
+        flat, target, order = flat[void:], target[void:], order[void:]
         cls, at = target // PER_CLASS, np.arange(len(target))
-        scale = np.float32(1 / lanes)
+        scale = h.dtype.type(1 / lanes)
         soft = softmax(flat @ p["c"] + p["cb"])
         soft[at, cls] -= 1
         soft *= scale
-        soft[void] = 0
         grads["c"], grads["cb"] = flat.T @ soft, soft.sum(0)
-        d = soft @ p["c"].T
-        for k in np.unique(cls[cls < CLASSES]):
-            own = np.flatnonzero(cls == k)
+        back = soft @ p["c"].T
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[k], bounds[k + 1])
             inner = softmax(flat[own] @ p["w"][k] + p["wb"][k])
-            inner[np.arange(len(own)), target[own] % PER_CLASS] -= 1
+            inner[np.arange(len(inner)), target[own] % PER_CLASS] -= 1
             inner *= scale
             grads["w"][k], grads["wb"][k] = flat[own].T @ inner, inner.sum(0)
-            d[own] += inner @ p["w"][k].T
-        d = d.reshape(len(x), lanes, n)
-        carry, inputs = np.zeros((lanes, n), np.float32), np.empty((len(x), lanes, 3 * n), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, hn = kept[t]
+            back[own] += inner @ p["w"][k].T
+        d = np.zeros((steps * lanes, n), h.dtype)
+        d[order] = back
+        d = d.reshape(steps, lanes, n)
+
+        # What each gate's error is for one of the state's, of all steps at once.
+        to_z, to_new, to_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), hn * r * (1 - r)
+        through, into = np.empty((steps, lanes, 3 * n), h.dtype), np.empty((steps, lanes, n), h.dtype)
+        carry, turned = np.zeros((lanes, n), h.dtype), np.ascontiguousarray(p["u"].T)
+        for t in range(steps - 1, -1, -1):
             dh = d[t] + carry
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-            recurrent = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["u"] += before.T @ recurrent
-            carry = np.where((x[t] == 0)[:, None], np.float32(0), dh * z + recurrent @ p["u"].T)
-        flat_inputs, words = inputs.reshape(-1, 3 * n), x.ravel()
-        grads["b"] = flat_inputs.sum(0)
+            dn = np.multiply(dh, to_new[t], out=into[t])
+            g = through[t]
+            np.multiply(dh, to_z[t], out=g[:, :n])
+            np.multiply(dn, to_r[t], out=g[:, n : 2 * n])
+            np.multiply(dn, r[t], out=g[:, 2 * n :])
+            carry = dh * z[t] + g @ turned
+            np.copyto(carry, 0, where=ends[t])
+        grads["u"] = before.reshape(-1, n).T @ through.reshape(-1, 3 * n)
+        through[:, :, 2 * n :] = into
+        words, rows = x.ravel(), through.reshape(-1, 3 * n)
+        grads["b"] = rows.sum(0)
         order = np.argsort(words, kind="stable")
         found, first = np.unique(words[order], return_index=True)
-        grads["x"][found] = np.add.reduceat(flat_inputs[order], first, axis=0)
+        grads["x"][found] = np.add.reduceat(rows[order], first, axis=0)
         return h, grads
 
 
@@ -385,15 +397,17 @@ def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
             tokens += len(stream) - 1
         if tokens:
             flat = np.concatenate([network.p[k].ravel() for k in names]).astype("<f8") * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.append(flat, tokens).tobytes()], pa.binary())], ["part", "salt", "counts"])
+            tables = [np.append(tokens, flat[at : at + NETWORK_PART]).astype("<f8").tobytes() for at in range(0, len(flat), NETWORK_PART)]
+            salts = [TaskContext.get().partitionId()] * len(tables)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(tables)), pa.int32()), pa.array(salts, pa.int32()), pa.array(tables, pa.binary())], ["part", "salt", "counts"])
 
     parts = common.settled(texts.where(~F.col("held_out")).select("text").mapInArrow(run, "part int, salt int, counts binary"), "networks")
-    found = common.summed_tables(parts, "<f8").collect()
+    found = [x for _, x in sorted((r[0], np.frombuffer(r[1], "<f8")) for r in common.summed_tables(parts, "<f8").collect())]
     if found:
-        flat, at = np.frombuffer(found[0][1], "<f8"), 0
+        flat, at = np.concatenate([x[1:] / x[0] for x in found]), 0
         for k in names:
             own = scorer.network.p[k]
-            scorer.network.p[k] = (flat[at : at + own.size] / flat[-1]).reshape(own.shape).astype(np.float32)
+            scorer.network.p[k] = flat[at : at + own.size].reshape(own.shape).astype(np.float32)
             at += own.size
     return scorer.network
 
