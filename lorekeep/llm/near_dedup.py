@@ -96,7 +96,9 @@ def bucket_of(ids: np.ndarray) -> np.ndarray:
 
 
 def bucket_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Shingles of documents by hashed bucket, and all documents. Every task sums its documents into one table of fixed size; the tables are summed part by part."""
+    """Shingles of documents by hashed bucket, and all documents. Every task sums its documents into one table of
+    fixed size; the tables are summed part by part.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << DF_BITS, np.int32), 0
@@ -107,7 +109,11 @@ def bucket_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
             parts = [x.astype("<i8").tobytes() for x in total.reshape(-1, DF_PART)]
             salt = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(-1, len(parts)), pa.int32()), pa.array([salt] * (len(parts) + 1), pa.int32()), pa.array([np.int64(n).tobytes(), *parts], pa.binary())],
+                [
+                    pa.array(range(-1, len(parts)), pa.int32()),
+                    pa.array([salt] * (len(parts) + 1), pa.int32()),
+                    pa.array([np.int64(n).tobytes(), *parts], pa.binary()),
+                ],
                 ["part", "salt", "counts"],
             )
 
@@ -147,7 +153,12 @@ def pools() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.Philox(8))
     shape = (SAMPLES, 1 << POOL_BITS)
     r, c, beta = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
-    return r.astype(np.float32), np.log(c).astype(np.float32), beta.astype(np.float32), rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+    return r.astype(np.float32), np.log(c).astype(np.float32), beta.astype(np.float32), rng.integers(
+        1,
+        1 << 63,
+        SAMPLES,
+        np.uint64,
+    ) * np.uint64(2) + np.uint64(1)
 
 
 def weights(ids: np.ndarray, counts: np.ndarray, idf: Idf, bits: int = shingles.ID_BITS) -> np.ndarray:
@@ -186,13 +197,18 @@ def signed(texts: DataFrame, idf: Broadcast) -> DataFrame:
                 made[some] = bands(ids, weights(ids, counts, idf.value), begins[:-1][some]).T.astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[some].ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int64()), pa.array(key1.astype(np.int64)), pa.array(key2.astype(np.int64)), lists], ["row", "doc_id", "key1", "key2", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1).cast(pa.int64()), pa.array(key1.astype(np.int64)), pa.array(key2.astype(np.int64)), lists],
+                ["row", "doc_id", "key1", "key2", "bands"],
+            )
 
     return texts.mapInArrow(run, SIGNED)
 
 
 def shingle_sets(texts: DataFrame, admitted: Broadcast) -> DataFrame:
-    """Per row whose slot is admitted: node, its distinct shingles (sorted, 4 bytes each) and their counts. The texts aren't shuffled; some rows too many pass, as slots are shared."""
+    """Per row whose slot is admitted: node, its distinct shingles (sorted, 4 bytes each) and their counts. The
+    texts aren't shuffled; some rows too many pass, as slots are shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(admitted.value, np.uint8)).view(bool)
@@ -202,7 +218,10 @@ def shingle_sets(texts: DataFrame, admitted: Broadcast) -> DataFrame:
             short = (ids >> np.uint64(shingles.ID_BITS - 32)).astype("<u4")
             counts = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
             plain = [b"" if c.max(initial=0) <= 1 else c.tobytes() for c in np.split(counts, begins[1:-1])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in np.split(short, begins[1:-1])], pa.binary()), pa.array(plain, pa.binary())], ["node", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array([x.tobytes() for x in np.split(short, begins[1:-1])], pa.binary()), pa.array(plain, pa.binary())],
+                ["node", "ids", "counts"],
+            )
 
     return texts.select("row", "text", "slot").mapInArrow(run, "node long, ids binary, counts binary")
 
@@ -219,7 +238,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
-    """pairs: a, b, salt, copies. Those whose similarity is at least ``least``. b's set is there ``copies`` times, and a pair meets the one of its salt, so a leader's many partners are spread; a has few pairs."""
+    """pairs: a, b, salt, copies. Those whose similarity is at least ``least``. b's set is there ``copies``
+    times, and a pair meets the one of its salt, so a leader's many partners are spread; a has few pairs.
+    """
     sides = sets.select(F.col("node").alias("b"), F.col("ids").alias("b_ids"), F.col("counts").alias("b_counts"))
     copies = pairs.groupBy("b").agg(F.max("copies").alias("copies"))
     hubs = sides.join(copies, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
@@ -237,7 +258,15 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([table[c].filter(mask) for c in ("a", "b", "salt")], ["a", "b", "salt"])
 
-    joined = pairs.drop("copies").join(others, "a").join(hubs, ["b", "salt"]).select("a", "b", "salt", "a_ids", "a_counts", "b_ids", "b_counts")
+    joined = pairs.drop("copies").join(others, "a").join(hubs, ["b", "salt"]).select(
+        "a",
+        "b",
+        "salt",
+        "a_ids",
+        "a_counts",
+        "b_ids",
+        "b_counts",
+    )
     return joined.mapInArrow(run, "a long, b long, salt int")
 
 
@@ -246,7 +275,9 @@ def links(queries: pa.Table, others: pa.Table, idf: Idf, least: float) -> pa.Tab
 
     def postings(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = [np.frombuffer(x, "<u4") for x in block["ids"].to_pylist()]
-        counts = [np.frombuffer(c, "<u4") if c else np.ones(len(x), np.uint32) for x, c in zip(ids, block["counts"].to_pylist(), strict=True)]
+        counts = [
+            np.frombuffer(c, "<u4") if c else np.ones(len(x), np.uint32) for x, c in zip(ids, block["counts"].to_pylist(), strict=True)
+        ]
         flat = np.concatenate(ids)
         weight = weights(flat, np.concatenate(counts), idf, 32).astype(np.float64)
         owner = np.repeat(np.arange(len(ids)), list(map(len, ids)))
@@ -263,7 +294,11 @@ def links(queries: pa.Table, others: pa.Table, idf: Idf, least: float) -> pa.Tab
         low, high = np.searchsorted(ids, ids2, "left"), np.searchsorted(ids, ids2, "right")
         n = high - low
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        shared = np.bincount(owner[place] * part.num_rows + np.repeat(owner2, n), np.minimum(weight[place], np.repeat(weight2, n)), minlength=len(node) * part.num_rows).reshape(len(node), -1)
+        shared = np.bincount(
+            owner[place] * part.num_rows + np.repeat(owner2, n),
+            np.minimum(weight[place], np.repeat(weight2, n)),
+            minlength=len(node) * part.num_rows,
+        ).reshape(len(node), -1)
         alike = (shared >= least * (total[:, None] + total2[None, :] - shared)) & (label[:, None] != part["label"].to_numpy()[None, :])
         i, j = np.nonzero(alike)
         a, b = node[i], part["node"].to_numpy()[j]
@@ -273,11 +308,19 @@ def links(queries: pa.Table, others: pa.Table, idf: Idf, least: float) -> pa.Tab
 
 
 def crossed(split: DataFrame, sets: DataFrame, idf: Broadcast, least: float) -> DataFrame:
-    """split: bucket, node, label, main, n, n_rest. Links between the nodes outside a bucket's main component and all its nodes, blocks against blocks."""
+    """split: bucket, node, label, main, n, n_rest. Links between the nodes outside a bucket's main component and
+    all its nodes, blocks against blocks.
+    """
     queries, blocks = F.ceil(F.col("n_rest") / QUERY_BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.xxhash64("node", "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = split.where("label <> main").select("bucket", "node", "label", F.pmod(own, queries).cast("int").alias("q"), every(blocks).alias("m"))
+    left = split.where("label <> main").select(
+        "bucket",
+        "node",
+        "label",
+        F.pmod(own, queries).cast("int").alias("q"),
+        every(blocks).alias("m"),
+    )
     right = split.select("bucket", "node", "label", F.pmod(own, blocks).cast("int").alias("m"), every(queries).alias("q"))
     names = ["bucket", "q", "m", "node", "label", "ids", "counts"]
     by = lambda x, side: x.join(sets, "node").select(*[F.col(c).alias(c + side) for c in names]).groupBy(*[c + side for c in names[:3]])
@@ -291,11 +334,21 @@ def crossed(split: DataFrame, sets: DataFrame, idf: Broadcast, least: float) ->
 
 
 def led(crowds: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs (a: member, b: leader, salt, copies) of crowded buckets; leaders: bucket, n, leader. A bucket's members are dealt to as many salts as SPREAD allows."""
+    """Pairs (a: member, b: leader, salt, copies) of crowded buckets; leaders: bucket, n, leader. A bucket's
+    members are dealt to as many salts as SPREAD allows.
+    """
     copies = F.ceil(F.col("n") / SPREAD).cast("int")
     dealt = crowds.select("bucket", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"))
-    heads = leaders.select("bucket", F.col("leader").alias("b"), copies.alias("copies"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    return dealt.join(heads, ["bucket", "salt"]).where("a <> b").groupBy("a", "b").agg(F.max("salt").alias("salt"), F.max("copies").alias("copies"))
+    heads = leaders.select(
+        "bucket",
+        F.col("leader").alias("b"),
+        copies.alias("copies"),
+        F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"),
+    )
+    return dealt.join(heads, ["bucket", "salt"]).where("a <> b").groupBy("a", "b").agg(
+        F.max("salt").alias("salt"),
+        F.max("copies").alias("copies"),
+    )
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -310,7 +363,14 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     idf = spark.sparkContext.broadcast(frequencies(texts))
     rows = common.settled(signed(texts, idf), "signed")
     worded = rows.where(F.size("bands") > 0)
-    nodes = common.settled(worded.groupBy("key1", "key2").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    nodes = common.settled(
+        worded.groupBy("key1", "key2").agg(
+            F.min("row").alias("node"),
+            F.min(F.struct("doc_id", "row")).alias("first"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
+        "nodes",
+    )
 
     own = worded.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     dealt = own.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
@@ -324,7 +384,10 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("ns"))
     others = F.transform("ns", lambda x, i: F.transform(F.slice("ns", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     few = few.select(F.explode(F.flatten(others)).alias("p")).select("p.a", "p.b").distinct()
-    pairs = common.settled(few.select("a", "b", F.lit(0).alias("salt"), F.lit(1).alias("copies")).unionByName(led(crowds, leaders)), "pairs")
+    pairs = common.settled(
+        few.select("a", "b", F.lit(0).alias("salt"), F.lit(1).alias("copies")).unionByName(led(crowds, leaders)),
+        "pairs",
+    )
     wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
     slot = F.pmod(F.xxhash64("row"), F.lit(1 << WANTED_BITS))
     admitted = spark.sparkContext.broadcast(common.bitmap(wanted.select(slot.alias("slot")), WANTED_BITS))
@@ -333,17 +396,29 @@ def classed(docs: DataFrame, row: str, least: float = SIMILARITY) -> DataFrame:
     labels = components.components(edges)
 
     placed = crowds.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
-    largest = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    split = placed.join(largest.where("parts > 1").select("bucket", F.col("most.label").alias("main"), F.col("most.size").alias("size")), "bucket").withColumn("n_rest", F.col("n") - F.col("size"))
-    more = common.settled(crossed(common.settled(split, "split"), sets, idf, least).withColumn("salt", F.lit(0)), "edges")
+    largest = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(
+        F.max(F.struct("size", "label")).alias("most"),
+        F.count(F.lit(1)).alias("parts"),
+    )
+    torn = largest.where("parts > 1").select("bucket", F.col("most.label").alias("main"), F.col("most.size").alias("size"))
+    split = placed.join(torn.hint("merge"), "bucket").withColumn("n_rest", F.col("n") - F.col("size"))
+    split = common.settled(split, "split")
+    more = common.settled(crossed(split, sets, idf, least).withColumn("salt", F.lit(0)), "edges")
     if more.limit(1).count():
         labels = components.components(edges.unionByName(more))
 
     labelled = common.settled(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    common.dropped(members, pairs, sets, edges, split, more, nodes)
     named = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     by_key = labelled.select("key1", "key2", "label").join(named, "label").select("key1", "key2", "first", "class_size")
     return rows.where(F.size("bands") == 0).select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")).unionAll(
-        worded.join(by_key, ["key1", "key2"]).select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+        worded.join(by_key, ["key1", "key2"]).select(
+            "row",
+            "doc_id",
+            F.col("first.doc_id").alias("class_id"),
+            "class_size",
+            (F.col("row") == F.col("first.row")).alias("kept"),
+        )
     )
 
 
