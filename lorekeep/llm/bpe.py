@@ -143,7 +143,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes and, if ``ids``, the ids themselves (array<int>). No shuffle: a narrow map over whole texts."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes and, if ``ids``, the ids themselves
+    (array<int>). No shuffle: a narrow map over whole texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)

@@ -64,27 +64,56 @@ def visited(parts: Column) -> Column:
         parts,
         start,
         lambda acc, p: F.struct(
-            F.concat(acc["body"], F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), escaped(p["kind"]), F.lit(":"), acc["seen"].cast("string"), F.lit(">")))).alias("body"),
+            F.concat(
+                acc["body"],
+                F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(
+                    F.concat(F.lit("<"), escaped(p["kind"]), F.lit(":"), acc["seen"].cast("string"), F.lit(">"))
+                ),
+            ).alias("body"),
             (acc["seen"] + F.when(is_text(p), 0).otherwise(1)).alias("seen"),
         ),
         lambda acc: acc["body"],
     )
-    attachments = F.transform(others, lambda p, k: F.struct(k.alias("part"), p["kind"].alias("kind"), p["uri"].alias("uri"), tokens(p).alias("tokens")))
+    attachments = F.transform(
+        others,
+        lambda p, k: F.struct(k.alias("part"), p["kind"].alias("kind"), p["uri"].alias("uri"), tokens(p).alias("tokens")),
+    )
     return F.struct(body.alias("body"), attachments.alias("attachments"))
 
 
 def text_parts(turns: DataFrame) -> DataFrame:
     """Messages of plain text as one text part each."""
-    part = F.struct(F.lit("text").alias("kind"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("width", "int"), ("height", "int"), ("millis", "long"), ("pages", "int"))])
+    part = F.struct(
+        F.lit("text").alias("kind"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *[
+            F.lit(None).cast(t).alias(n) for n, t in (
+                ("uri", "string"),
+                ("width", "int"),
+                ("height", "int"),
+                ("millis", "long"),
+                ("pages", "int"),
+            )
+        ],
+    )
     return common.project(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.array(part).alias("parts"))
 
 
 def formatted(turns: DataFrame, learned_role: str = "assistant") -> DataFrame:
-    """turns: conv_id, turn, role, parts. Per conversation: conv_id, n_turns, formatted, loss_spans (start, chars), attachments (turn, part, kind, uri, tokens), n_attachment_tokens."""
+    """turns: conv_id, turn, role, parts. Per conversation: conv_id, n_turns, formatted, loss_spans (start,
+    chars), attachments (turn, part, kind, uri, tokens), n_attachment_tokens.
+    """
     role = F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit('<turn role="'), escaped(role), F.lit('">'))
     raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")  # turns with equal numbers are ordered by it
-    turn = common.project(turns, "conv_id", "turn", "role", "parts").select("conv_id", "turn", role.alias("role"), head.alias("head"), raw.alias("raw"), visited(F.col("parts")).alias("seen"))
+    turn = common.project(turns, "conv_id", "turn", "role", "parts").select(
+        "conv_id",
+        "turn",
+        role.alias("role"),
+        head.alias("head"),
+        raw.alias("raw"),
+        visited(F.col("parts")).alias("seen"),
+    )
     turn = turn.select(
         "conv_id",
         F.expr(f"turn div {BLOCK}").alias("block"),
@@ -105,18 +134,45 @@ def formatted(turns: DataFrame, learned_role: str = "assistant") -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(none).alias("spans")),
         lambda acc, t: F.struct(
             (acc["at"] + F.char_length(t["out"])).alias("at"),
-            F.when(t["role"] == learned_role, F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["skip"]).alias("start"), t["chars"].cast("long").alias("chars"))))).otherwise(acc["spans"]).alias("spans"),
+            F.when(
+                t["role"] == learned_role,
+                F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["skip"]).alias("start"), t["chars"].cast("long").alias("chars")))),
+            ).otherwise(acc["spans"]).alias("spans"),
         ),
     )
-    refs = F.flatten(F.transform("ts", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["turn"].alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["tokens"].alias("tokens")))))
-    blocks = blocks.select("conv_id", "block", F.size("ts").cast("long").alias("n"), F.array_join(F.transform("ts", lambda t: t["out"]), "").alias("out"), walked.alias("walked"), refs.alias("refs"))
+    refs = F.flatten(
+        F.transform(
+            "ts",
+            lambda t: F.transform(
+                t["attachments"],
+                lambda a: F.struct(
+                    t["turn"].alias("turn"),
+                    a["part"].alias("part"),
+                    a["kind"].alias("kind"),
+                    a["uri"].alias("uri"),
+                    a["tokens"].alias("tokens"),
+                ),
+            ),
+        )
+    )
+    blocks = blocks.select(
+        "conv_id",
+        "block",
+        F.size("ts").cast("long").alias("n"),
+        F.array_join(F.transform("ts", lambda t: t["out"]), "").alias("out"),
+        walked.alias("walked"),
+        refs.alias("refs"),
+    )
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "n", "out", "walked", "refs"))).alias("bs"))
     moved = F.aggregate(
         F.col("bs"),
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(none).alias("spans")),
         lambda acc, b: F.struct(
             (acc["at"] + b["walked"]["at"]).alias("at"),
-            F.concat(acc["spans"], F.transform(b["walked"]["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["chars"].alias("chars")))).alias("spans"),
+            F.concat(
+                acc["spans"],
+                F.transform(b["walked"]["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["chars"].alias("chars"))),
+            ).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
@@ -133,6 +189,12 @@ def formatted(turns: DataFrame, learned_role: str = "assistant") -> DataFrame:
 def read_back(formats: DataFrame) -> DataFrame:
     """Adds what the output itself says: turns (role, text), parsed from its marks, and loss_text, cut out by the mask."""
     pieces = F.filter(F.split("formatted", "</turn>", -1), lambda p: p != "")
-    parsed = F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(F.substring_index(p, '">', 1), '<turn role="', -1)).alias("role"), unescaped(F.substr(p, F.instr(p, '">') + F.lit(2))).alias("text")))
+    parsed = F.transform(
+        pieces,
+        lambda p: F.struct(
+            unescaped(F.substring_index(F.substring_index(p, '">', 1), '<turn role="', -1)).alias("role"),
+            unescaped(F.substr(p, F.instr(p, '">') + F.lit(2))).alias("text"),
+        ),
+    )
     cut = F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int"))))
     return formats.withColumn("turns", parsed).withColumn("loss_text", F.array_join(cut, ""))

@@ -19,9 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Read from the session; set only where it is unset."""
+    """The folder that all executors share: that of spark.checkpoint.dir. Only in local mode, where one machine
+    is all there is, a folder of its own is set where none is named.
+    """
     out = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not out:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         out = "/tmp/lorekeep-checkpoints"
         spark.sparkContext.setCheckpointDir(out)
     return out
@@ -33,7 +37,16 @@ def settled(df: DataFrame, keep: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{keep}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def dropped(*rows: DataFrame) -> None:
+    """Deletes what ``settled`` wrote for these, once all that was made of them is settled itself."""
+    for df in rows:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: str | Column, mod: int) -> Column:
@@ -75,10 +88,17 @@ def summed_tables(parts: DataFrame, dtype: str = "<i8") -> DataFrame:
 
     def summed(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), dtype) for x in group["counts"])
-        return pa.table([group["part"][:1], group["salt"][:1], pa.array([total.astype(dtype).tobytes()], pa.binary())], names=["part", "salt", "counts"])
+        return pa.table(
+            [group["part"][:1], group["salt"][:1], pa.array([total.astype(dtype).tobytes()], pa.binary())],
+            names=["part", "salt", "counts"],
+        )
 
     schema = f"part {dict(parts.dtypes)['part']}, salt int, counts binary"
-    first = parts.select("part", (F.abs("salt") % SALTS).cast("int").alias("salt"), "counts").groupBy("part", "salt").applyInArrow(summed, schema)
+    first = parts.select(
+        "part",
+        (F.abs("salt") % SALTS).cast("int").alias("salt"),
+        "counts",
+    ).groupBy("part", "salt").applyInArrow(summed, schema)
     return first.withColumn("salt", F.lit(0)).groupBy("part").applyInArrow(summed, schema).select("part", "counts")
 
 
@@ -95,7 +115,9 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
-    """docs and a number for each row, settled in the shared folder: the numbers are the same in every job, however its scan deals the files to tasks."""
+    """docs and a number for each row, settled in the shared folder: the numbers are the same in every job,
+    however its scan deals the files to tasks.
+    """
     return settled(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
@@ -112,7 +134,10 @@ def bitmap(slots: DataFrame, bits: int) -> bytes:
             seen[b.column(0).to_numpy()] = True
             some |= b.num_rows > 0
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["salt", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())],
+                ["salt", "bits"],
+            )
 
     def merged(group: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // 8, np.uint8)
@@ -120,7 +145,10 @@ def bitmap(slots: DataFrame, bits: int) -> bytes:
             total |= np.frombuffer(x.as_py(), np.uint8)
         return pa.table([group["salt"][:1], pa.array([total.tobytes()], pa.binary())], names=["salt", "bits"])
 
-    first = slots.select(F.col(name).cast("long")).mapInArrow(marked, "salt int, bits binary").groupBy("salt").applyInArrow(merged, "salt int, bits binary")
+    first = slots.select(F.col(name).cast("long")).mapInArrow(
+        marked,
+        "salt int, bits binary",
+    ).groupBy("salt").applyInArrow(merged, "salt int, bits binary")
     found = first.withColumn("salt", F.lit(0)).groupBy("salt").applyInArrow(merged, "salt int, bits binary").collect()
     return found[0][1] if found else bytes((1 << bits) // 8)
 

@@ -26,9 +26,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sent = labels.select(F.col("node").alias("b"), "label", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
         near = both.join(sent, ["b", "salt"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "copies", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select(
+            "node",
+            "copies",
+            F.col("label").alias("old"),
+            F.least("label", "near").alias("label"),
+        )
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = common.settled(lower.join(far.hint("merge"), "label").select("node", "copies", "old", F.least("label", "far").alias("label")), "labels")
-        labels = new.select("node", "label", "copies")
+        new = common.settled(
+            lower.join(far.hint("merge"), "label").select("node", "copies", "old", F.least("label", "far").alias("label")),
+            "labels",
+        )
+        common.dropped(labels)
+        labels = new
         if not new.where("old <> label").limit(1).count():
+            common.dropped(both)
             return labels.select("node", "label")

@@ -48,7 +48,9 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """One block of the benchmark: its items' words as one array of numbers, and its distinct windows by length, each with the items (by row) that hold it."""
+    """One block of the benchmark: its items' words as one array of numbers, and its distinct windows by length,
+    each with the items (by row) that hold it.
+    """
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -129,7 +131,9 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def matches(self, longest: bool = True) -> list[tuple[list[tuple[int, int]], list[int], int, int]]:
-        """Per document: hit ranges of words (disjoint, in order), ids of items, words of the longest verbatim match, its first word (0 and -1 if not asked for)."""
+        """Per document: hit ranges of words (disjoint, in order), ids of items, words of the longest verbatim
+        match, its first word (0 and -1 if not asked for).
+        """
         place, size, window = self.places()
         out: list[tuple[list[tuple[int, int]], list[int], int, int]] = [([], [], 0, -1)] * len(self.starts)
         if not len(place):
@@ -143,7 +147,9 @@ class Shard:
         for k, a, b in zip(documents.tolist(), first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
             ends = np.maximum.accumulate(place[a:b] + size[a:b])
             cuts = np.flatnonzero(place[a + 1 : b] > ends[:-1]) + 1
-            pieces += [(k, int(x), int(y)) for x, y in zip(place[a:b][np.append(0, cuts)], ends[np.append(cuts - 1, b - a - 1)], strict=True)]
+            pieces += [
+                (k, int(x), int(y)) for x, y in zip(place[a:b][np.append(0, cuts)], ends[np.append(cuts - 1, b - a - 1)], strict=True)
+            ]
             rows[k] = self._items(size[a:b], window[a:b])
         best = self._longest(pieces, np.unique(np.concatenate(list(rows.values())))) if longest else {}
         for k, own in itertools.groupby(pieces, lambda x: x[0]):
@@ -193,7 +199,9 @@ class Shard:
 
 
 def suffix_array(line: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of all suffixes by prefix doubling, and every level's ranks: level k ranks the 2 ** k words from each place. longest: words between two borders, at most."""
+    """The order of all suffixes by prefix doubling, and every level's ranks: level k ranks the 2 ** k words from
+    each place. longest: words between two borders, at most.
+    """
     ranks = [np.unique(line, return_inverse=True)[1].astype(np.int64)]
     while 1 << len(ranks) - 1 <= longest:
         last, step = ranks[-1], 1 << len(ranks) - 1
@@ -262,12 +270,25 @@ def _results(partial: DataFrame) -> DataFrame:
     covered = F.aggregate(
         ranges,
         F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
-        lambda acc, r: F.struct(F.greatest(acc["to"], r["ends"]).alias("to"), (acc["n"] + F.greatest(r["ends"] - F.greatest(acc["to"], r["starts"]), F.lit(0))).alias("n")),
+        lambda acc, r: F.struct(
+            F.greatest(acc["to"], r["ends"]).alias("to"),
+            (acc["n"] + F.greatest(r["ends"] - F.greatest(acc["to"], r["starts"]), F.lit(0))).alias("n"),
+        ),
         lambda acc: acc["n"],
     )
     items = F.array_distinct("items")
     named = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
-    counted = partial.select("row", "doc_id", "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), "longest", "longest_at", F.array_sort(items).alias("items"))
+    counted = partial.select(
+        "row",
+        "doc_id",
+        "n_words",
+        covered.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(named.cast("binary"), 256).alias("items_sha256"),
+        "longest",
+        "longest_at",
+        F.array_sort(items).alias("items"),
+    )
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -2,7 +2,7 @@
 
 Every partition's rows become one run: its distinct digests, sorted, each with
 its count and its best row. Runs then meet in binomial rounds. In a round the
-runs whose numbers agree but for their lowest ``FAN_BITS`` bits are merged:
+runs whose numbers agree but for their lowest bits are merged:
 rows are dealt by (merged run, digest), so that neither a large run nor a
 frequent digest makes one task wait, sorted, and folded by a sort aggregate -
 a multiway merge. A group's rows in a round are at most the runs that meet,
@@ -27,7 +27,8 @@ from . import common
 
 #: Characters that normalisation deletes.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-FAN_BITS = 3
+#: Runs meet 2 ** FAN_BITS at a time, or more where that would take more than ROUNDS rounds.
+FAN_BITS, ROUNDS = 3, 3
 KEY = ["sha", "second", "size"]
 
 
@@ -72,8 +73,9 @@ def resolved(docs: DataFrame, row: Column) -> DataFrame:
     first = common.settled(first, "runs")
     last = rows.agg(F.max("run")).first()[0] or 0
     level = first
+    bits = max(FAN_BITS, -(-int(last).bit_length() // ROUNDS))
     while last > 0:
-        level, last = merged(level, FAN_BITS), last >> FAN_BITS
+        level, last = merged(level, bits), last >> bits
     winners = level.select(*KEY, "best", "copies")
     entries = first.select("run", *KEY).join(winners, KEY)
     return rows.join(entries, ["run", *KEY]).select(

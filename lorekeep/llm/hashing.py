@@ -20,7 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each data[begin:end]. Eight bytes at a time go through two chains of mixing steps, one joined by exclusive or, one by a sum; so no linear relation between runs survives, as it does in polynomial hashes."""
+    """The hash of each data[begin:end]. Eight bytes at a time go through two chains of mixing steps, one joined
+    by exclusive or, one by a sum; so no linear relation between runs survives, as it does in polynomial
+    hashes.
+    """
     length = end - begin
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))

@@ -59,7 +59,9 @@ def has_letter(word: str) -> bool:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed buckets of the n-grams that end at each letter or end mark, a row an order; those of the letters before it, likewise; and each place's word."""
+    """Hashed buckets of the n-grams that end at each letter or end mark, a row an order; those of the letters
+    before it, likewise; and each place's word.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     text = " " + " ".join(words) + " "
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -70,7 +72,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = np.zeros(len(place), np.uint64)
     for k in range(ORDERS):
         if k:
-            context = context * np.uint64(0x100000001B3) + np.where(inside + 1 >= k, points[np.maximum(place - k, 0)], np.uint64(32)) + np.uint64(1)
+            context = context * np.uint64(0x100000001B3) + np.where(
+                inside + 1 >= k,
+                points[np.maximum(place - k, 0)],
+                np.uint64(32),
+            ) + np.uint64(1)
         before[k] = bucket(context)
         found[k] = bucket((context ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + points[place])
     return found, before, word
@@ -128,12 +134,19 @@ class Model:
         for k, p in zip(some.tolist(), proportions, strict=True):
             order = np.argsort(-p, kind="stable")
             chosen = [i for i in order if p[i] > 0]
-            out[k] = (self.languages[order[0]], float(min(1.0, p[order[0]])), [self.languages[i] for i in chosen], [float(p[i]) for i in chosen])
+            out[k] = (
+                self.languages[order[0]],
+                float(min(1.0, p[order[0]])),
+                [self.languages[i] for i in chosen],
+                [float(p[i]) for i in chosen],
+            )
         return out
 
 
 def mixtures(logs: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Proportions of the languages in every text, whose words' rows begin at ``begins``; EM for each size of the set, the least language dropped each time, and the set with the lowest criterion kept."""
+    """Proportions of the languages in every text, whose words' rows begin at ``begins``; EM for each size of the
+    set, the least language dropped each time, and the set with the lowest criterion kept.
+    """
     n, k = len(begins), logs.shape[1]
     sizes = np.diff(np.append(begins, len(logs)))
     text = np.repeat(np.arange(n), sizes)
@@ -166,11 +179,15 @@ def mixtures(logs: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.nda
 
 
 def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
-    labelled = common.project(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (common.remainder("doc_id", 4) != held_out))
+    labelled = common.project(docs, "doc_id", "text", "lang").where(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & (common.remainder("doc_id", 4) != held_out)
+    )
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toArrow()
     names, share = sizes["lang"].to_pylist(), sample / max(sizes.num_rows, 1)
     quotas = docs.sparkSession.createDataFrame([(lang, int(min(1.0, share / n) * (1 << 20))) for lang, n in zip(names, sizes["n"].to_pylist(), strict=True)], "lang string, quota int")  # a row a language
-    chosen = labelled.join(F.broadcast(quotas), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("quota")).select("lang", "text")
+    chosen = labelled.join(F.broadcast(quotas), "lang").where(
+        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("quota")
+    ).select("lang", "text")
     size = 1 << BUCKET_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +204,26 @@ def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
                             own[k] += np.bincount(places[k], minlength=size)
         if tables:
             salts = pa.array([TaskContext.get().partitionId()] * len(tables), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(tables)), salts, pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["part", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(tables)), salts, pa.array([t.tobytes() for t in tables.values()], pa.binary())],
+                ["part", "salt", "counts"],
+            )
 
     parts = chosen.mapInArrow(counted, "part string, salt int, counts binary")
-    tables = sorted(((r[0], np.frombuffer(r[1], "<f8").reshape(2, ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()), key=lambda x: x[0])
+    tables = sorted(
+        ((r[0], np.frombuffer(r[1], "<f8").reshape(2, ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()),
+        key=lambda x: x[0],
+    )
     if not tables:
         return Model([], *np.zeros((2, ORDERS, size, 0), np.float32))
     counts, before = np.moveaxis(np.stack([x for _, x in tables]), 0, -1)
     letters_ = int((counts[0] > 0).any(1).sum()) + 1
     weight = np.log(WEIGHTS)[:, None, None]
-    return Model([x for x, _ in tables], (weight + np.log(counts + LEAST)).astype(np.float32), np.log(before + LEAST * letters_).astype(np.float32))
+    return Model(
+        [x for x, _ in tables],
+        (weight + np.log(counts + LEAST)).astype(np.float32),
+        np.log(before + LEAST * letters_).astype(np.float32),
+    )
 
 
 def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
@@ -207,7 +234,17 @@ def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, own in common.slices(batches, chars=BATCH_CHARS):
             lang, score, names, shares = zip(*model.value.predict(own), strict=True)
-            columns = [rows.column(0).cast(pa.int64()), rows.column(1), pa.array(lang), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+            columns = [
+                rows.column(0).cast(pa.int64()),
+                rows.column(1),
+                pa.array(lang),
+                pa.array(score, pa.float64()),
+                pa.array(names, pa.list_(pa.string())),
+                pa.array(shares, pa.list_(pa.float64())),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
 
-    return texts.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return texts.mapInArrow(
+        run,
+        "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>",
+    )

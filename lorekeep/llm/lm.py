@@ -105,7 +105,10 @@ PASS = "part int, salt int, counts binary, first long"
 
 
 def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
-    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts; -2 and on: head tokens). Others: a bucket's rarer tokens, packed: hashes, then places of their rows counted from ``first``, the lowest bit telling training texts."""
+    """One pass over all texts. Rows with part < 0: sums over training texts, by fixed tables (-1: tokens, texts;
+    -2 and on: head tokens). Others: a bucket's rarer tokens, packed: hashes, then places of their rows
+    counted from ``first``, the lowest bit telling training texts.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +135,38 @@ def gathered(texts: DataFrame, head: Head, buckets: int) -> DataFrame:
             hashes, places, bucket = hashes[order], places[order].astype("<u4"), bucket[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
             last = np.append(first[1:], len(bucket))
-            packed = [hashes[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)] if len(bucket) else []
+            packed = [
+                hashes[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)
+            ] if len(bucket) else []
             n = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([low] * n, pa.int64())], ["part", "salt", "counts", "first"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[first], pa.int32()),
+                    pa.array([salt] * n, pa.int32()),
+                    pa.array(packed, pa.binary()),
+                    pa.array([low] * n, pa.int64()),
+                ],
+                ["part", "salt", "counts", "first"],
+            )
         tables = [np.array([tokens, trained], np.int64), *total.reshape(-1, HEAD_PART)]
         n = len(tables)
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, -1 - n, -1), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([x.tobytes() for x in tables], pa.binary()), pa.array([0] * n, pa.int64())], ["part", "salt", "counts", "first"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(-1, -1 - n, -1), pa.int32()),
+                pa.array([salt] * n, pa.int32()),
+                pa.array([x.tobytes() for x in tables], pa.binary()),
+                pa.array([0] * n, pa.int64()),
+            ],
+            ["part", "salt", "counts", "first"],
+        )
 
     return texts.select("row", "held_out", "text").mapInArrow(run, PASS)
 
 
 def bucket_sums(packed: DataFrame, cut: int) -> DataFrame:
-    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row -1: the bucket's distinct training tokens; row -2: the count of one of them (hash), if above ``cut``."""
+    """Per bucket and row: the sum of log10(c + 1) over its rarer tokens and how many have c > 0. row -1: the
+    bucket's distinct training tokens; row -2: the count of one of them (hash), if above ``cut``.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         hashes, rows, train = [], [], []
@@ -165,7 +188,9 @@ def bucket_sums(packed: DataFrame, cut: int) -> DataFrame:
         places = np.concatenate([found, [-1], np.full(own.sum(), -2)]).astype(np.int64)
         numbers = np.concatenate([known, [(counts > 0).sum()], counts[own]]).astype(np.int64)
         names = pa.array(np.concatenate([np.zeros(n + 1, np.int64), h[first][own].view(np.int64)]))
-        return pa.table({"row": places, "tail_sum": pa.array(np.concatenate([sums, np.zeros(len(places) - n)])), "tail_known": numbers, "hash": names})
+        return pa.table(
+            {"row": places, "tail_sum": pa.array(np.concatenate([sums, np.zeros(len(places) - n)])), "tail_known": numbers, "hash": names}
+        )
 
     return packed.groupBy("part").applyInArrow(run, "row long, tail_sum double, tail_known long, hash long")
 
@@ -215,7 +240,9 @@ class Network:
         return out
 
     def train(self, stream: np.ndarray, most: int = LANES, rate: float = RATE, least: float = 0.1) -> None:
-        """Truncated backpropagation over one stream of words in which ends (0) close texts, every word of it, read in up to ``most`` lanes; the rate falls to ``least`` of it."""
+        """Truncated backpropagation over one stream of words in which ends (0) close texts, every word of it,
+        read in up to ``most`` lanes; the rate falls to ``least`` of it.
+        """
         n = len(stream) - 1
         if n < 1:
             return
@@ -386,7 +413,9 @@ def frequent(texts: list[str], most: int) -> np.ndarray:
 
 
 def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
-    """The scorer's network, trained on in every task over all its training texts; the mean of the tasks' networks, weighted by their tokens."""
+    """The scorer's network, trained on in every task over all its training texts; the mean of the tasks'
+    networks, weighted by their tokens.
+    """
     shared, names = texts.sparkSession.sparkContext.broadcast(scorer), list(scorer.network.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,10 +428,14 @@ def trained_on_all(texts: DataFrame, scorer: Scorer) -> Network:
             flat = np.concatenate([network.p[k].ravel() for k in names]).astype("<f8") * tokens
             tables = [np.append(tokens, flat[at : at + NETWORK_PART]).astype("<f8").tobytes() for at in range(0, len(flat), NETWORK_PART)]
             salts = [TaskContext.get().partitionId()] * len(tables)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(tables)), pa.int32()), pa.array(salts, pa.int32()), pa.array(tables, pa.binary())], ["part", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(tables)), pa.int32()), pa.array(salts, pa.int32()), pa.array(tables, pa.binary())],
+                ["part", "salt", "counts"],
+            )
 
     parts = common.settled(texts.where(~F.col("held_out")).select("text").mapInArrow(run, "part int, salt int, counts binary"), "networks")
     found = [x for _, x in sorted((r[0], np.frombuffer(r[1], "<f8")) for r in common.summed_tables(parts, "<f8").collect())]
+    common.dropped(parts)
     if found:
         flat, at = np.concatenate([x[1:] / x[0] for x in found]), 0
         for k in names:
@@ -434,6 +467,7 @@ def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
     words = CLASSES * PER_CLASS - 1
     cut = int(np.sort(counts)[::-1][:words][-1]) if len(counts) >= words else 0
     tail = common.settled(bucket_sums(packed.where("part >= 0"), cut), "tail")
+    common.dropped(packed)
     distinct = int((counts > 0).sum()) + (trained > 0) + (tail.where("row = -1").agg(F.sum("tail_known")).first()[0] or 0)
     more = tail.where("row = -2").orderBy(F.desc("tail_known"), "hash").limit(words).select("hash", "tail_known").toArrow()
     every = np.concatenate([head.hashes, more["hash"].to_numpy().view(U)])
@@ -469,10 +503,21 @@ def score(docs: DataFrame, held_out: int = 2, mod: int = 7) -> DataFrame:
             inside = np.bincount(text[head_], open_terms[number[head_]], minlength=n).astype(np.float64)
             inside -= np.bincount(text[closed], in_tail[word[closed]], minlength=n)
             inside -= open_total * np.bincount(text[~closed], minlength=n)
-            columns = [pa.array(np.bincount(text, minlength=n) + 1, pa.int64()), pa.array(knows), pa.array(sums), pa.array(inside + own.score(word, text, n) / np.log(10))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int64()), rows.column(2), *columns], ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "head_score"])
-
-    scored = texts.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, head_score double")
+            columns = [
+                pa.array(np.bincount(text, minlength=n) + 1, pa.int64()),
+                pa.array(knows),
+                pa.array(sums),
+                pa.array(inside + own.score(word, text, n) / np.log(10)),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1).cast(pa.int64()), rows.column(2), *columns],
+                ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "head_score"],
+            )
+
+    scored = texts.mapInArrow(
+        run,
+        "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, head_score double",
+    )
     by_row = tail.where("row >= 0").groupBy("row").agg(F.sum("tail_sum").alias("tail_sum"), F.sum("tail_known").alias("tail_known"))
     tail_sum = F.coalesce("tail_sum", F.lit(0.0))
     return scored.join(by_row, "row", "left").select(

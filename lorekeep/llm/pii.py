@@ -68,7 +68,9 @@ def luhn(digits: str) -> bool:
 
 
 def emails(text: str) -> list[tuple[int, int]]:
-    """From every @: the run of local characters before it (after the last match) and the domain after it. In time linear in the text, as no run is read twice."""
+    """From every @: the run of local characters before it (after the last match) and the domain after it. In
+    time linear in the text, as no run is read twice.
+    """
     out, last, at = [], 0, text.find("@")
     while at >= 0:
         if at >= last:
@@ -179,7 +181,10 @@ def based(texts: DataFrame) -> DataFrame:
             counts = [pa.array([sum(k == kind for k, _, _ in x) for x in found], pa.int64()) for kind in (*KINDS, SECRET)]
             digests = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names])
             kept = pa.array([text if x else None for text, x in zip(own, near, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int64()), *counts, pa.array(names), digests, pa.array(more), lists, kept], NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1).cast(pa.int64()), *counts, pa.array(names), digests, pa.array(more), lists, kept],
+                NAMES,
+            )
 
     return texts.mapInArrow(run, BASE)
 
@@ -212,18 +217,28 @@ def disclosure(k: Column, n: Column, holding: Column, docs: int) -> Column:
     return F.log2(F.greatest(wilson(k, n), F.lit(1e-300)) / p) / -F.log2(p)
 
 
-def telling_terms(held: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
-    """held: row, entity, words. The pairs (entity, hash) that disclose at least GENERALISE, and their disclosure."""
+def telling_terms(held: DataFrame, texts: DataFrame, docs: int) -> list[DataFrame]:
+    """held: row, entity, words. The pairs (entity, hash) that disclose at least GENERALISE, and their
+    disclosure; then what was settled for them.
+    """
     by_entity = common.settled(held.groupBy("entity").agg(F.count(F.lit(1)).alias("holding")), "entities")
-    joint = common.settled(held.select("entity", F.explode("words").alias("hash")).groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("both")), "joint")
+    joint = common.settled(
+        held.select("entity", F.explode("words").alias("hash")).groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("both")),
+        "joint",
+    )
     least = by_entity.agg(F.min("holding")).first()[0]
     if least is None:
-        return joint.select("entity", "hash", F.lit(0.0).alias("disclosure")).limit(0)
+        return [joint.select("entity", "hash", F.lit(0.0).alias("disclosure")).limit(0), by_entity, joint]
     by_term = common.settled(joint.groupBy("hash").agg(F.max("both").alias("most")), "terms")
     counted = occurrences(texts).join(by_term, "hash")
     able = counted.where(disclosure(F.col("most"), F.col("n"), F.lit(float(least)), docs) >= GENERALISE)
     judged = joint.join(able.select("hash", "n"), "hash").join(by_entity, "entity")
-    return judged.select("entity", "hash", disclosure(F.col("both"), F.col("n"), F.col("holding"), docs).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    pairs = judged.select(
+        "entity",
+        "hash",
+        disclosure(F.col("both"), F.col("n"), F.col("holding"), docs).alias("disclosure"),
+    ).where(F.col("disclosure") >= GENERALISE)
+    return [pairs, by_entity, joint, by_term]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -240,24 +255,53 @@ def found(texts: DataFrame) -> DataFrame:
     rows = common.settled(based(texts), "base")
     held = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
     near = held.select("row", "entity", F.explode("words").alias("hash"))
-    telling = common.settled(telling_terms(held, texts, rows.count()), "telling")
+    pairs, *used = telling_terms(held, texts, rows.count())
+    telling = common.settled(pairs, "telling")
+    common.dropped(*used)
     if telling.count() <= BROADCAST_ROWS:
         met = near.join(F.broadcast(telling), ["entity", "hash"])
     else:
         salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-        met = near.withColumn("salt", salt).join(telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["entity", "hash", "salt"])
-    by_row = met.groupBy("row", "hash").agg(F.max("disclosure").alias("d")).groupBy("row").agg(F.collect_list(F.struct("hash", (F.col("d") >= REMOVE).alias("remove"))).alias("told"))
+        met = near.withColumn("salt", salt).join(
+            telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+            ["entity", "hash", "salt"],
+        )
+    by_row = met.groupBy("row", "hash").agg(F.max("disclosure").alias("d")).groupBy("row").agg(
+        F.collect_list(F.struct("hash", (F.col("d") >= REMOVE).alias("remove"))).alias("told")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, own in common.slices(batches):
             names = {c: rows.column(k).to_pylist() for k, c in enumerate(rows.schema.names) if c in ("base", "more", "told")}
-            terms = [marked(text, base, more, told) if told else [] for text, base, more, told in zip(own, names["base"], names["more"], names["told"], strict=True)]
-            spans = [",".join(x for x in (base, more, ",".join(f"{TERM}:{t['start']}:{t['end']}" for t in own_terms)) if x) for base, more, own_terms in zip(names["base"], names["more"], terms, strict=True)]
+            terms = [
+                marked(text, base, more, told) if told else [] for text, base, more, told in zip(
+                    own,
+                    names["base"],
+                    names["more"],
+                    names["told"],
+                    strict=True,
+                )
+            ]
+            spans = [
+                ",".join(
+                    x for x in (base, more, ",".join(f"{TERM}:{t['start']}:{t['end']}" for t in own_terms)) if x
+                ) for base, more, own_terms in zip(names["base"], names["more"], terms, strict=True)
+            ]
             n_terms, n_spans = [len(x) for x in terms], [x.count(":") // 2 for x in spans]
             column = lambda c: rows.column(rows.schema.get_field_index(c))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("remove", pa.bool_())]))
-            made = [column("base_sha256"), pa.array(spans), column("n_secret"), pa.array(n_terms, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(terms, kind)]
-            yield pa.RecordBatch.from_arrays([column("row"), column("doc_id"), *map(column, COUNTS), *made], ["row", "doc_id", *COUNTS, "base_sha256", "spans", "n_secret", "n_terms", "n_spans", "terms"])
+            made = [
+                column("base_sha256"),
+                pa.array(spans),
+                column("n_secret"),
+                pa.array(n_terms, pa.int64()),
+                pa.array(n_spans, pa.int64()),
+                pa.array(terms, kind),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [column("row"), column("doc_id"), *map(column, COUNTS), *made],
+                ["row", "doc_id", *COUNTS, "base_sha256", "spans", "n_secret", "n_terms", "n_spans", "terms"],
+            )
 
     some = rows.where(F.size("near") > 0).drop("near").join(by_row, "row", "left")
     none = rows.where(F.size("near") == 0).drop("near").withColumn("told", F.lit(None).cast(by_row.schema["told"].dataType))
@@ -288,18 +332,27 @@ def replaced(text: str, spans: str, removed: list[int]) -> str:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with each span replaced by its kind in brackets, generalised terms by [term], removed terms by nothing; overlapping spans are replaced once, by the first that begins. All other columns stay as they are."""
+    """docs with each span replaced by its kind in brackets, generalised terms by [term], removed terms by
+    nothing; overlapping spans are replaced once, by the first that begins. All other columns stay as they
+    are.
+    """
     schema, row = docs.schema, common.unused(docs, common.ROW)
     docs = common.numbered(docs, row)
     names = [common.unused(docs, x) for x in ("spans", "removed")]
     removed = F.transform(F.filter("terms", lambda t: t["remove"]), lambda t: t["start"])
-    own = found(docs.select(F.col(row).alias("row"), "doc_id", "text")).where("spans <> ''").select(F.col("row").alias(row), F.col("spans").alias(names[0]), removed.alias(names[1]))
+    own = found(docs.select(F.col(row).alias("row"), "doc_id", "text")).where("spans <> ''").select(
+        F.col("row").alias(row),
+        F.col("spans").alias(names[0]),
+        removed.alias(names[1]),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
             spans, gone = (b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
-            texts = [t if not s or t is None else replaced(t, s, g or []) for t, s, g in zip(b.column(at).to_pylist(), spans, gone, strict=True)]
+            texts = [
+                t if not s or t is None else replaced(t, s, g or []) for t, s, g in zip(b.column(at).to_pylist(), spans, gone, strict=True)
+            ]
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 

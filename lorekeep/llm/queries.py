@@ -16,7 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "items", "longest", "longest_at")
+    return decontaminate.search(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "benchmark"),
+    ).drop("row", "items", "longest", "longest_at")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +53,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = project(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(says).alias("text"),
+    )
     out = chat.read_back(chat.formatted(chat.text_parts(turns.unionByName(extra))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

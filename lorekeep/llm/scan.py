@@ -45,7 +45,10 @@ def code_points(text: str) -> np.ndarray:
 
 
 def classify(points: np.ndarray, breaks: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
-    """The class of every code point. ``breaks``: positions that only separate texts; ``base``: the code points' classes, Python's if none are given. Classes look at most two characters ahead: a quote that a contraction may follow, and white space that is the last before something else."""
+    """The class of every code point. ``breaks``: positions that only separate texts; ``base``: the code points'
+    classes, Python's if none are given. Classes look at most two characters ahead: a quote that a contraction
+    may follow, and white space that is the last before something else.
+    """
     classes = (base_classes() if base is None else base)[points]
     classes[breaks] = BREAK
     ends = np.append(classes[1:], np.uint8(BREAK))

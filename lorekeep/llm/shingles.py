@@ -28,7 +28,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles: ids and counts, text by text, where each text's begin (and the last one's end), and two hashes of every text's word sequence. A text of fewer words, but not none, is one shingle."""
+    """Distinct shingles: ids and counts, text by text, where each text's begin (and the last one's end), and two
+    hashes of every text's word sequence. A text of fewer words, but not none, is one shingle.
+    """
     assert len(texts) <= MAX_TEXTS
     hashes, bounds = word_hashes(texts)
     n_words = np.diff(bounds)

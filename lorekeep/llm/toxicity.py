@@ -119,10 +119,15 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    labels = common.project(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    labels = common.project(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        (F.max("toxic") > 0).cast("int").alias("toxic")
+    )
     share = min(1.0, sample / max(labels.count(), 1))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = common.project(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    texts = common.project(docs, "doc_id", "text").where("text is not null").join(
+        F.broadcast(chosen),
+        "doc_id",
+    ).groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
     texts = common.settled(texts, "labelled")
     total = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     if not total[0] or not total[1]:
@@ -139,11 +144,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             found, at = np.unique(hashes[new], return_inverse=True)
             bad = np.bincount(at, toxic[text[new]], minlength=len(found)).astype(np.int64)
             every = np.bincount(at, minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad), pa.array(every - bad)], ["feature", "bad", "good"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(bad), pa.array(every - bad)],
+                ["feature", "bad", "good"],
+            )
 
-    counts = texts.mapInArrow(counted, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("good") + 0.5) / (total[0] + 1)) - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = counts.where(F.col("bad") >= LEAST_COUNT).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc("odds"), F.desc("bad"), "feature").limit(FEATURES)
+    counts = texts.mapInArrow(counted, "feature long, bad long, good long").groupBy("feature").agg(
+        F.sum("bad").alias("bad"),
+        F.sum("good").alias("good"),
+    )
+    odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("good") + 0.5) / (total[0] + 1)) - F.sqrt(
+        1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)
+    )
+    best = counts.where(F.col("bad") >= LEAST_COUNT).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(
+        F.desc("odds"),
+        F.desc("bad"),
+        "feature",
+    ).limit(FEATURES)
     hashes = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64).view(np.uint64))
     if not len(hashes):
         return None
@@ -177,7 +194,14 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for rows, own in common.slices(batches, chars=BATCH_CHARS):
             p = model.value.probabilities(own) if model.value else np.zeros((len(own), 2))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1).cast(pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(1)), pa.array(p[:, 0] > THRESHOLD)],
+                [
+                    rows.column(0),
+                    rows.column(1).cast(pa.int64()),
+                    pa.array(p[:, 0]),
+                    pa.array(p[:, 1]),
+                    pa.array(p.sum(1)),
+                    pa.array(p[:, 0] > THRESHOLD),
+                ],
                 ["row", "doc_id", "p_toxic", "p_severe", "severity", "rejected"],
             )
 
@@ -187,4 +211,8 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without rejected documents."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return common.narrowed(docs, lambda texts: [True] * len(texts) if model.value is None else (model.value.probabilities(texts)[:, 0] <= THRESHOLD).tolist(), BATCH_CHARS)
+    return common.narrowed(
+        docs,
+        lambda texts: [True] * len(texts) if model.value is None else (model.value.probabilities(texts)[:, 0] <= THRESHOLD).tolist(),
+        BATCH_CHARS,
+    )

@@ -77,10 +77,11 @@ def test_rows_keep_all_their_columns(docs, none, labels, benchmark):
 
 
 def test_labels_of_equal_texts_take_the_highest(spark):
-    docs = spark.createDataFrame([(k, f"vile rotten {k % 5}") for k in range(40)] + [(100 + k, f"mild kind {k % 5}") for k in range(40)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)] + [(100 + k, 0) for k in range(40)], "doc_id long, toxic int")
+    texts = [(k, f"vile rotten {k // 2}") for k in range(80)] + [(100 + k, f"mild kind {k // 2}") for k in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 80 and k % 2 == 0)) for k, _ in texts], "doc_id long, toxic int")
     got = {r.doc_id: r.rejected for r in toxicity.grade(docs, labels).collect()}
-    assert all(got[k] for k in range(40)) and not any(got[100 + k] for k in range(40))
+    assert all(got[k] for k in range(80)) and not any(got[100 + k] for k in range(80))
 
 
 def test_turns_with_equal_numbers_are_ordered_by_their_raw_text(spark):
