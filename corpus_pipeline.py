@@ -54,6 +54,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents, each result settled in the shared folder."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.settled(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        kept = common.settled(stage(spark, docs, sf_dir), name)
+        if number:
+            common.dropped(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

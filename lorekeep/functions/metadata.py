@@ -13,8 +13,18 @@ def overlay(interaction: Column, event: Column) -> Column:
 
 
 def of_ids(causation: Column, correlation: Column) -> Column:
-    return F.struct(causation.alias("causation_id"), correlation.alias("correlation_id"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
+    return F.struct(
+        causation.alias("causation_id"),
+        correlation.alias("correlation_id"),
+        F.lit(None).cast("string").alias("idempotency_key"),
+        F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+    )
 
 
 def with_key(metadata: Column, key: Column) -> Column:
-    return F.struct(metadata["causation_id"].alias("causation_id"), metadata["correlation_id"].alias("correlation_id"), key.alias("idempotency_key"), metadata["timestamp"].alias("timestamp"))
+    return F.struct(
+        metadata["causation_id"].alias("causation_id"),
+        metadata["correlation_id"].alias("correlation_id"),
+        key.alias("idempotency_key"),
+        metadata["timestamp"].alias("timestamp"),
+    )

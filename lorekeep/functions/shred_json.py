@@ -37,7 +37,15 @@ def taken(payload: str | None) -> list[dict]:
     out = []
     for path, node in walk(json.loads(payload)) if payload else ():
         value = node.get("ciphertext") if node[MARK] == "sealed" else json.dumps(node["value"]) if node[MARK] == "plain" else None
-        out.append({"path": json.dumps(path), "state": node[MARK], "subject": node.get("subject"), "value": value, "algorithm": node.get("algorithm")})
+        out.append(
+            {
+                "path": json.dumps(path),
+                "state": node[MARK],
+                "subject": node.get("subject"),
+                "value": value,
+                "algorithm": node.get("algorithm"),
+            }
+        )
     return out
 
 
@@ -71,8 +79,14 @@ def _through(rows: DataFrame, keys: DataFrame, key: str, change, column: str) ->
     def replace(payload: pd.Series, fields: pd.Series) -> pd.Series:
         return pd.Series([put_back(p, f) for p, f in zip(payload, fields, strict=True)], dtype=object)
 
-    each = rows.select(key, F.explode(find(column)).alias("f")).select(key, "f.path", F.struct("f.state", "f.subject", "f.value", "f.algorithm").alias("field"))
-    changed = change(each, keys, "field").groupBy(key).agg(F.collect_list(F.struct("path", "field.state", "field.subject", "field.value", "field.algorithm")).alias("fields_"))
+    each = rows.select(key, F.explode(find(column)).alias("f")).select(
+        key,
+        "f.path",
+        F.struct("f.state", "f.subject", "f.value", "f.algorithm").alias("field"),
+    )
+    changed = change(each, keys, "field").groupBy(key).agg(
+        F.collect_list(F.struct("path", "field.state", "field.subject", "field.value", "field.algorithm")).alias("fields_")
+    )
     return rows.join(changed, key, "left").withColumn(column, replace(column, "fields_")).select(*rows.columns)
 
 

@@ -40,11 +40,15 @@ def joined(asked: DataFrame, states: DataFrame, state: str = "state") -> DataFra
 
 
 def decided(asked: DataFrame, states: DataFrame, decide: Callable[[Column, DataFrame], Column]) -> DataFrame:
-    """decide(states, command's columns by name) -> array<struct<stream_id, event_type, payload>>: null rejects, empty does nothing. An event of a stream outside the command's boundary is an error."""
+    """decide(states, command's columns by name) -> array<struct<stream_id, event_type, payload>>: null rejects,
+    empty does nothing. An event of a stream outside the command's boundary is an error.
+    """
     rows = joined(asked, states)
     rows = rows.withColumn("events", decide(F.col("states"), rows))
     inside = F.forall("events", lambda e: F.array_contains("streams", e["stream_id"]))
-    outcome = F.when(F.col("events").isNull(), "rejected").when(F.size("events") == 0, "noop").when(inside, "committed").otherwise(F.raise_error("an event outside the boundary"))
+    outcome = F.when(F.col("events").isNull(), "rejected").when(F.size("events") == 0, "noop").when(inside, "committed").otherwise(
+        F.raise_error("an event outside the boundary")
+    )
     return rows.withColumn("outcome", outcome)
 
 
@@ -57,10 +61,22 @@ def appends(done: DataFrame) -> DataFrame:
 def checked(events: DataFrame, query: Query) -> DataFrame:
     """events as they are; reading one that the query doesn't select, or that has no position, is an error."""
     fits = F.coalesce(query.column(), F.lit(False)) & (F.col("sequence") > 0)
-    return events.where(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("event outside the query: "), F.coalesce(F.col("sequence").cast("string"), F.lit("?"))))))
-
-
-def queried(decisions: DataFrame, log: DataFrame, fields: list[str], init: Callable[[], Any], step: Callable[[Any, tuple], Any], schema: str, result: Callable[[Any], tuple]) -> DataFrame:
+    return events.where(
+        F.when(fits, True).otherwise(
+            F.raise_error(F.concat(F.lit("event outside the query: "), F.coalesce(F.col("sequence").cast("string"), F.lit("?"))))
+        )
+    )
+
+
+def queried(
+    decisions: DataFrame,
+    log: DataFrame,
+    fields: list[str],
+    init: Callable[[], Any],
+    step: Callable[[Any, tuple], Any],
+    schema: str,
+    result: Callable[[Any], tuple],
+) -> DataFrame:
     """decisions: decision_id, after, types (array, empty: any), tag. Per decision: decision_id, read (the last event it rests on, 0: none) and the columns of ``schema``: the fold, in order, of the events up to ``after`` that have its tag and one of its types.
 
     Decisions that ask for the same events stand among them in order of
@@ -77,7 +93,13 @@ def queried(decisions: DataFrame, log: DataFrame, fields: list[str], init: Calla
     group = F.concat_ws("\n", "tag", "types").alias("group")
     own = dict(met.dtypes)
     void = [F.lit(None).cast(own[f]).alias(f) for f in fields if f != "sequence"]
-    rows = met.select(group, F.col("sequence").alias("place"), F.lit(0).alias("phase"), F.lit(None).cast(dict(asked.dtypes)["decision_id"]).alias("decision_id"), *[f for f in fields if f != "sequence"])
+    rows = met.select(
+        group,
+        F.col("sequence").alias("place"),
+        F.lit(0).alias("phase"),
+        F.lit(None).cast(dict(asked.dtypes)["decision_id"]).alias("decision_id"),
+        *[f for f in fields if f != "sequence"],
+    )
     rows = rows.unionByName(asked.select(group, F.col("after").alias("place"), F.lit(1).alias("phase"), "decision_id", *void))
     kinds = ", ".join(["decision_id " + dict(asked.dtypes)["decision_id"], "read long", schema])
     out_names = [f.name for f in log.sparkSession.createDataFrame([], kinds).schema]

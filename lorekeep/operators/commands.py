@@ -35,7 +35,12 @@ def decided(commands: DataFrame, key: str, order: str, fields: list[str], init:
         one = F.struct(c[order].alias("ord"), made["outcome"].alias("outcome"), made["state"].alias("state"))
         return F.struct(made["state"].alias("state"), F.concat(acc["done"], F.array(one)).alias("done"))
 
-    return grouped.select(key, F.explode(F.aggregate("cs", start, step, lambda acc: acc["done"])).alias("d")).select(key, F.col("d.ord").alias(order), F.col("d.outcome").alias("outcome"), F.col("d.state").alias("state"))
+    return grouped.select(key, F.explode(F.aggregate("cs", start, step, lambda acc: acc["done"])).alias("d")).select(
+        key,
+        F.col("d.ord").alias(order),
+        F.col("d.outcome").alias("outcome"),
+        F.col("d.state").alias("state"),
+    )
 
 
 def withdraw(balance: Column, amount: Column) -> Column:
@@ -44,10 +49,15 @@ def withdraw(balance: Column, amount: Column) -> Column:
 
 
 def first_by_key(commands: DataFrame, order: str) -> DataFrame:
-    """commands with an idempotency_key: the first of each key and stream commits, later ones get its position. Without a key each commits."""
+    """commands with an idempotency_key: the first of each key and stream commits, later ones get its position.
+    Without a key each commits.
+    """
     keyed = W.partitionBy("stream_id", "idempotency_key")
     first = F.when(F.col("idempotency_key").isNull(), F.col(order)).otherwise(F.min(order).over(keyed))
-    return commands.withColumn("committed_at", first).withColumn("outcome", F.when(F.col(order) == F.col("committed_at"), COMMITTED).otherwise(ALREADY))
+    return commands.withColumn("committed_at", first).withColumn(
+        "outcome",
+        F.when(F.col(order) == F.col("committed_at"), COMMITTED).otherwise(ALREADY),
+    )
 
 
 def unseen(commands: DataFrame, log: DataFrame) -> DataFrame:
@@ -90,15 +100,43 @@ def executed(log: DataFrame, commands: DataFrame, decider: Decider, snapshots: D
     with keyed commands, whose whole past is read.
     """
     keyed = "idempotency_key" in commands.columns
-    asked = commands.select("ord", "stream_id", F.col("name").alias("event_type"), "payload", (F.col("idempotency_key") if keyed else F.lit(None).cast("string")).alias("key"))
+    asked = commands.select(
+        "ord",
+        "stream_id",
+        F.col("name").alias("event_type"),
+        "payload",
+        (F.col("idempotency_key") if keyed else F.lit(None).cast("string")).alias("key"),
+    )
     streams = asked.groupBy("stream_id").agg(F.max(F.col("key").isNotNull()).alias("keyed"))
     events = log.join(streams, "stream_id")
     rows = []
     if snapshots is not None:
-        base = snapshots.join(streams.where(~F.col("keyed")), "stream_id").select("stream_id", F.col("version").alias("base"), F.col("state").alias("base_state"))
+        base = snapshots.join(streams.where(~F.col("keyed")), "stream_id").select(
+            "stream_id",
+            F.col("version").alias("base"),
+            F.col("state").alias("base_state"),
+        )
         events = events.join(base.select("stream_id", "base"), "stream_id", "left").where(F.col("version") > F.coalesce("base", F.lit(0)))
-        rows.append(base.select("stream_id", F.lit(0).alias("phase"), F.col("base").alias("place"), F.lit(None).cast("string").alias("event_type"), F.col("base_state").alias("payload"), F.lit(None).cast("string").alias("key")))
-    rows.append(events.select("stream_id", F.lit(1).alias("phase"), F.col("version").alias("place"), "event_type", "payload", F.col("metadata.idempotency_key").alias("key")))
+        rows.append(
+            base.select(
+                "stream_id",
+                F.lit(0).alias("phase"),
+                F.col("base").alias("place"),
+                F.lit(None).cast("string").alias("event_type"),
+                F.col("base_state").alias("payload"),
+                F.lit(None).cast("string").alias("key"),
+            )
+        )
+    rows.append(
+        events.select(
+            "stream_id",
+            F.lit(1).alias("phase"),
+            F.col("version").alias("place"),
+            "event_type",
+            "payload",
+            F.col("metadata.idempotency_key").alias("key"),
+        )
+    )
     rows.append(asked.select("stream_id", F.lit(2).alias("phase"), F.col("ord").alias("place"), "event_type", "payload", "key"))
     whole = rows[0]
     for more in rows[1:]:
@@ -140,7 +178,13 @@ def executed(log: DataFrame, commands: DataFrame, decider: Decider, snapshots: D
                 made.append((stream, place, outcome, reason, read, committed, json.dumps(state), new))
             if made:
                 columns = list(zip(*made, strict=True))
-                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), NEW_EVENTS), strict=True)]
+                arrays = [
+                    pa.array(c, t) for c, t in zip(
+                        columns,
+                        (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), NEW_EVENTS),
+                        strict=True,
+                    )
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in DECIDED.split(", ")])
 
     return whole.repartition("stream_id").sortWithinPartitions("stream_id", "phase", "place").mapInArrow(run, DECIDED)
@@ -158,10 +202,16 @@ def conflicts(conditions: DataFrame, log: DataFrame) -> DataFrame:
     types, tags = F.col("i.types"), F.col("i.tags")
     last = F.max("sequence").alias("sequence")
     by_type = log.groupBy("event_type").agg(last)
-    by_tag = log.select("sequence", "event_type", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag", "event_type").agg(last, F.count(F.lit(1)).alias("n"))
+    by_tag = log.select(
+        "sequence",
+        "event_type",
+        F.explode(F.array_distinct("tags")).alias("tag"),
+    ).groupBy("tag", "event_type").agg(last, F.count(F.lit(1)).alias("n"))
 
     bare = item.where((F.size(tags) == 0) & (F.size(types) == 0)).join(F.broadcast(by_type.agg(last))).select("condition_id", "after", "sequence")  # one row
-    typed = item.where((F.size(tags) == 0) & (F.size(types) > 0)).withColumn("event_type", F.explode("i.types")).join(by_type, "event_type").select("condition_id", "after", "sequence")
+    typed = item.where(
+        (F.size(tags) == 0) & (F.size(types) > 0)
+    ).withColumn("event_type", F.explode("i.types")).join(by_type, "event_type").select("condition_id", "after", "sequence")
     single = item.where(F.size(tags) == 1).withColumn("tag", F.element_at("i.tags", 1))
     exact = single.where(F.size(types) > 0).withColumn("event_type", F.explode("i.types")).join(by_tag, ["tag", "event_type"])
     any_type = single.where(F.size(types) == 0).join(by_tag.groupBy("tag").agg(last), "tag")
@@ -170,9 +220,13 @@ def conflicts(conditions: DataFrame, log: DataFrame) -> DataFrame:
     many = item.where(F.size(tags) > 1).withColumn("q", F.struct(F.array_sort(types).alias("types"), F.array_sort(tags).alias("tags")))
     sizes = by_tag.groupBy("tag").agg(F.sum("n").alias("n"))
     asked = many.select("q").distinct()
-    rarest = asked.withColumn("tag", F.explode("q.tags")).join(sizes, "tag", "left").groupBy("q").agg(F.min_by("tag", F.coalesce("n", F.lit(0))).alias("tag"))
+    rarest = asked.withColumn("tag", F.explode("q.tags")).join(sizes, "tag", "left").groupBy("q").agg(
+        F.min_by("tag", F.coalesce("n", F.lit(0))).alias("tag")
+    )
     events = log.select("sequence", "event_type", F.col("tags").alias("own"), F.explode(F.array_distinct("tags")).alias("tag"))
-    fits = F.forall("q.tags", lambda t: F.array_contains("own", t)) & ((F.size("q.types") == 0) | F.array_contains("q.types", F.col("event_type")))
+    fits = F.forall("q.tags", lambda t: F.array_contains("own", t)) & (
+        (F.size("q.types") == 0) | F.array_contains("q.types", F.col("event_type"))
+    )
     met = rarest.join(events, "tag").where(fits).groupBy("q").agg(last)
     several = many.join(met, "q").select("condition_id", "after", "sequence")
 
@@ -184,4 +238,9 @@ def conflicts(conditions: DataFrame, log: DataFrame) -> DataFrame:
 def reactions(log: DataFrame, saga: str, react: Column) -> DataFrame:
     """react: array<struct<command, target, amount>> of an event. One row for each command, its key ``saga:sequence:index``."""
     rows = log.select("sequence", F.posexplode(react).alias("index", "c"))
-    return rows.select(F.concat_ws(":", F.lit(saga), F.col("sequence").cast("string"), F.col("index").cast("string")).alias("idempotency_key"), "sequence", F.col("index").cast("long").alias("index"), "c.*")
+    return rows.select(
+        F.concat_ws(":", F.lit(saga), F.col("sequence").cast("string"), F.col("index").cast("string")).alias("idempotency_key"),
+        "sequence",
+        F.col("index").cast("long").alias("index"),
+        "c.*",
+    )

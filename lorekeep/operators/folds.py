@@ -24,7 +24,16 @@ from pyspark.sql import functions as F
 Step = Callable[[Column, Column], Column]
 
 
-def folded(log: DataFrame, key: str | list[str], order: str, fields: list[str], init: Column, step: Step, finish: Callable[[Column], Column] | None = None, out: str = "state") -> DataFrame:
+def folded(
+    log: DataFrame,
+    key: str | list[str],
+    order: str,
+    fields: list[str],
+    init: Column,
+    step: Step,
+    finish: Callable[[Column], Column] | None = None,
+    out: str = "state",
+) -> DataFrame:
     """Per key: the state after all events in order. init may use columns of the key only."""
     keys = [key] if isinstance(key, str) else key
     events = log.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("events"))
@@ -32,15 +41,30 @@ def folded(log: DataFrame, key: str | list[str], order: str, fields: list[str],
 
 
 def seeded(log: DataFrame, snapshots: DataFrame, fields: list[str], seed: Callable[[Column], Column], step: Step) -> DataFrame:
-    """Per stream: the snapshot's state with only later events folded in. snapshots: stream_id, version, state; log and snapshots meet once, by stream."""
+    """Per stream: the snapshot's state with only later events folded in. snapshots: stream_id, version, state;
+    log and snapshots meet once, by stream.
+    """
     s = snapshots.select("stream_id", F.col("version").alias("base"), F.col("state").alias("seed"))
     rows = log.join(s, "stream_id", "left").where(F.col("version") > F.coalesce("base", F.lit(0)))
     delta = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("version", *fields))).alias("events"))
     both = s.join(delta, "stream_id", "full")
-    return both.select("stream_id", F.aggregate(F.coalesce("events", F.array().cast(delta.schema["events"].dataType)), seed(F.col("seed")), step).alias("state"), F.greatest(F.coalesce("base", F.lit(0)), F.coalesce(F.element_at("events", -1)["version"], F.lit(0))).alias("version"))
-
-
-def streamed(log: DataFrame, key: str, order: str, fields: list[str], init: Callable[[], Any], step: Callable[[Any, tuple], Any], schema: str, result: Callable[[Any], tuple]) -> DataFrame:
+    return both.select(
+        "stream_id",
+        F.aggregate(F.coalesce("events", F.array().cast(delta.schema["events"].dataType)), seed(F.col("seed")), step).alias("state"),
+        F.greatest(F.coalesce("base", F.lit(0)), F.coalesce(F.element_at("events", -1)["version"], F.lit(0))).alias("version"),
+    )
+
+
+def streamed(
+    log: DataFrame,
+    key: str,
+    order: str,
+    fields: list[str],
+    init: Callable[[], Any],
+    step: Callable[[Any, tuple], Any],
+    schema: str,
+    result: Callable[[Any], tuple],
+) -> DataFrame:
     """As folded, for streams of any length. schema: of the result's columns after the key."""
     rows = log.select(key, order, *fields).repartition(F.col(key)).sortWithinPartitions(key, order)
     names = [f.name for f in log.sparkSession.createDataFrame([], schema).schema]
@@ -65,8 +89,18 @@ def streamed(log: DataFrame, key: str, order: str, fields: list[str], init: Call
     return rows.mapInArrow(run, f"{key} {kind}, {schema}")
 
 
-def streamed_on(log: DataFrame, snapshots: DataFrame, fields: list[str], seed: Callable[[Any], Any], step: Callable[[Any, tuple], Any], schema: str, result: Callable[[Any], tuple]) -> DataFrame:
-    """As seeded, for streams of any length. snapshots: stream_id, version, state; seed(state, null for none) -> the start; a result is (state, version of the last event or the snapshot)."""
+def streamed_on(
+    log: DataFrame,
+    snapshots: DataFrame,
+    fields: list[str],
+    seed: Callable[[Any], Any],
+    step: Callable[[Any, tuple], Any],
+    schema: str,
+    result: Callable[[Any], tuple],
+) -> DataFrame:
+    """As seeded, for streams of any length. snapshots: stream_id, version, state; seed(state, null for none) ->
+    the start; a result is (state, version of the last event or the snapshot).
+    """
     base = snapshots.select("stream_id", F.col("version").alias("base"))
     later = log.join(base, "stream_id", "left").where(F.col("version") > F.coalesce("base", F.lit(0)))
     kind = dict(snapshots.dtypes)["state"]
@@ -97,7 +131,9 @@ class SnapshotPolicy:
 
 
 def until(log: DataFrame, bound: Column, at: str) -> DataFrame:
-    """Each stream's prefix before its first event later than bound; it stops there and doesn't skip. An event without a time that it reaches is an error."""
+    """Each stream's prefix before its first event later than bound; it stops there and doesn't skip. An event
+    without a time that it reaches is an error.
+    """
     order = W.partitionBy("stream_id").orderBy("version").rowsBetween(W.unboundedPreceding, W.currentRow)
     late = F.coalesce(F.max(F.col(at) > bound).over(order), F.lit(False))
     known = F.when(F.col(at).isNull(), F.raise_error(F.concat(F.lit("no timestamp in "), F.col("stream_id")))).otherwise(F.lit(True))
@@ -115,10 +151,21 @@ def heads(log: DataFrame, lifecycle: DataFrame | None = None) -> DataFrame:
     own = log.groupBy("stream_id").agg(F.max("version").alias("last"))
     if lifecycle is None:
         return own.select("stream_id", F.col("last").alias("head"))
-    return own.join(lifecycle.select("stream_id", F.col("head").alias("recorded")), "stream_id", "full").select("stream_id", F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("recorded", F.lit(0))).alias("head"))
-
-
-def scanned(log: DataFrame, key: str, order: str, fields: list[str], init: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], schema: str) -> DataFrame:
+    return own.join(lifecycle.select("stream_id", F.col("head").alias("recorded")), "stream_id", "full").select(
+        "stream_id",
+        F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("recorded", F.lit(0))).alias("head"),
+    )
+
+
+def scanned(
+    log: DataFrame,
+    key: str,
+    order: str,
+    fields: list[str],
+    init: Callable[[], Any],
+    step: Callable[[Any, tuple], tuple[Any, tuple]],
+    schema: str,
+) -> DataFrame:
     """As streamed, with a row for each event: step returns the new state and the row's columns after key and order."""
     rows = log.select(key, order, *fields).repartition(F.col(key)).sortWithinPartitions(key, order)
     kinds = dict(log.dtypes)

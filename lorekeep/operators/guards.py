@@ -20,8 +20,15 @@ def version_matches(kind: Column, expected: Column, head: Column) -> Column:
 
 def expectations(commands: DataFrame, heads: DataFrame, closed: DataFrame) -> DataFrame:
     """commands: stream_id, expected_kind, expected_version. Adds head and outcome. Closed goes before the expectation."""
-    out = commands.join(heads, "stream_id", "left").withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).join(closed.select("stream_id", F.lit(True).alias("closed")), "stream_id", "left")
-    verdict = F.when(F.col("closed"), "closed").when(version_matches(F.col("expected_kind"), F.col("expected_version"), F.col("head")), "accepted").otherwise("conflict")
+    out = commands.join(heads, "stream_id", "left").withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).join(
+        closed.select("stream_id", F.lit(True).alias("closed")),
+        "stream_id",
+        "left",
+    )
+    verdict = F.when(F.col("closed"), "closed").when(
+        version_matches(F.col("expected_kind"), F.col("expected_version"), F.col("head")),
+        "accepted",
+    ).otherwise("conflict")
     return out.withColumn("outcome", verdict).drop("closed")
 
 
@@ -52,16 +59,25 @@ def gaps(log: DataFrame) -> DataFrame:
 
 
 def delivery_faults(batches: DataFrame) -> DataFrame:
-    """batches: batch_id, ord, sequence, checkpoint, scanned. Per batch: events that don't come after the one before or the checkpoint, and whether scanned lies below either."""
+    """batches: batch_id, ord, sequence, checkpoint, scanned. Per batch: events that don't come after the one
+    before or the checkpoint, and whether scanned lies below either.
+    """
     before = F.coalesce(F.lag("sequence").over(W.partitionBy("batch_id").orderBy("ord")), F.col("checkpoint"))
     checked = batches.withColumn("bad", (F.col("sequence") <= before).cast("long"))
-    return checked.groupBy("batch_id").agg(F.sum("bad").alias("unordered"), F.max("sequence").alias("upper"), (F.max("scanned") < F.greatest(F.max("sequence"), F.max("checkpoint"))).alias("scan_behind"))
+    return checked.groupBy("batch_id").agg(
+        F.sum("bad").alias("unordered"),
+        F.max("sequence").alias("upper"),
+        (F.max("scanned") < F.greatest(F.max("sequence"), F.max("checkpoint"))).alias("scan_behind"),
+    )
 
 
 def fresh_deliveries(delivered: DataFrame) -> DataFrame:
     """delivered: delivery, stream_id, version. Without redeliveries: versions at or below what was applied before."""
     order = W.partitionBy("stream_id").orderBy("delivery").rowsBetween(W.unboundedPreceding, -1)
-    return delivered.withColumn("applied", F.coalesce(F.max("version").over(order), F.lit(0).cast("long"))).where("version > applied").drop("applied")
+    return delivered.withColumn(
+        "applied",
+        F.coalesce(F.max("version").over(order), F.lit(0).cast("long")),
+    ).where("version > applied").drop("applied")
 
 
 def lease_held(renewed: Column, acquired: Column, now: Column, ttl_ms: Column, grace: Column, max_grace: Column) -> Column:

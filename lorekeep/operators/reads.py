@@ -26,7 +26,9 @@ def selected(log: DataFrame, query: Query, sequence: int = 0) -> DataFrame:
 
 def scan_window(log: DataFrame, sequence: int, scan_limit: int) -> DataFrame:
     """One row: bound, the last sequence that a scan of scan_limit rows (one at least) looks at; null if there are none."""
-    return log.select("sequence").where(F.col("sequence") > position(sequence)).orderBy("sequence").limit(max(1, scan_limit)).agg(F.max("sequence").alias("bound"))
+    return log.select("sequence").where(
+        F.col("sequence") > position(sequence)
+    ).orderBy("sequence").limit(max(1, scan_limit)).agg(F.max("sequence").alias("bound"))
 
 
 def filtered(log: DataFrame, where: EventFilter, sequence: int, limit: int, scan_limit: int = 4096) -> DataFrame:
@@ -34,14 +36,21 @@ def filtered(log: DataFrame, where: EventFilter, sequence: int, limit: int, scan
     if where.is_all():
         return after(log, sequence, max(0, min(limit, max(1, scan_limit))))
     bound = F.broadcast(scan_window(log, sequence, scan_limit))  # one row
-    looked = log.where((F.col("sequence") > position(sequence)) & where.column()).join(bound, F.col("sequence") <= F.col("bound")).drop("bound")
+    looked = log.where(
+        (F.col("sequence") > position(sequence)) & where.column()
+    ).join(bound, F.col("sequence") <= F.col("bound")).drop("bound")
     return looked.orderBy("sequence").limit(limit)
 
 
 def filtered_progress(log: DataFrame, where: EventFilter, sequence: int, limit: int, scan_limit: int = 4096) -> DataFrame:
-    """One row: n_events, upper (last match), scanned: how far the read has come - the last match if limit was reached, else the whole window."""
+    """One row: n_events, upper (last match), scanned: how far the read has come - the last match if limit was
+    reached, else the whole window.
+    """
     found = filtered(log, where, sequence, limit, scan_limit).agg(F.count(F.lit(1)).alias("n_events"), F.max("sequence").alias("upper"))
-    scanned = F.when((F.col("n_events") >= limit) & (F.lit(limit) > 0), F.col("upper")).otherwise(F.coalesce("bound", F.lit(position(sequence)))).alias("scanned")
+    scanned = F.when(
+        (F.col("n_events") >= limit) & (F.lit(limit) > 0),
+        F.col("upper"),
+    ).otherwise(F.coalesce("bound", F.lit(position(sequence)))).alias("scanned")
     return found.join(F.broadcast(scan_window(log, sequence, scan_limit))).select("n_events", "upper", scanned)
 
 
@@ -65,8 +74,17 @@ def versioned(log: DataFrame, ladder: BuiltLadder) -> DataFrame:
     return mapped(log, ladder.column(F.col("event_type"), F.col("schema_version"), F.col("payload")))
 
 
-def polled(log: DataFrame, sequence: int, limit: int, where: EventFilter | None = None, upcast: Chain | BuiltLadder | None = None, scan_limit: int = 4096) -> tuple[DataFrame, int]:
-    """A source's poll: at most limit events past ``sequence``, filtered, then upcast; and how far it has looked, which is acknowledged even if no event matched."""
+def polled(
+    log: DataFrame,
+    sequence: int,
+    limit: int,
+    where: EventFilter | None = None,
+    upcast: Chain | BuiltLadder | None = None,
+    scan_limit: int = 4096,
+) -> tuple[DataFrame, int]:
+    """A source's poll: at most limit events past ``sequence``, filtered, then upcast; and how far it has looked,
+    which is acknowledged even if no event matched.
+    """
     where = where or EventFilter()
     progress = filtered_progress(log, where, sequence, limit, scan_limit).first()
     found = filtered(log, where, sequence, limit, scan_limit)

@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 
 def newest(rows: DataFrame, keys: list[str], by: str, values: list[str]) -> DataFrame:
     """Per key the row with the greatest ``by``."""
-    return rows.groupBy(*keys).agg(F.max(by).alias(by), F.max_by(F.struct(*values), by).alias("kept")).select(*keys, by, *[F.col(f"kept.{v}").alias(v) for v in values])
+    return rows.groupBy(*keys).agg(
+        F.max(by).alias(by),
+        F.max_by(F.struct(*values), by).alias("kept"),
+    ).select(*keys, by, *[F.col(f"kept.{v}").alias(v) for v in values])
 
 
 def upserted(stored: DataFrame, changes: DataFrame, keys: list[str], by: str, values: list[str]) -> DataFrame:
@@ -27,18 +30,31 @@ def upserted(stored: DataFrame, changes: DataFrame, keys: list[str], by: str, va
 def unapplied(log: DataFrame, views: DataFrame, key: Column) -> DataFrame:
     """Events that a view has yet to see: those with a key and past the key's stored sequence."""
     seen = views.select("view_id", F.col("version").alias("seen"))
-    return log.withColumn("view_id", key).where(F.col("view_id").isNotNull()).join(seen, "view_id", "left").where(F.col("sequence") > F.coalesce("seen", F.lit(0))).drop("seen")
+    return log.withColumn("view_id", key).where(F.col("view_id").isNotNull()).join(seen, "view_id", "left").where(
+        F.col("sequence") > F.coalesce("seen", F.lit(0))
+    ).drop("seen")
 
 
 def touched(log: DataFrame, keys: dict[str, Column], *by: str) -> DataFrame:
     """The view rows that events touch, by commit or whatever ``by`` names; one pass for all views."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("view_name"), k.cast("string").alias("view_id")) for n, k in keys.items()]), lambda x: x["view_id"].isNotNull())
+    pairs = F.filter(
+        F.array(*[F.struct(F.lit(n).alias("view_name"), k.cast("string").alias("view_id")) for n, k in keys.items()]),
+        lambda x: x["view_id"].isNotNull(),
+    )
     return log.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").distinct()
 
 
 def fanned_out(log: DataFrame, views: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Several sum views (key, amount) from one pass over the log."""
-    rows = F.array(*[F.struct(F.lit(n).alias("view_name"), k.cast("string").alias("view_id"), v.cast("long").alias("amount")) for n, (k, v) in views.items()])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("view_name"),
+                k.cast("string").alias("view_id"),
+                v.cast("long").alias("amount"),
+            ) for n, (k, v) in views.items()
+        ]
+    )
     every = log.select("sequence", F.explode(F.filter(rows, lambda x: x["view_id"].isNotNull())).alias("p"))
     return every.groupBy("p.view_name", "p.view_id").agg(F.max("sequence").alias("version"), F.sum("p.amount").alias("value"))
 
@@ -74,9 +90,13 @@ class View:
         return T._parse_datatype_string(f"view_id string, version long, value {self.kind}")
 
     def changed(self, events: DataFrame, stored: DataFrame) -> DataFrame:
-        """The rows that unseen events touch, folded on from what is stored: view_id, version, value (null: gone). Stored rows and events meet once, by key."""
+        """The rows that unseen events touch, folded on from what is stored: view_id, version, value (null:
+        gone). Stored rows and events meet once, by key.
+        """
         fields = [f for f in self.fields if f != "sequence"]
-        rows = unapplied(events, stored, self.key).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("sequence", *fields))).alias("es"))
+        rows = unapplied(events, stored, self.key).groupBy("view_id").agg(
+            F.array_sort(F.collect_list(F.struct("sequence", *fields))).alias("es")
+        )
         both = rows.join(stored.select("view_id", "value"), "view_id", "left")
         start, void = self.init.cast(self.kind), F.lit(None).cast(self.kind)
         step = lambda value, e: self.step(F.coalesce(value, start), e).cast(self.kind)

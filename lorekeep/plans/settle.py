@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. In local mode, where one machine is all there is, a folder of its own if none is named; on a cluster that is an error, as executors would not see the driver's files."""
+    """The folder named by spark.checkpoint.dir. In local mode, where one machine is all there is, a folder of
+    its own if none is named; on a cluster that is an error, as executors would not see the driver's files.
+    """
     out = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if out:
         return out

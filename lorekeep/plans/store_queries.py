@@ -32,10 +32,22 @@ def balance() -> views.View:
 def stored(spark: SparkSession, d: str, inline: tuple[views.View, ...] = ()) -> EventStore:
     """The users' events in a new store, in two commits."""
     store = EventStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    rows = logs.flat_log(spark, d).select(F.col("sequence").alias("ord"), "stream_id", "event_type", F.col("amount").cast("string").alias("payload"), "tags")
+    rows = logs.flat_log(spark, d).select(
+        F.col("sequence").alias("ord"),
+        "stream_id",
+        "event_type",
+        F.col("amount").cast("string").alias("payload"),
+        "tags",
+    )
     for odd in (1, 0):
         part = complete(rows.where(F.col("ord") % 2 == odd))
-        asks = settled(part.select("stream_id").distinct().select("stream_id", F.lit("any").alias("expected_kind"), F.lit(0).cast("long").alias("expected_version")))
+        asks = settled(
+            part.select("stream_id").distinct().select(
+                "stream_id",
+                F.lit("any").alias("expected_kind"),
+                F.lit(0).cast("long").alias("expected_version"),
+            )
+        )
         store.append_batch(part, asks, inline=inline)
     return store
 
@@ -53,14 +65,18 @@ def inline_view(spark, d) -> DataFrame:
     return stored(spark, d, (view,)).table(view.table, view.schema)
 
 
-@query(STORED + " SELECT stream_id AS view_id, max(place) AS version, CAST(sum(amount) AS BIGINT) AS value FROM stored WHERE event_type <> 'error' GROUP BY 1")
+@query(
+    STORED + " SELECT stream_id AS view_id, max(place) AS version, CAST(sum(amount) AS BIGINT) AS value FROM stored WHERE event_type <> 'error' GROUP BY 1"
+)
 def projected_view(spark, d) -> DataFrame:
     """A projection to the head of the log; events that it rejects are parked."""
     store = projected(spark, d)
     return store.table("views", VIEWS).select("view_id", "version", "value")
 
 
-@query(STORED + " SELECT place AS sequence, stream_id, 'an error' AS error, CAST(2 AS BIGINT) AS attempts FROM stored WHERE event_type = 'error'")
+@query(
+    STORED + " SELECT place AS sequence, stream_id, 'an error' AS error, CAST(2 AS BIGINT) AS attempts FROM stored WHERE event_type = 'error'"
+)
 def parked_events(spark, d) -> DataFrame:
     """What a projection rejected as often as it may."""
     return projected(spark, d).table("parked", PARKED).select("sequence", "stream_id", "error", "attempts")
@@ -80,15 +96,31 @@ def keyed_commands(spark, d) -> DataFrame:
     """Of commands with the same key only the first is decided."""
     key = F.when(F.col("version") % 3 != 0, F.concat(F.lit("key-"), F.expr("version div 4").cast("string")))
     rows = logs.user_log(spark, d).where("event_type = 'click'")
-    asked = rows.select(F.col("version").alias("ord"), "stream_id", F.lit("click").alias("name"), F.lit("1").alias("payload"), key.alias("idempotency_key"))
-    none = spark.createDataFrame([], "stream_id string, version long, event_type string, payload string, metadata struct<idempotency_key:string>")
+    asked = rows.select(
+        F.col("version").alias("ord"),
+        "stream_id",
+        F.lit("click").alias("name"),
+        F.lit("1").alias("payload"),
+        key.alias("idempotency_key"),
+    )
+    none = spark.createDataFrame(
+        [],
+        "stream_id string, version long, event_type string, payload string, metadata struct<idempotency_key:string>",
+    )
     return executed(none, asked, account()).select("stream_id", "ord", "outcome")
 
 
-@query("""SELECT sequence, upper(event_type[1:1]) || event_type[2:] AS name, 'event_' || event_type AS snake, printf('%016x', sequence) AS position FROM user_log""")
+@query(
+    """SELECT sequence, upper(event_type[1:1]) || event_type[2:] AS name, 'event_' || event_type AS snake, printf('%016x', sequence) AS position FROM user_log"""
+)
 def names_as_text(spark, d) -> DataFrame:
     """An event's name out of its tagged payload, in snake case; positions whose text sorts as they do."""
     name = F.initcap("event_type")
     payload = F.concat(F.lit('{"'), name, F.lit('": {"amount": '), F.col("amount").cast("string"), F.lit("}}"))
     rows = logs.flat_log(spark, d).select("sequence", variant(payload).alias("name"))
-    return rows.select("sequence", "name", snake_case(F.concat(F.lit("Event"), F.col("name"))).alias("snake"), padded(F.col("sequence")).alias("position"))
+    return rows.select(
+        "sequence",
+        "name",
+        snake_case(F.concat(F.lit("Event"), F.col("name"))).alias("snake"),
+        padded(F.col("sequence")).alias("position"),
+    )

@@ -31,7 +31,12 @@ def account() -> Decider:
     return Decider(lambda: 0, apply, decide)
 
 
-@query(OUTCOMES.replace("\nSELECT l.stream_id, l.version, ", "\nSELECT l.stream_id, l.version AS ord, ").replace("r.state\nFROM", "CAST(r.state AS VARCHAR) AS state,\n  CASE WHEN event_type = 'purchase' AND coalesce(p.state, 0) < amount THEN 'not covered' END AS reason\nFROM") + "\nWHERE l.version > 10 OR l.user_id % 2 = 1")
+@query(
+    OUTCOMES.replace("\nSELECT l.stream_id, l.version, ", "\nSELECT l.stream_id, l.version AS ord, ").replace(
+        "r.state\nFROM",
+        "CAST(r.state AS VARCHAR) AS state,\n  CASE WHEN event_type = 'purchase' AND coalesce(p.state, 0) < amount THEN 'not covered' END AS reason\nFROM",
+    ) + "\nWHERE l.version > 10 OR l.user_id % 2 = 1"
+)
 def execute_commands(spark, d):
     """Half of the users have a log of ten events already; all other rows are commands, decided in order on top of it."""
     rows = logs.user_log(spark, d).withColumn("payload", F.col("amount").cast("string"))
@@ -55,7 +60,12 @@ def batch_boundary(spark, d):
     log = logs.flat_log(spark, d)
     states = log.groupBy("stream_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("amount")).otherwise(0)).alias("state"))
     name = lambda n: F.concat(F.lit("user-"), n.cast("string"))
-    asks = log.select("user_id").distinct().select(F.col("user_id").alias("ord"), name(F.col("user_id")).alias("source"), name((F.col("user_id") * 7 + 1) % 100).alias("target"), (1000 * (F.col("user_id") % 50)).alias("amount"))
+    asks = log.select("user_id").distinct().select(
+        F.col("user_id").alias("ord"),
+        name(F.col("user_id")).alias("source"),
+        name((F.col("user_id") * 7 + 1) % 100).alias("target"),
+        (1000 * (F.col("user_id") % 50)).alias("amount"),
+    )
     asks = boundaries.first_in_line(boundaries.lined_up(asks.withColumn("streams", F.array("source", "target"))))
 
     def decide(states, command):
@@ -64,7 +74,11 @@ def batch_boundary(spark, d):
         covered = F.coalesce(F.element_at(states, F.col("source")), F.lit(0)) >= F.col("amount")
         return F.when(covered, F.when(F.col("source") == F.col("target"), F.slice(both, 1, 0)).otherwise(both))
 
-    return boundaries.decided(asks, states, decide).select("ord", "outcome", F.when(F.col("outcome") == "committed", F.size("events")).otherwise(0).alias("n_events"))
+    return boundaries.decided(asks, states, decide).select(
+        "ord",
+        "outcome",
+        F.when(F.col("outcome") == "committed", F.size("events")).otherwise(0).alias("n_events"),
+    )
 
 
 @query(""", top AS (SELECT max(sequence) AS n FROM user_log),
@@ -78,7 +92,12 @@ def boundary_folds(spark, d):
     """Every decision's fold over a tag's events up to its own position: clicks since the last signup."""
     log = logs.flat_log(spark, d)
     top = log.agg(F.max("sequence")).first()[0] or 1
-    asked = log.select("user_id").distinct().select(F.col("user_id").alias("decision_id"), ((F.col("user_id") * 5303) % top).alias("after"), F.array(F.lit("click"), F.lit("signup")).alias("types"), tag("k", F.col("user_id") % 10).alias("tag"))
+    asked = log.select("user_id").distinct().select(
+        F.col("user_id").alias("decision_id"),
+        ((F.col("user_id") * 5303) % top).alias("after"),
+        F.array(F.lit("click"), F.lit("signup")).alias("types"),
+        tag("k", F.col("user_id") % 10).alias("tag"),
+    )
     step = lambda total, e: 0 if e[1] == "signup" else total + e[2]
     return boundaries.queried(asked, log, ["sequence", "event_type", "amount"], lambda: 0, step, "total long", lambda total: (total,))
 
@@ -90,7 +109,10 @@ def folded_view(spark, d):
     log = logs.flat_log(spark, d)
 
     def step(value, e):
-        changed = F.when(e["event_type"] == "click", value + e["amount"]).when(e["event_type"] == "purchase", value - e["amount"]).otherwise(value)
+        changed = F.when(e["event_type"] == "click", value + e["amount"]).when(
+            e["event_type"] == "purchase",
+            value - e["amount"],
+        ).otherwise(value)
         return F.when(e["event_type"] != "error", changed)
 
     view = views.View("ledger", F.col("stream_id"), "long", F.lit(0).cast("long"), step, ("event_type", "amount"))
@@ -103,7 +125,10 @@ def folded_view(spark, d):
 UNION ALL SELECT 'minimum', stream_id, max(sequence), CAST(count(*) AS BIGINT) FROM user_log WHERE amount >= 5000 GROUP BY 2""")
 def threshold_views(spark, d):
     own = F.col("stream_id")
-    only = {"deposits_only": (F.when(F.col("event_type") == "click", own), F.col("amount")), "minimum": (F.when(F.col("amount") >= 5000, own), F.lit(1))}
+    only = {
+        "deposits_only": (F.when(F.col("event_type") == "click", own), F.col("amount")),
+        "minimum": (F.when(F.col("amount") >= 5000, own), F.lit(1)),
+    }
     return views.fanned_out(logs.flat_log(spark, d), only)
 
 
@@ -112,17 +137,40 @@ def snapshot_delta_streamed(spark, d):
     """snapshot_delta_fold for streams of any length."""
     log = logs.user_log(spark, d)
     newest = views.newest(folds.history(log, F.col("amount")).where("version % 10 = 0"), ["stream_id"], "version", ["state"])
-    return folds.streamed_on(log, newest, ["amount"], lambda state: state or 0, lambda total, e: total + e[1], "state long, version long", lambda acc: acc)
-
-
-@query("SELECT sequence, CAST(amount AS VARCHAR) AS cents FROM user_log WHERE sequence % 4 < 3 AND (starts_with(stream_id, 'user-1') OR starts_with(stream_id, 'user-2')) AND sequence > 100 AND sequence <= (SELECT max(sequence) FROM (SELECT sequence FROM user_log WHERE sequence > 100 AND sequence % 4 < 3 ORDER BY sequence LIMIT 4096)) ORDER BY sequence LIMIT 64")
+    return folds.streamed_on(
+        log,
+        newest,
+        ["amount"],
+        lambda state: state or 0,
+        lambda total, e: total + e[1],
+        "state long, version long",
+        lambda acc: acc,
+    )
+
+
+@query(
+    "SELECT sequence, CAST(amount AS VARCHAR) AS cents FROM user_log WHERE sequence % 4 < 3 AND (starts_with(stream_id, 'user-1') OR starts_with(stream_id, 'user-2')) AND sequence > 100 AND sequence <= (SELECT max(sequence) FROM (SELECT sequence FROM user_log WHERE sequence > 100 AND sequence % 4 < 3 ORDER BY sequence LIMIT 4096)) ORDER BY sequence LIMIT 64"
+)
 def polled_versioned_source(spark, d):
     """A poll through filter and ladder: the payload is today's, the positions are the log's."""
     rows, _ = reads.polled(raw(spark, d).where("schema_version <= 3"), 100, 64, EventFilter(("user-1", "user-2")), amounts())
     return rows.select("sequence", F.get_json_object("payload", "$.cents").alias("cents"))
 
 
-@query(fold_sql("CASE WHEN event_type = 'click' THEN greatest({b}, amount) WHEN event_type = 'signup' THEN 0 ELSE {b} END") + "\nSELECT stream_id, max_by(state, n) AS best FROM r GROUP BY stream_id")
+@query(
+    fold_sql(
+        "CASE WHEN event_type = 'click' THEN greatest({b}, amount) WHEN event_type = 'signup' THEN 0 ELSE {b} END"
+    ) + "\nSELECT stream_id, max_by(state, n) AS best FROM r GROUP BY stream_id"
+)
 def fold_streamed_reset(spark, d):
     step = lambda best, e: 0 if e[1] == "signup" else max(best, e[2]) if e[1] == "click" else best
-    return folds.streamed(logs.user_log(spark, d), "stream_id", "version", ["event_type", "amount"], lambda: 0, step, "best long", lambda best: (best,))
+    return folds.streamed(
+        logs.user_log(spark, d),
+        "stream_id",
+        "version",
+        ["event_type", "amount"],
+        lambda: 0,
+        step,
+        "best long",
+        lambda best: (best,),
+    )

@@ -46,7 +46,9 @@ class Repository:
         return self.store.table(self._table, SNAPSHOTS)
 
     def execute(self, asked: DataFrame) -> DataFrame:
-        """asked: ord, stream_id, name, payload, and idempotency_key and metadata if there are any. Per command: stream_id, ord, outcome, reason, expected_version, committed_version, state, events."""
+        """asked: ord, stream_id, name, payload, and idempotency_key and metadata if there are any. Per command:
+        stream_id, ord, outcome, reason, expected_version, committed_version, state, events.
+        """
         asked = settled(self.stamp(asked) if self.stamp else asked)
         metrics = self.store.metrics
         with metrics.timed("commands.execute"):
@@ -80,9 +82,14 @@ class Repository:
 
     def _offer(self, done: DataFrame) -> None:
         """Snapshots where they are due, by the streams' states after the call; a failure here fails no command."""
-        last = done.where(F.col("committed_version").isNotNull()).groupBy("stream_id").agg(F.max("committed_version").alias("version"), F.max_by("state", "ord").alias("state"))
+        last = done.where(F.col("committed_version").isNotNull()).groupBy("stream_id").agg(
+            F.max("committed_version").alias("version"),
+            F.max_by("state", "ord").alias("state"),
+        )
         known = self.snapshot_rows().select("stream_id", F.col("version").alias("base"))
-        due = last.join(known, "stream_id", "left").where(self.snapshots.is_due(F.col("version"), F.coalesce("base", F.lit(0)))).select("stream_id", "version", "state")
+        due = last.join(known, "stream_id", "left").where(
+            self.snapshots.is_due(F.col("version"), F.coalesce("base", F.lit(0)))
+        ).select("stream_id", "version", "state")
         try:
             due = settled(due)
             if due.limit(1).count():
@@ -105,7 +112,16 @@ class Repository:
             version, kind, payload = e
             return decider.apply(acc[0], {"event_type": kind, "payload": payload, "version": version}), version
 
-        return folds.streamed(log, "stream_id", "version", ["event_type", "payload"], lambda: (decider.init(), 0), step, "state string, version long", lambda acc: (json.dumps(acc[0]), acc[1]))
+        return folds.streamed(
+            log,
+            "stream_id",
+            "version",
+            ["event_type", "payload"],
+            lambda: (decider.init(), 0),
+            step,
+            "state string, version long",
+            lambda acc: (json.dumps(acc[0]), acc[1]),
+        )
 
     def execute_boundary(self, asked: DataFrame, decide) -> DataFrame:
         """Commands over several streams each: asked has ord, streams (array<string>) and further fields; decide(states, command) -> array<struct<stream_id, event_type, payload>>, null for a rejection. states: map<stream_id, state JSON>.
@@ -122,7 +138,11 @@ class Repository:
                 done = settled(boundaries.decided(now, states, decide))
                 rows = boundaries.appends(done)
                 heads = names.join(states.select("stream_id", "version"), "stream_id", "left")
-                asks = heads.join(rows.select("stream_id").distinct(), "stream_id").select("stream_id", F.when(F.col("version").isNull(), "empty").otherwise("exact").alias("expected_kind"), F.coalesce("version", F.lit(0)).alias("expected_version"))
+                asks = heads.join(rows.select("stream_id").distinct(), "stream_id").select(
+                    "stream_id",
+                    F.when(F.col("version").isNull(), "empty").otherwise("exact").alias("expected_kind"),
+                    F.coalesce("version", F.lit(0)).alias("expected_version"),
+                )
                 try:
                     if rows.limit(1).count():
                         self.store.append_batch(settled(complete(rows)), settled(asks), inline=self.inline)
@@ -137,7 +157,11 @@ class Repository:
         return out
 
     def execute_query(self, query: Query, fold, decide, validate: Query | None = None, acknowledged: int = 0) -> int | None:
-        """One decision over whatever the query selects: fold(events) -> state, decide(state) -> DataFrame of events (as NEW_EVENT, with ord), or None. The append is refused, and all is read anew, if past max(read, acknowledged) an event came that ``validate`` (as a rule the query itself) selects. The commit's last sequence."""
+        """One decision over whatever the query selects: fold(events) -> state, decide(state) -> DataFrame of
+        events (as NEW_EVENT, with ord), or None. The append is refused, and all is read anew, if past
+        max(read, acknowledged) an event came that ``validate`` (as a rule the query itself) selects. The
+        commit's last sequence.
+        """
         for attempt in range(self.retries + 1):
             at = self.store.manifest()
             events = boundaries.checked(self.store.log(at).where(query.column()), query)
@@ -145,7 +169,11 @@ class Repository:
             new = decide(fold(events))
             if new is None:
                 return None
-            asks = new.select("stream_id").distinct().select("stream_id", F.lit("any").alias("expected_kind"), F.lit(0).cast("long").alias("expected_version"))
+            asks = new.select("stream_id").distinct().select(
+                "stream_id",
+                F.lit("any").alias("expected_kind"),
+                F.lit(0).cast("long").alias("expected_version"),
+            )
             try:
                 return self.store.append_if(new, asks, validate or query, max(read, acknowledged)).last_sequence
             except QueryConflict:
@@ -156,7 +184,9 @@ class Repository:
 
 
 def new_events(committed: DataFrame, asked: DataFrame) -> DataFrame:
-    """The events of committed commands as they are appended: by stream, in the order of their commands; a command's key and metadata go to each of its events."""
+    """The events of committed commands as they are appended: by stream, in the order of their commands; a
+    command's key and metadata go to each of its events.
+    """
     given = ["ord", "stream_id", *[c for c in ("idempotency_key", "metadata") if c in asked.columns]]
     rows = committed.select("stream_id", "ord", F.posexplode("events").alias("place", "e")).join(asked.select(*given), ["stream_id", "ord"])
     own = F.col("metadata") if "metadata" in given else F.lit(None).cast(METADATA)
@@ -169,4 +199,7 @@ def new_events(committed: DataFrame, asked: DataFrame) -> DataFrame:
 def complete(rows: DataFrame) -> DataFrame:
     """rows with the columns of NEW_EVENT that they lack."""
     defaults = {"schema_version": F.lit(1), "tags": F.array().cast("array<string>"), "metadata": F.lit(None), "payload": F.lit(None)}
-    return rows.select("ord", *[(F.col(f.name) if f.name in rows.columns else defaults[f.name]).cast(f.dataType).alias(f.name) for f in NEW_EVENT.fields])
+    return rows.select(
+        "ord",
+        *[(F.col(f.name) if f.name in rows.columns else defaults[f.name]).cast(f.dataType).alias(f.name) for f in NEW_EVENT.fields],
+    )

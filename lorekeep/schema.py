@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 MAX_POSITION = (1 << 63) - 1
 START, EMPTY = 0, 0
 
-METADATA = T.StructType([T.StructField(x, T.StringType()) for x in ("causation_id", "correlation_id", "idempotency_key")] + [T.StructField("timestamp", T.TimestampNTZType())])
+METADATA = T.StructType(
+    [
+        T.StructField(x, T.StringType()) for x in ("causation_id", "correlation_id", "idempotency_key")
+    ] + [T.StructField("timestamp", T.TimestampNTZType())]
+)
 
 LOG = T.StructType(
     [

@@ -35,7 +35,14 @@ class ShreddingStore:
     def append(self, stream_id: str, events: DataFrame, kind: str = "any", expected: int = 0) -> Manifest:
         return self.store.append(stream_id, self._sealed(events, "ord"), kind, expected)
 
-    def append_batch(self, events: DataFrame, asks: DataFrame, query: Query | None = None, after: int = 0, inline: tuple[View, ...] = ()) -> Manifest:
+    def append_batch(
+        self,
+        events: DataFrame,
+        asks: DataFrame,
+        query: Query | None = None,
+        after: int = 0,
+        inline: tuple[View, ...] = (),
+    ) -> Manifest:
         return self.store.append_batch(self._sealed(events, "ord"), asks, query, after, inline)
 
     def append_if(self, events: DataFrame, asks: DataFrame, query: Query, after: int) -> Manifest:
@@ -51,7 +58,9 @@ class ShreddingStore:
         return self.store.manifest(commit)
 
     def upsert(self, name: str, schema: T.StructType, rows: DataFrame, keys: list[str], by: str, column: str | None = None) -> Manifest:
-        """As the store's; ``column`` holds JSON that is sealed, a snapshot's state or a view's value. Rows are named by the first of their keys."""
+        """As the store's; ``column`` holds JSON that is sealed, a snapshot's state or a view's value. Rows are
+        named by the first of their keys.
+        """
         return self.store.upsert(name, schema, self._sealed(rows, keys[0], column) if column else rows, keys, by)
 
     def table(self, name: str, schema: T.StructType, key: str, column: str, at: Manifest | None = None) -> DataFrame:

@@ -49,7 +49,9 @@ class Manifest:
 
 
 class CommitSignal:
-    """Tells waiters in this process that events were committed. Signals coalesce and are never lost: a waiter says which commit it has seen."""
+    """Tells waiters in this process that events were committed. Signals coalesce and are never lost: a waiter
+    says which commit it has seen.
+    """
 
     def __init__(self) -> None:
         self._changed, self.last = threading.Condition(), 0
@@ -105,7 +107,11 @@ class EventStore:
             return False
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         try:  # FileContext's rename doesn't overwrite
-            context.rename(temporary, target, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            context.rename(
+                temporary,
+                target,
+                self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0),
+            )
         except Exception as error:
             if "FileAlreadyExists" not in str(error):
                 raise
@@ -114,7 +120,9 @@ class EventStore:
         return True
 
     def transact(self, prepare) -> Manifest:
-        """prepare(manifest) -> the next manifest, or None for nothing to do; again from the newest manifest when another writer was faster."""
+        """prepare(manifest) -> the next manifest, or None for nothing to do; again from the newest manifest when
+        another writer was faster.
+        """
         for _ in range(self.retries + 1):
             now = self.manifest()
             new = prepare(now)
@@ -142,7 +150,9 @@ class EventStore:
 
     def table(self, name: str, schema: T.StructType, at: Manifest | None = None) -> DataFrame:
         m = at or self.manifest()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{m.tables[name]}") if name in m.tables else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(
+            f"{self.path}/{m.tables[name]}"
+        ) if name in m.tables else self.spark.createDataFrame([], schema)
 
     def lifecycle(self, at: Manifest | None = None) -> DataFrame:
         return self.table("lifecycle", LIFECYCLE, at)
@@ -155,7 +165,9 @@ class EventStore:
         return self.log(m).where((F.col("stream_id") == stream_id) & (F.col("version") > after)).orderBy("version")
 
     def heads(self, streams: DataFrame, at: Manifest) -> DataFrame:
-        """Heads of the named streams only: a semi-join before the aggregate. The names of a few streams also reach the scan, which passes over row groups without them."""
+        """Heads of the named streams only: a semi-join before the aggregate. The names of a few streams also
+        reach the scan, which passes over row groups without them.
+        """
         named = streams.select("stream_id").distinct()
         few = [r[0] for r in named.limit(FEW_STREAMS + 1).collect()]
         log = self.log(at).select("stream_id", "version")
@@ -163,17 +175,38 @@ class EventStore:
         own = log.join(named, "stream_id", "left_semi").groupBy("stream_id").agg(F.max("version").alias("last"))
         recorded = self.lifecycle(at).select("stream_id", "head", "closed")
         every = named.join(own, "stream_id", "left").join(recorded, "stream_id", "left")
-        return every.select("stream_id", F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("head", F.lit(0))).cast("long").alias("head"), F.coalesce("closed", F.lit(False)).alias("closed"))
+        return every.select(
+            "stream_id",
+            F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("head", F.lit(0))).cast("long").alias("head"),
+            F.coalesce("closed", F.lit(False)).alias("closed"),
+        )
 
     # Appends
 
-    def append(self, stream_id: str, events: DataFrame, kind: str = guards.ANY, expected: int = 0, inline: tuple[View, ...] = ()) -> Manifest:
+    def append(
+        self,
+        stream_id: str,
+        events: DataFrame,
+        kind: str = guards.ANY,
+        expected: int = 0,
+        inline: tuple[View, ...] = (),
+    ) -> Manifest:
         """events: the columns of NEW_EVENT but stream_id, and ord, their order. An empty append still checks."""
         ask = self.spark.createDataFrame([(stream_id, kind, expected)], "stream_id string, expected_kind string, expected_version long")
         return self.append_batch(events.withColumn("stream_id", F.lit(stream_id)), ask, inline=inline)
 
-    def append_batch(self, events: DataFrame, asks: DataFrame, query: Query | None = None, after: int = 0, inline: tuple[View, ...] = ()) -> Manifest:
-        """All streams or none. asks: stream_id, expected_kind, expected_version, a row for each stream of the events. With a query: refused if an event past ``after`` matches it. The rows of inline views that the events touch are folded and committed with them; if that fails nothing is appended."""
+    def append_batch(
+        self,
+        events: DataFrame,
+        asks: DataFrame,
+        query: Query | None = None,
+        after: int = 0,
+        inline: tuple[View, ...] = (),
+    ) -> Manifest:
+        """All streams or none. asks: stream_id, expected_kind, expected_version, a row for each stream of the
+        events. With a query: refused if an event past ``after`` matches it. The rows of inline views that the
+        events touch are folded and committed with them; if that fails nothing is appended.
+        """
         twice = asks.groupBy("stream_id").count().where("count > 1").first()
         if twice:
             raise DuplicateStream(twice.stream_id)
@@ -197,7 +230,14 @@ class EventStore:
             last = written.agg(F.max("sequence")).first()[0]
             if last is None:
                 return None
-            tables = dict(m.tables) | {view.table: self._write(view.table, view.schema, view.applied(written, self.table(view.table, view.schema, m)), m) for view in inline}
+            tables = dict(m.tables) | {
+                view.table: self._write(
+                    view.table,
+                    view.schema,
+                    view.applied(written, self.table(view.table, view.schema, m)),
+                    m,
+                ) for view in inline
+            }
             return Manifest(0, last, [*m.events, name], tables)
 
         return self.transact(prepare)
@@ -220,7 +260,12 @@ class EventStore:
         """Replaces a side table by change(table, manifest)."""
 
         def prepare(m: Manifest) -> Manifest:
-            return Manifest(0, m.last_sequence, list(m.events), {**m.tables, name: self._write(name, schema, change(self.table(name, schema, m), m), m)})
+            return Manifest(
+                0,
+                m.last_sequence,
+                list(m.events),
+                {**m.tables, name: self._write(name, schema, change(self.table(name, schema, m), m), m)},
+            )
 
         return self.transact(prepare)
 
@@ -230,7 +275,9 @@ class EventStore:
         return target
 
     def compact(self) -> Manifest:
-        """The log's events in one folder instead of one for each commit, without versions that were cut; positions stay. Older manifests keep naming the old folders."""
+        """The log's events in one folder instead of one for each commit, without versions that were cut;
+        positions stay. Older manifests keep naming the old folders.
+        """
 
         def prepare(m: Manifest) -> Manifest | None:
             if len(m.events) < 2:
@@ -247,8 +294,18 @@ class EventStore:
         def change(old: DataFrame, m: Manifest) -> DataFrame:
             named = F.col("stream_id") == stream_id
             mine = self.heads(one, m).drop("closed").join(old.where(named).select("stream_id", "closed", "first_kept"), "stream_id", "left")
-            mine = mine.select("stream_id", F.coalesce("closed", F.lit(False)).alias("was"), F.coalesce("first_kept", F.lit(1)).alias("kept_from"), "head")
-            new = mine.select("stream_id", (F.col("was") | closed).alias("closed"), F.greatest("kept_from", first_kept).alias("first_kept"), "head")
+            mine = mine.select(
+                "stream_id",
+                F.coalesce("closed", F.lit(False)).alias("was"),
+                F.coalesce("first_kept", F.lit(1)).alias("kept_from"),
+                "head",
+            )
+            new = mine.select(
+                "stream_id",
+                (F.col("was") | closed).alias("closed"),
+                F.greatest("kept_from", first_kept).alias("first_kept"),
+                "head",
+            )
             return old.where(~named).unionByName(new)
 
         return change

@@ -71,7 +71,9 @@ class Lease:
             if not won:
                 return old
             acquired = now if new else row.acquired
-            return old.where(F.col("name") != self.name).unionByName(self.store.spark.createDataFrame([(self.name, self.holder, now, acquired, now)], LEASES))
+            return old.where(F.col("name") != self.name).unionByName(
+                self.store.spark.createDataFrame([(self.name, self.holder, now, acquired, now)], LEASES)
+            )
 
         self.store.put("leases", LEASES, change)
         if won:
@@ -96,8 +98,13 @@ class ViewProjection:
             own = old.where(F.col("view_name") == self.name)
             fresh = views.unapplied(events, own, self.key)
             delta = fresh.groupBy("view_id").agg(F.max("sequence").alias("version"), F.sum(self.amount.cast("long")).alias("value"))
-            sums = own.select("view_id", "version", "value").unionByName(delta).groupBy("view_id").agg(F.max("version").alias("version"), F.sum("value").alias("value"))
-            return old.where(F.col("view_name") != self.name).unionByName(sums.select(F.lit(self.name).alias("view_name"), "view_id", "version", "value"))
+            sums = own.select("view_id", "version", "value").unionByName(delta).groupBy("view_id").agg(
+                F.max("version").alias("version"),
+                F.sum("value").alias("value"),
+            )
+            return old.where(F.col("view_name") != self.name).unionByName(
+                sums.select(F.lit(self.name).alias("view_name"), "view_id", "version", "value")
+            )
 
         self.store.put("views", VIEWS, change)
 
@@ -172,7 +179,9 @@ class Projector:
         return at
 
     def follow(self, stop: threading.Event) -> int:
-        """On and on until ``stop``; then what is under way is finished, and one closing read made. A commit in this process ends an idle sleep early, but no pause after a failure."""
+        """On and on until ``stop``; then what is under way is finished, and one closing read made. A commit in
+        this process ends an idle sleep early, but no pause after a failure.
+        """
         if self.lease and not self.lease.acquire():
             raise LeaseLost(self.lease.name)
         at, failed = self.checkpoint(), False
@@ -275,8 +284,18 @@ class Projector:
         raise EventRejected(sequence, reason)
 
     def park(self, bad: DataFrame, rejected: dict[int, tuple[str, int]]) -> None:
-        why = self.store.spark.createDataFrame([(s, reason, n) for s, (reason, n) in rejected.items()], "sequence long, error string, attempts long")
-        rows = bad.select("sequence", "stream_id").join(F.broadcast(why), "sequence").select(F.lit(self.name).alias("subscription"), "sequence", "stream_id", "error", "attempts", F.lit(now_ms()).alias("at"))
+        why = self.store.spark.createDataFrame(
+            [(s, reason, n) for s, (reason, n) in rejected.items()],
+            "sequence long, error string, attempts long",
+        )
+        rows = bad.select("sequence", "stream_id").join(F.broadcast(why), "sequence").select(
+            F.lit(self.name).alias("subscription"),
+            "sequence",
+            "stream_id",
+            "error",
+            "attempts",
+            F.lit(now_ms()).alias("at"),
+        )
         self.store.upsert("parked", PARKED, rows, ["subscription", "sequence"], "at")
         self.store.metrics.add("projector.events_parked", len(rejected))
 
@@ -285,11 +304,27 @@ class Projector:
         return self.store.table("parked", PARKED).where(F.col("subscription") == self.name).orderBy("sequence")
 
     def unpark(self, sequence: int) -> None:
-        self.store.put("parked", PARKED, lambda old, _: old.where(~((F.col("subscription") == self.name) & (F.col("sequence") == sequence))))
+        self.store.put(
+            "parked",
+            PARKED,
+            lambda old, _: old.where(~((F.col("subscription") == self.name) & (F.col("sequence") == sequence))),
+        )
 
     def rebuild(self, version: int, apply: Callable[[DataFrame], None]) -> Projector:
         """A run of the same projection from the log's start to its head under a checkpoint of its own; the old one's stays."""
-        new = Projector(self.store, self.name, apply, self.poison, self.retries, self.batch, version, self.lease, self.where, self.idle_ms, self.retry_ms)
+        new = Projector(
+            self.store,
+            self.name,
+            apply,
+            self.poison,
+            self.retries,
+            self.batch,
+            version,
+            self.lease,
+            self.where,
+            self.idle_ms,
+            self.retry_ms,
+        )
         new.run()
         return new
 
@@ -298,5 +333,8 @@ def stream_to(spark: SparkSession, path: str, checkpoint: str, apply: Callable[[
     """Structured Streaming over what a store has committed, to the head, then stop; Spark's offset log is the checkpoint."""
     spark.dataSource.register(LogSource)
     rows = spark.readStream.format("lorekeep").options(path=path, **options).load()
-    query = rows.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(lambda batch, _: apply(batch)).option(
+        "checkpointLocation",
+        checkpoint,
+    ).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -33,7 +33,15 @@ class Saga:
         rows = events.select("sequence", F.posexplode(self.react).alias("index", "c"))
         key = F.concat_ws(":", F.lit(self.name), F.col("sequence").cast("string"), F.col("index").cast("string"))
         order = F.shiftleft("sequence", 16) + F.col("index")
-        return rows.select(order.alias("ord"), "sequence", "index", F.col("c.target").alias("stream_id"), F.col("c.command").alias("name"), F.col("c.payload").alias("payload"), key.alias("idempotency_key"))
+        return rows.select(
+            order.alias("ord"),
+            "sequence",
+            "index",
+            F.col("c.target").alias("stream_id"),
+            F.col("c.command").alias("name"),
+            F.col("c.payload").alias("payload"),
+            key.alias("idempotency_key"),
+        )
 
     def apply(self, events: DataFrame) -> None:
         asked = settled(self.commands(events))

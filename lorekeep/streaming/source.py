@@ -93,9 +93,20 @@ class LogReader(DataSourceStreamReader):
     def _kept(self, rows: pa.Table, store: fs.FileSystem, folder: str) -> pa.Array:
         """Only the cuts of this file's streams are loaded."""
         named = pc.field("stream_id").isin(rows["stream_id"].unique()) & (pc.field("first_kept") > 1)
-        cuts = pa.concat_tables([pq.read_table(f, filesystem=store, filters=named).select(["stream_id", "first_kept"]) for f in files(store, folder) if f.endswith(".parquet")])
+        cuts = pa.concat_tables(
+            [
+                pq.read_table(
+                    f,
+                    filesystem=store,
+                    filters=named,
+                ).select(["stream_id", "first_kept"]) for f in files(store, folder) if f.endswith(".parquet")
+            ]
+        )
         first = dict(zip(cuts["stream_id"].to_pylist(), cuts["first_kept"].to_pylist(), strict=True))
-        return pa.array([v >= first.get(s, 1) for s, v in zip(rows["stream_id"].to_pylist(), rows["version"].to_pylist(), strict=True)], pa.bool_())
+        return pa.array(
+            [v >= first.get(s, 1) for s, v in zip(rows["stream_id"].to_pylist(), rows["version"].to_pylist(), strict=True)],
+            pa.bool_(),
+        )
 
 
 class LogSource(DataSource):

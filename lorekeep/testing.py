@@ -39,7 +39,10 @@ class ProjectionScenario:
 
     def when(self, *rows: tuple) -> ProjectionScenario:
         """rows: of the log; the view is applied to them. Rows that it has seen change nothing."""
-        self.stored = self.spark.createDataFrame(self.view.applied(self.spark.createDataFrame(list(rows), self.schema), self.stored).collect(), self.view.schema)
+        self.stored = self.spark.createDataFrame(
+            self.view.applied(self.spark.createDataFrame(list(rows), self.schema), self.stored).collect(),
+            self.view.schema,
+        )
         return self
 
     def then(self, *rows: tuple) -> ProjectionScenario:
