@@ -174,3 +174,13 @@ def fold_streamed_reset(spark, d):
         "best long",
         lambda best: (best,),
     )
+
+
+@query("""SELECT stream_id AS view_id, 'by_user' AS view_name, max(sequence) AS version, CAST(sum(amount) AS BIGINT) AS value FROM user_log GROUP BY 1 HAVING bool_or(event_type = 'purchase')
+UNION ALL SELECT CAST(k AS VARCHAR), 'by_k', max(sequence), CAST(count(*) AS BIGINT) FROM user_log WHERE k IS NOT NULL GROUP BY 1 HAVING bool_or(event_type = 'purchase')""")
+def fetched_views(spark, d):
+    """The rows of two views that purchases touch."""
+    log = logs.flat_log(spark, d)
+    keys = {"by_user": F.col("stream_id"), "by_k": F.col("k")}
+    every = views.fanned_out(log, {"by_user": (keys["by_user"], F.col("amount")), "by_k": (keys["by_k"], F.lit(1))})
+    return views.fetched(every, views.touched(log.where("event_type = 'purchase'"), keys))

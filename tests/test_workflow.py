@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import mediator
 from lorekeep.errors import EventRejected
 from lorekeep.operators import boundaries, commands
+from lorekeep.operators.commands import Rejection
 from lorekeep.operators.folds import SnapshotPolicy
 from lorekeep.operators.predicates import Query, QueryItem
 from lorekeep.operators.views import View
@@ -17,6 +20,7 @@ from lorekeep.sources.store import EventStore
 from lorekeep.streaming.projector import Projector
 from lorekeep.streaming.saga import Saga
 from lorekeep.testing import ProjectionScenario
+from lorekeep.vocabulary import Vocabulary
 
 ASKED = "ord long, stream_id string, name string, payload string, idempotency_key string"
 
@@ -160,3 +164,42 @@ def test_projection_scenario(spark):
     s.when((1, "a", "Put", 5), (2, "b", "Put", 1)).then(("a", 1, 5), ("b", 2, 1))
     s.when((1, "a", "Put", 5), (3, "a", "Put", 2)).then(("a", 3, 7), ("b", 2, 1))
     s.when((4, "b", "Closed", 0)).then(("a", 3, 7))
+
+
+def test_deciders_from_dataclasses(store, spark):
+    words = Vocabulary()
+
+    @words.event(tags=lambda e: [f"kind:{e.kind}"])
+    @dataclass
+    class PutIn:
+        amount: int
+        kind: str = "cash"
+
+    @words.command("put")
+    @dataclass
+    class Put:
+        amount: int
+
+    @dataclass
+    class Box:
+        total: int = 0
+
+        def on_put_in(self, event):
+            self.total += event.amount
+
+        def put(self, command):
+            return Rejection("full") if self.total + command.amount > 10 else [PutIn(command.amount)]
+
+    box = Repository(store, words.decider(Box))
+    asked = spark.createDataFrame([(k, "box-1", "put", f'{{"amount": {n}, "old": 1}}', None) for k, n in enumerate([4, 7, 6])], ASKED)
+    assert [(r.outcome, r.reason, r.state) for r in box.execute(asked).orderBy("ord").collect()] == [
+        ("committed", None, '{"total": 4}'),
+        ("rejected", "full", '{"total": 4}'),
+        ("committed", None, '{"total": 10}'),
+    ]
+    assert {(r.event_type, tuple(r.tags)) for r in store.log().collect()} == {("PutIn", ("kind:cash",))}
+    assert words.decoded("PutIn", words.encoded(PutIn(3))["payload"]) == PutIn(3)
+    with pytest.raises(LookupError):
+        words.decoded("Unknown", None)
+    with pytest.raises(ValueError):
+        words.event("put")(Box)
