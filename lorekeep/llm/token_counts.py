@@ -7,9 +7,10 @@ number of tokens they emit: reading one more byte changes the count of the
 prefix's tokens by the transition's annotation. It is compiled from the merges:
 the tokens of a prefix end in exactly one token t, the one whose left
 neighbour, the last token of the prefix without t, stays apart from t when the
-pair is merged on its own. So a state is what the last tokens of the longest
-vocabulary entry's length were; there are finitely many, and they are compiled
-when first reached. White space returns both machines to their start, hence a
+pair is merged on its own. A later token can only begin where the bytes read
+since then begin a vocabulary entry; so a state is the longest such suffix, with
+the last token and the count at each of its places. There are finitely many, and
+they are compiled when first reached. White space returns both machines to their start, hence a
 blank-delimited chunk's map is a constant and is kept with its count; the
 counts of a batch's chunks compose by a prefix sum.
 
@@ -101,7 +102,8 @@ class Transducer:
         self.ranks = {tuple(map(plain, pair)): k for k, pair in enumerate(spec["model"]["merges"])}
         tokens = {plain(t) for t in spec["model"]["vocab"] if t not in self.special}
         self.tokens = tokens
-        self.longest = max(len(t) for t in tokens)
+        #: What tokens begin with, short of the whole token.
+        self.beginnings = {t[:k] for t in tokens for k in range(1, len(t))}
         self._spines: dict[str, tuple[list, list] | None] = {}
         self.reset()
         self.counts = Chunks(self)
@@ -109,12 +111,16 @@ class Transducer:
     def reset(self) -> None:
         #: Of every state: its last token. State 0 is the start.
         self.last: list[str] = [""]
+        #: Of every state: how many of the bytes read begin a token, at most.
+        self.depth: list[int] = [0]
         #: state << 9 | byte (256 more if it ends the piece): the next state << 8 | tokens emitted + 128.
         self.moves: dict[int, int] = {}
         self.states: dict[tuple, int] = {}
 
     def spines(self, token: str) -> tuple[list, list] | None:
-        """The parts that stand at a token's left and at its right edge while its bytes are merged, each with the rank of the merge that ends it; None for tokens that merging never yields."""
+        """The parts that stand at a token's left and at its right edge while its bytes are merged, each with the
+        rank of the merge that ends it; None for tokens that merging never yields.
+        """
         if token in self._spines:
             return self._spines[token]
         ranks, none, never = self.ranks, 1 << 40, 1 << 41
@@ -136,7 +142,9 @@ class Transducer:
         return out
 
     def apart(self, a: str, b: str) -> bool:
-        """Whether two tokens stay apart as neighbours: no merge across the border comes before those that end its parts (the left of two equal ones comes first). A merge's rank is always above those of its parts."""
+        """Whether two tokens stay apart as neighbours: no merge across the border comes before those that end
+        its parts (the left of two equal ones comes first). A merge's rank is always above those of its parts.
+        """
         ranks = self.ranks
         for x, x_ends in self.spines(a)[1]:
             for y, y_ends in self.spines(b)[0]:
@@ -148,40 +156,62 @@ class Transducer:
     def step(self, word: str, n: int, path: list[int], ends: bool) -> tuple[str, int]:
         """The last token once word[:n] is read, and the place where it begins."""
         mark, tokens = END * ends, self.tokens
-        for start in range(max(0, n - self.longest), n):
+        for start in range(n - 1 - self.depth[path[-1]], n):
             token = word[start:n] + mark
             if token in tokens and self.spines(token) and (not start or self.apart(self.last[path[start]], token)):
                 return token, start
         raise ValueError(f"no token ends {word[:n]!r}")
 
-    def count(self, word: str) -> int:
-        """Tokens of a piece, given as one character a byte."""
-        path, totals, moves, state, total = [0], [0], self.moves, 0, 0
-        for n, byte in enumerate(word[:-1], 1):
-            move = moves.get(state << 9 | ord(byte))
+    def count(self, piece: bytes) -> int:
+        """Tokens of a piece."""
+        moves, state, total = self.moves, 0, 0
+        for byte in piece[:-1]:
+            move = moves.get(state << 9 | byte)
             if move is None:
-                move = moves[state << 9 | ord(byte)] = self.compiled(word, n, path, totals)
+                return self.compiled(piece.decode("latin-1"))
+            state = move >> 8
+            total += move & 255
+        move = moves.get(state << 9 | 256 | piece[-1])
+        if move is None:
+            return self.compiled(piece.decode("latin-1"))
+        return total + (move & 255) - 128 * len(piece)
+
+    def compiled(self, word: str) -> int:
+        """As count, for one character a byte; transitions that are missing are added on the way."""
+        path, totals, moves, state = [0], [0], self.moves, 0
+        for n in range(1, len(word)):
+            key = state << 9 | ord(word[n - 1])
+            move = moves.get(key)
+            if move is None:
+                token, start = self.step(word, n, path, False)
+                move = moves[key] = self.state(
+                    word,
+                    n,
+                    path,
+                    totals,
+                    token,
+                    totals[start] + 1,
+                ) << 8 | (totals[start] + 1 - totals[-1] + 128)
             state = move >> 8
-            total += (move & 255) - 128
             path.append(state)
-            totals.append(total)
+            totals.append(totals[-1] + (move & 255) - 128)
         key = state << 9 | 256 | ord(word[-1])
-        move = moves.get(key)
-        if move is None:
+        if key not in moves:
             _, start = self.step(word, len(word), path, True)
-            move = moves[key] = totals[start] + 1 - total + 128
-        return total + (move & 255) - 128
-
-    def compiled(self, word: str, n: int, path: list[int], totals: list[int]) -> int:
-        """The transition that reads word[n - 1]. States whose past agrees over the longest token's length are one."""
-        token, start = self.step(word, n, path, False)
-        low, state = n - self.longest, len(self.last)
-        if low > 0:
-            key = (word[low:n], token, tuple(self.last[s] for s in path[low:]), tuple(t - totals[-1] for t in totals[low:]))
-            state = self.states.setdefault(key, state)
-        if state == len(self.last):
+            moves[key] = totals[start] + 1 - totals[-1] + 128
+        return totals[-1] + (moves[key] & 255) - 128
+
+    def state(self, word: str, n: int, path: list[int], totals: list[int], token: str, total: int) -> int:
+        """The state after word[:n], whose last token is ``token`` and whose count is ``total``."""
+        low = n - 1 - self.depth[path[-1]]
+        while low < n and word[low:n] not in self.beginnings:
+            low += 1
+        key = (word[low:n], token, tuple(self.last[s] for s in path[low:]), tuple(t - total for t in totals[low:]))
+        found = self.states.setdefault(key, len(self.last))
+        if found == len(self.last):
             self.last.append(token)
-        return state << 8 | (totals[start] + 1 - totals[-1] + 128)
+            self.depth.append(n - low)
+        return found
 
     def compile(self, chunks: list[str]) -> None:
         """Adds the counts of chunks to the kept ones."""
@@ -199,7 +229,9 @@ class Transducer:
         breaks = np.zeros(len(joined), bool)
         breaks[stops] = True
         cuts, real = starts.tolist(), ~breaks[starts]
-        emitted = [self.count(joined[a:b].encode().decode("latin-1")) if use else 0 for a, b, use in zip(cuts, cuts[1:] + [len(joined)], real.tolist(), strict=True)]
+        emitted = [
+            self.count(joined[a:b].encode()) if use else 0 for a, b, use in zip(cuts, cuts[1:] + [len(joined)], real.tolist(), strict=True)
+        ]
         sums = np.concatenate([[0], np.cumsum(emitted)])
         return np.diff(sums[np.searchsorted(starts, np.concatenate([[0], stops + 1]))]).tolist()
 
@@ -264,7 +296,12 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) ->
         for rows, texts in common.slices(batches):
             counts = machine.count_texts(texts)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
+                [
+                    rows.column(0).cast(pa.int64()),
+                    pa.array([len(x.encode()) for x in texts], pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array([n > limit for n in counts]),
+                ],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
