@@ -197,11 +197,11 @@ def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
             for lang, text in zip(rows.column(0).to_pylist(), texts, strict=True):
                 by.setdefault(lang, []).extend(letters(text))
             for lang, words in by.items():
-                total = tables.setdefault(lang, np.zeros((2, ORDERS, size)))
+                total = tables.setdefault(lang, np.zeros((2, ORDERS, size), np.uint32))
                 if words:
                     for own, places in zip(total, grams(words)[:2], strict=True):
                         for k in range(ORDERS):
-                            own[k] += np.bincount(places[k], minlength=size)
+                            own[k] += np.bincount(places[k], minlength=size).astype(np.uint32)
         if tables:
             salts = pa.array([TaskContext.get().partitionId()] * len(tables), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +211,7 @@ def train(docs: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
 
     parts = chosen.mapInArrow(counted, "part string, salt int, counts binary")
     tables = sorted(
-        ((r[0], np.frombuffer(r[1], "<f8").reshape(2, ORDERS, size)) for r in common.summed_tables(parts, "<f8").collect()),
+        ((r[0], np.frombuffer(r[1], "<u4").reshape(2, ORDERS, size)) for r in common.summed_tables(parts, "<u4").collect()),
         key=lambda x: x[0],
     )
     if not tables:
