@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.folds import clustered
 from lorekeep.operators.predicates import Query
 
 
@@ -118,4 +119,4 @@ def queried(
             if made:
                 yield pa.RecordBatch.from_pylist(made)
 
-    return rows.repartition("group").sortWithinPartitions("group", "place", "phase").mapInArrow(run, kinds)
+    return clustered(rows, "group", "place", "phase").mapInArrow(run, kinds)

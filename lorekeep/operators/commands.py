@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.operators.folds import clustered
+
 COMMITTED, REJECTED, NOOP, ALREADY = "committed", "rejected", "noop", "already_committed"
 
 
@@ -187,7 +189,7 @@ def executed(log: DataFrame, commands: DataFrame, decider: Decider, snapshots: D
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in DECIDED.split(", ")])
 
-    return whole.repartition("stream_id").sortWithinPartitions("stream_id", "phase", "place").mapInArrow(run, DECIDED)
+    return clustered(whole, "stream_id", "phase", "place").mapInArrow(run, DECIDED)
 
 
 def conflicts(conditions: DataFrame, log: DataFrame) -> DataFrame:

@@ -55,6 +55,14 @@ def seeded(log: DataFrame, snapshots: DataFrame, fields: list[str], seed: Callab
     )
 
 
+def clustered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with each key's in one task, sorted by key and order. Dealt by the key's hash, not by the key: where rows
+    are dealt by key already, Spark drops a second dealing as redundant, and then may swap a join below for one
+    that leaves a key's rows in several tasks, as a Python step states no need of them in one.
+    """
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def streamed(
     log: DataFrame,
     key: str,
@@ -66,7 +74,7 @@ def streamed(
     result: Callable[[Any], tuple],
 ) -> DataFrame:
     """As folded, for streams of any length. schema: of the result's columns after the key."""
-    rows = log.select(key, order, *fields).repartition(F.col(key)).sortWithinPartitions(key, order)
+    rows = clustered(log.select(key, order, *fields), key, order)
     names = [f.name for f in log.sparkSession.createDataFrame([], schema).schema]
     kind = dict(log.dtypes)[key]
 
@@ -167,7 +175,7 @@ def scanned(
     schema: str,
 ) -> DataFrame:
     """As streamed, with a row for each event: step returns the new state and the row's columns after key and order."""
-    rows = log.select(key, order, *fields).repartition(F.col(key)).sortWithinPartitions(key, order)
+    rows = clustered(log.select(key, order, *fields), key, order)
     kinds = dict(log.dtypes)
     names = [key, order, *[f.name for f in log.sparkSession.createDataFrame([], schema).schema]]
 

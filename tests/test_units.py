@@ -155,3 +155,22 @@ def test_names_and_positions_as_text(spark):
     row = spark.createDataFrame([("OrderPlaced", "HTTPRequest2Done", 255, '{"Deposited": {"amount": 1}}', '"Closed"')], "a string, b string, n long, p string, q string")
     got = row.select(snake_case(F.col("a")), snake_case(F.col("b")), padded(F.col("n")), variant(F.col("p")), variant(F.col("q"))).first()
     assert tuple(got) == ("order_placed", "http_request2_done", "00000000000000ff", "Deposited", "Closed")
+
+
+def test_streamed_folds_keep_a_stream_in_one_task_when_a_join_becomes_a_broadcast(spark):
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 700, 1, 4).select(F.expr("concat('s-', id % 7) AS stream_id"), F.expr("id div 7 + 1 AS version"), F.expr("id AS amount"))
+        newest = views.newest(folds.history(rows, F.col("amount")).where("version % 10 = 0 AND version < 60"), ["stream_id"], "version", ["state"])
+        done = folds.streamed_on(rows, newest, ["amount"], lambda s: s or 0, lambda t, e: t + e[1], "state long, version long", lambda acc: acc)
+        assert sorted(tuple(r) for r in done.collect()) == [(f"s-{k}", sum(range(k, 700, 7)), 100) for k in range(7)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
