@@ -22,4 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def dropped(*rows: DataFrame) -> None:
+    """Deletes what ``settled`` wrote for these; nothing may read them any more."""
+    for df in rows:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,6 +19,7 @@ from lorekeep.errors import EventRejected, LeaseLost
 from lorekeep.operators import views
 from lorekeep.operators.predicates import EventFilter
 from lorekeep.operators.views import View, checkpoint_key
+from lorekeep.plans.settle import dropped, settled
 from lorekeep.schema import columns
 from lorekeep.sources.store import EventStore
 from lorekeep.streaming.source import LogSource
@@ -27,6 +28,7 @@ from lorekeep.streaming.source import LogSource
 VIEWS = columns("view_name string, view_id string, version long, value long")
 CHECKPOINTS = columns("name string, sequence long, at long")
 PARKED = columns("subscription string, sequence long, stream_id string, error string, attempts long, at long")
+REJECTED = columns("sequence long, stream_id string, error string")
 LEASES = columns("name string, holder string, renewed long, acquired long, at long")
 
 
@@ -130,7 +132,8 @@ class Projector:
     where: only matching events are applied; the checkpoint still moves past
     the others. An event is rejected if ``poison`` (an error's text, null for
     good events) says so, or if ``apply`` raises; the events that make it raise
-    are found by halving the batch. Rejected events are tried again after
+    are found by halving the batch. What ``poison`` rejects stays in tables, so it may
+    be any share of a batch. Rejected events are tried again after
     ``retry_ms``. Halt (retries None) stops at the first rejected event, nothing
     past it acknowledged; with retries, those rejected more often than that, one
     time after another, are parked, and the rest goes on.
@@ -220,44 +223,80 @@ class Projector:
             window = self.store.log(manifest).where(F.col("sequence") > at)
             if not self.where.is_all():
                 window = window.where(self.where.column())
-            bound = window.select("sequence").orderBy("sequence").limit(self._size).agg(F.max("sequence"), F.count(F.lit(1))).first()
-            full = bound[1] == self._size
-            upto = bound[0] if full else manifest.last_sequence
+            upto, n, full = self._bound(window, at, manifest.last_sequence)
             events = window.where(F.col("sequence") <= upto)
-            rejected = self._try(events, at, upto) if bound[1] else {}
-            for attempt in range(2, (self.retries or 0) + 2):
-                if not rejected:
-                    break
-                time.sleep(self.retry_ms / 1000)
-                again = events.where(F.col("sequence").isin(list(rejected)))
-                rejected = {s: (reason, attempt) for s, (reason, _) in self._try(again, at, upto).items()}
-            if rejected:
-                self.park(events.where(F.col("sequence").isin(list(rejected))), rejected)
-            metrics.add("projector.events_applied", bound[1] - len(rejected))
-            self._size = min(self._size * 4, max(self.largest, self.batch)) if full and not rejected else self.batch
+            made: list[DataFrame] = []
+            try:
+                rejected, bad, raised = self._try(events, n, at, made)
+                for _ in range(self.retries or 0):
+                    if not bad:
+                        break
+                    time.sleep(self.retry_ms / 1000)
+                    again = events.join(rejected.select("sequence"), "sequence", "left_semi")
+                    rejected, bad, more = self._try(again, bad, at, made)
+                    raised = raised or more
+                if bad:
+                    self.park(rejected, bad)
+            finally:
+                dropped(*made)
+            metrics.add("projector.events_applied", n - bad)
+            self._size = min(self._size * 4, max(self.largest, self.batch)) if full and not bad else self.batch
             self.acknowledge(upto)
         return upto
 
-    def _try(self, events: DataFrame, at: int, upto: int) -> dict[int, tuple[str, int]]:
-        """Applies what can be applied; the rejected events, at most a batch of them, with their reasons."""
-        rejected: dict[int, tuple[str, int]] = {}
+    def _bound(self, window: DataFrame, at: int, last: int) -> tuple[int, int, bool]:
+        """The next batch's last sequence, its number of events, and whether there is more past it."""
+        if not self.where.is_all():
+            ends = window.select("sequence").orderBy("sequence").limit(self._size).agg(F.max("sequence"), F.count(F.lit(1))).first()
+            full = ends[1] == self._size
+            return ends[0] if full else last, ends[1], full
+        upto = min(at + self._size, last)  # positions are distinct: no more events than that, and none to sort
+        n = window.where(F.col("sequence") <= upto).count()
+        if not n and upto < last:  # all of them cut: on to the next one that is kept
+            least = window.agg(F.min("sequence")).first()[0]
+            upto = last if least is None else least - 1
+        return upto, n, upto < last
+
+    def _try(self, events: DataFrame, n: int, at: int, made: list[DataFrame]) -> tuple[DataFrame | None, int, bool]:
+        """Applies what can be applied of n events; those rejected (columns of REJECTED), how many, and whether
+        ``apply`` raised. ``made`` gets the rows that are settled for it.
+        """
+        rejected, bad = None, 0
+        if not n:
+            return rejected, bad, False
+        tried = events
         if self.poison is not None:
-            bad = events.where(self.poison.isNotNull()).select("sequence", self.poison.alias("error")).orderBy("sequence").collect()
-            rejected = {r.sequence: (r.error, 1) for r in bad}
-            if bad and self.retries is None:
-                self._halt(events, at, bad[0].sequence, bad[0].error)
+            judged = events.select("sequence", "stream_id", self.poison.alias("error")).where("error IS NOT NULL")
+            if self.retries is None:
+                first = judged.orderBy("sequence").first()
+                if first:
+                    self._halt(events, at, first.sequence, first.error)
+            else:
+                rejected, bad = self._kept(judged, made)
             events = events.where(self.poison.isNull())
-        try:
-            self.apply(events)
-        except LeaseLost:
-            raise
-        except Exception as error:
-            numbers = sorted(r.sequence for r in events.select("sequence").collect())
-            self._narrow(events, numbers, error, rejected, at)
-        self.store.metrics.add("projector.rejections", len(rejected))
-        return rejected
-
-    def _narrow(self, events: DataFrame, numbers: list[int], error: Exception, rejected: dict, at: int) -> None:
+        raised: dict[int, str] = {}
+        if bad < n:
+            try:
+                self.apply(events)
+            except LeaseLost:
+                raise
+            except Exception as error:
+                numbers = sorted(r.sequence for r in events.select("sequence").collect())
+                self._narrow(events, numbers, error, raised, at)
+        if raised:
+            why = self.store.spark.createDataFrame(list(raised.items()), "sequence long, error string")
+            thrown = tried.select("sequence", "stream_id").join(F.broadcast(why), "sequence")
+            rejected, bad = self._kept(thrown.unionByName(rejected) if bad else thrown, made)
+        self.store.metrics.add("projector.rejections", bad)
+        return rejected, bad, bool(raised)
+
+    @staticmethod
+    def _kept(rows: DataFrame, made: list[DataFrame]) -> tuple[DataFrame, int]:
+        out = settled(rows.select(*[F.col(f.name).cast(f.dataType) for f in REJECTED.fields]))
+        made.append(out)
+        return out, out.count()
+
+    def _narrow(self, events: DataFrame, numbers: list[int], error: Exception, rejected: dict[int, str], at: int) -> None:
         if isinstance(error, EventRejected) and error.sequence in numbers:
             cut = numbers.index(error.sequence)
             parts = [numbers[:cut], numbers[cut : cut + 1], numbers[cut + 1 :]]
@@ -267,7 +306,7 @@ class Projector:
             if part == numbers or isinstance(error, EventRejected) and part == [error.sequence]:
                 if self.retries is None:
                     self._halt(events, at, part[0] if part else at + 1, str(error), applied=True)
-                rejected[part[0]] = (str(error), 1)
+                rejected[part[0]] = str(error)
             elif part:
                 try:
                     self.apply(events.where(F.col("sequence").between(part[0], part[-1])))
@@ -283,21 +322,18 @@ class Projector:
             self.acknowledge(sequence - 1)
         raise EventRejected(sequence, reason)
 
-    def park(self, bad: DataFrame, rejected: dict[int, tuple[str, int]]) -> None:
-        why = self.store.spark.createDataFrame(
-            [(s, reason, n) for s, (reason, n) in rejected.items()],
-            "sequence long, error string, attempts long",
-        )
-        rows = bad.select("sequence", "stream_id").join(F.broadcast(why), "sequence").select(
+    def park(self, rejected: DataFrame, n: int) -> None:
+        """rejected: n rows of REJECTED, each tried as often as it may be."""
+        rows = rejected.select(
             F.lit(self.name).alias("subscription"),
             "sequence",
             "stream_id",
             "error",
-            "attempts",
+            F.lit((self.retries or 0) + 1).cast("long").alias("attempts"),
             F.lit(now_ms()).alias("at"),
         )
         self.store.upsert("parked", PARKED, rows, ["subscription", "sequence"], "at")
-        self.store.metrics.add("projector.events_parked", len(rejected))
+        self.store.metrics.add("projector.events_parked", n)
 
     def parked(self) -> DataFrame:
         """Oldest first."""

@@ -309,3 +309,31 @@ def test_the_stream_source(store, spark, tmp_path):
     add(store, "b-1", "3")
     go()
     assert sorted(got) == [1, 2, 3]
+
+
+def test_rejected_events_are_parked_as_tables_not_as_lists_on_the_driver(store, monkeypatch):
+    add(store, "a-1", *map(str, range(12)))
+    applied: list[int] = []
+    poison = F.when(F.col("payload").cast("long") % 3 == 0, F.concat(F.lit("no "), F.col("payload")))
+    parking = Projector(store, "p", lambda df: applied.extend(r.sequence for r in df.collect()), poison, retries=1, batch=100, retry_ms=1)
+
+    def refused(*_):
+        raise AssertionError("a list of positions in the plan")
+
+    monkeypatch.setattr(type(F.col("sequence")), "isin", refused)
+    assert parking.run() == 12
+    assert [(r.sequence, r.stream_id, r.error, r.attempts) for r in parking.parked().collect()] == [(k + 1, "a-1", f"no {k}", 2) for k in (0, 3, 6, 9)]
+    assert sorted(applied) == [k + 1 for k in range(12) if k % 3]
+    assert store.metrics.counts["projector.events_parked"] == 4 and store.metrics.counts["projector.events_applied"] == 8
+
+
+def test_events_that_raise_and_events_that_are_poison_are_parked_together(store):
+    add(store, "a-1", "1", "2", "13", "4", "x")
+
+    def apply(rows):
+        if rows.where("payload = '13'").count():
+            raise ValueError("not 13")
+
+    parking = Projector(store, "p", apply, F.when(F.col("payload") == "x", F.lit("text")), retries=1, retry_ms=1)
+    assert parking.run() == 5
+    assert [(r.sequence, r.error, r.attempts) for r in parking.parked().collect()] == [(3, "not 13", 2), (5, "text", 2)]
