@@ -127,7 +127,7 @@ class FoldedProjection:
 
 @dataclass
 class Projector:
-    """Applies the log from its checkpoint in batches of at most ``batch`` events; while it is behind, each batch may be four times the last one, up to ``largest``.
+    """Applies the log from its checkpoint in batches of at most ``batch`` events; while it is behind and ``apply`` doesn't raise, each batch may be four times the last one, up to ``largest``.
 
     where: only matching events are applied; the checkpoint still moves past
     the others. An event is rejected if ``poison`` (an error's text, null for
@@ -240,7 +240,7 @@ class Projector:
             finally:
                 dropped(*made)
             metrics.add("projector.events_applied", n - bad)
-            self._size = min(self._size * 4, max(self.largest, self.batch)) if full and not bad else self.batch
+            self._size = min(self._size * 4, max(self.largest, self.batch)) if full and not raised else self.batch
             self.acknowledge(upto)
         return upto
 

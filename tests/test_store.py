@@ -327,6 +327,17 @@ def test_rejected_events_are_parked_as_tables_not_as_lists_on_the_driver(store,
     assert store.metrics.counts["projector.events_parked"] == 4 and store.metrics.counts["projector.events_applied"] == 8
 
 
+def test_batches_grow_though_events_are_parked_and_pass_over_cut_ones(store):
+    add(store, "a-1", *map(str, range(30)))
+    add(store, "b-1", "30", "31")
+    store.truncate("a-1", 25)
+    sizes: list[int] = []
+    poison = F.when(F.col("payload").cast("long") % 2 == 0, F.lit("even"))
+    parking = Projector(store, "p", lambda df: sizes.append(df.count()), poison, retries=0, batch=2, largest=4)
+    assert parking.run() == 32 and sizes == [2, 2]
+    assert [r.sequence for r in parking.parked().collect()] == [25, 27, 29, 31]
+
+
 def test_events_that_raise_and_events_that_are_poison_are_parked_together(store):
     add(store, "a-1", "1", "2", "13", "4", "x")
 
